@@ -1,19 +1,116 @@
-"""Query name -> Spark plan over the line items derived from ``sf_dir``."""
+"""Query name -> Spark plan over the line items derived from ``sf_dir``.
+
+Every entry reads the whole line-item table (derived from the star tables
+of ``sf_dir``); parameters such as the threshold or the named accounts are
+report parameters, not row caps.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import customers as K
 from ..operators import discount as D
+from ..operators import export as X
+from ..operators import quality as Q
+from ..operators import ranking as R
+from ..operators import trends as T
+from ..operators.rollup import margin_rollup
+from ..sources.schema import BUSINESS_KEY, COLUMNS
 from ..sources.table import line_items
+from . import params as P
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_items(spark, sf_dir)
 
 
+def _money_as_double(df: DataFrame) -> DataFrame:
+    return df.select(*[
+        F.col(c).cast("double").alias(c) if c in ("sales", "profit", "discount") else F.col(c) for c in df.columns
+    ])
+
+
+def _q(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(base(spark, sf_dir))
+
+
+def _flagged_profile(df: DataFrame) -> DataFrame:
+    return K.account_profile(df, K.flagged_accounts(df))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "discount_tiers": lambda s, d: D.discount_tiers(base(s, d)),
+    # --- load and quality gate -------------------------------------------------
+    "load_profile": _q(Q.load_profile),
+    "null_profile": _q(Q.null_profile),
+    "quality_report": _q(Q.quality_report),
+    "ship_before_order": _q(lambda df: _money_as_double(Q.violations(df, "ship_before_order").select(*COLUMNS))),
+    "domain_values": _q(Q.domain_values),
+    "domain_counts": _q(Q.domain_counts),
+    "apparent_duplicates": _q(lambda df: Q.duplicate_keys(df, BUSINESS_KEY, "line_items")),
+    "apparent_duplicate_rows": _q(lambda df: _money_as_double(
+        Q.duplicate_rows(df, BUSINESS_KEY)
+        .select("row_id", "order_id", "product_id", "sales", "quantity", "discount", "profit")
+        .orderBy("order_id", "product_id", "row_id")
+    )),
+    # --- headline and product rollups -----------------------------------------
+    "headline": _q(lambda df: margin_rollup(
+        df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"])),
+    "by_region": _q(lambda df: margin_rollup(
+        df, ["region"], ["total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
+        order=[F.col("total_profit").desc()])),
+    "by_segment": _q(lambda df: margin_rollup(
+        df, ["segment"], ["total_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
+        order=[F.col("total_profit").desc()])),
+    "by_category": _q(lambda df: margin_rollup(df, ["category"], order=["total_profit"])),
+    "by_subcategory": _q(lambda df: margin_rollup(
+        df, ["category", "sub_category"],
+        ["total_sales", "total_profit", "profit_margin_pct", "avg_discount", "line_items"], order=["total_profit"])),
+    "by_state": _q(lambda df: margin_rollup(df, ["state"], order=["total_profit"])),
+    # --- discount analysis -----------------------------------------------------
+    "discount_tiers": _q(D.discount_tiers),
+    "discount_buckets": _q(lambda df: D.discount_tiers(
+        df, name="discount_bucket", measures=("num_orders", "total_sales", "total_profit", "avg_profit_per_order"))),
+    "by_discount_level": _q(D.by_discount_level),
+    "tier_sign_rollup": _q(D.tier_sign_rollup),
+    "high_discount_detail": _q(lambda df: D.high_discount_detail(df, P.THRESHOLD)),
+    "high_discount_impact": _q(lambda df: D.high_discount_impact(df, P.THRESHOLD)),
+    "threshold_split": _q(lambda df: D.threshold_split(df, P.THRESHOLD)),
+    "structural_losses": _q(lambda df: D.structural_losses(df, P.THRESHOLD, P.STRUCTURAL_DIMS)),
+    "recoverable_profit": _q(lambda df: D.recoverable_profit(df, P.THRESHOLD)),
+    "loss_concentration": _q(D.loss_concentration),
+    "hidden_losses": _q(D.hidden_losses),
+    "discount_trend": _q(D.discount_trend),
+    # --- regional ranks and trends ---------------------------------------------
+    "subcat_rank_in_region": _q(lambda df: R.rank_within(
+        df, "region", "sub_category", rank_name="profit_rank_in_region")),
+    "bottom3_subcats": _q(lambda df: R.rank_within(
+        df, "region", "sub_category", ascending=True, n=3, rank_name="worst_rank")),
+    "top5_customers_in_region": _q(lambda df: R.rank_within(
+        df, "region", "customer_name", n=5, rank_name="rank_in_region")),
+    "monthly_running_total": _q(lambda df: T.running_total(T.period_sales(df, name="monthly_sales"))),
+    "mom_growth": _q(lambda df: T.period_growth(T.period_sales(df))),
+    "moving_avg_3m": _q(lambda df: T.moving_average(T.period_sales(df))),
+    "seasonality": _q(T.seasonality),
+    "monthly_margin": _q(T.period_rollup),
+    "ship_speed_by_mode": _q(lambda df: T.fulfilment(df, "ship_mode")),
+    "ship_speed_by_year": _q(lambda df: T.fulfilment(df, "order_year", with_count=False)),
+    # --- customers ---------------------------------------------------------------
+    "top_customers": _q(lambda df: K.top_customers(df, 10)),
+    "top_customers_by_profit": _q(lambda df: K.top_customers(df, 10, with_avg_discount=False)),
+    "thin_margin_accounts": _q(K.thin_margin_accounts),
+    "top_decile_thin_margin": _q(lambda df: K.thin_margin_accounts(df, columns=("total_sales", "margin_pct"))),
+    "flagged_account_profile": _q(_flagged_profile),
+    "flagged_vs_company": _q(lambda df: K.versus_company(_flagged_profile(df), df)),
+    "named_account_profile": _q(lambda df: K.account_profile(df, P.NAMED_ACCOUNTS, with_sales=False)),
+    "customer_by_region": _q(lambda df: K.account_profile(
+        df, P.NAMED_CUSTOMER, by=("region",), discount_name="avg_discount")),
+    "customer_detail": _q(lambda df: K.account_detail(df, P.NAMED_CUSTOMER)),
+    "multi_region_accounts": _q(lambda df: K.multi_region_accounts(df, 20)),
+    # --- export and dashboard feeds ----------------------------------------------
+    "enriched_export": _q(X.enriched_export),
+    "filtered_view": _q(lambda df: margin_rollup(X.apply_filters(df, **P.FILTERS), ["state"], order=["total_profit"])),
 }
