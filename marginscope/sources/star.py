@@ -10,12 +10,15 @@ Join plan (designed for a fact table of billions of rows):
 
 * nation |><| region is bounded by the TPC-H spec (25 and 5 rows at every
   scale factor), so it is the only side broadcast by hint.
-* supplier, customer and part grow with the scale factor (10k, 150k and 200k
-  rows per SF). No hint: Catalyst broadcasts them only while their estimated
-  size is under ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks
-  with runtime sizes; beyond it they are sort-merge joins.
-* orders is joined to customer *before* it meets lineitem, so the fact table
-  is shuffled once on the order key instead of once more on the customer key.
+* supplier, customer, part and orders grow with the scale factor (10k, 150k,
+  200k and 1.5M rows per SF). Each is broadcast only after a row count proves
+  it small (``bounded_broadcast``); beyond the bound the join is a shuffle
+  join. (Spark's own estimate cannot be used here: without table statistics
+  it sizes a join as the product of its inputs, so orders |><| customer would
+  look larger than the fact table and the fact table would be broadcast.)
+* orders is joined to customer *before* it meets lineitem, so at scale the
+  fact table is shuffled three times (order, part and supplier keys), not
+  four.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast, row_counts
+
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 
 # Derivation of each line-item column from the joined star row. The same
@@ -81,13 +86,17 @@ def line_items_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", "s_name", "n_name", "r_name")
     )
+    # One metadata-only job proves the size of every growing dimension.
+    n = row_counts({k: t[k] for k in ("orders", "customer", "part", "supplier")})
     ordc = (
         t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        .join(t["customer"].select("c_custkey", "c_name", "c_mktsegment"),
+        .join(bounded_broadcast(t["customer"].select("c_custkey", "c_name", "c_mktsegment"), n["customer"]),
               F.col("o_custkey") == F.col("c_custkey"))
         .drop("o_custkey")
     )
-    part = t["part"].select("p_partkey", "p_name", "p_brand", "p_type")
+    ordc = bounded_broadcast(ordc, n["orders"])  # N:1 join: at most one row per order
+    sup = bounded_broadcast(sup, n["supplier"])
+    part = bounded_broadcast(t["part"].select("p_partkey", "p_name", "p_brand", "p_type"), n["part"])
     li = t["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",

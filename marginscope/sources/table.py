@@ -15,7 +15,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fingerprint, scratch_path
-from .schema import COLUMNS
+from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -32,8 +32,10 @@ def write_line_items(df: DataFrame, path: str, mode: str = "overwrite", partitio
     return path
 
 
-def read_line_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_line_items(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a line-item table; a known schema skips footer-based schema inference."""
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(path)
 
 
 def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -54,4 +56,4 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
             path = scratch_path(spark, "line_items", fp)
             write_line_items(line_items_from_star(spark, sf_dir), path)
             _BUILT[key] = path
-    return read_line_items(spark, path)
+    return read_line_items(spark, path, LINE_ITEM_SCHEMA)
