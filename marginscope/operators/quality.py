@@ -42,14 +42,23 @@ DEFAULT_INFO = {"ship_before_order"}
 
 
 def load_profile(df: DataFrame, key: str = "row_id", date: str = "order_date") -> DataFrame:
-    """Row count, distinct keys, key range and date range in one pass."""
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_distinct(key).alias("distinct_keys"),
+    """Row count, distinct keys, key range and date range.
+
+    Keys are first de-duplicated with a hash aggregate (partial per task,
+    so a repeated key is combined before the shuffle); the key range is then
+    taken over the distinct keys. A min/max over a string key would otherwise
+    force a sort of every row.
+    """
+    per_key = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(date).alias("_d0"), F.max(date).alias("_d1")
+    )
+    return per_key.agg(
+        F.sum("_n").alias("row_count"),
+        F.count(F.col(key)).alias("distinct_keys"),
         F.min(key).alias("min_key"),
         F.max(key).alias("max_key"),
-        F.min(date).alias("min_date"),
-        F.max(date).alias("max_date"),
+        F.min("_d0").alias("min_date"),
+        F.max("_d1").alias("max_date"),
     )
 
 
