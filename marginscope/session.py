@@ -31,11 +31,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Application id (classic sessions) or the session id (Spark Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return spark.conf.get("spark.app.id", None) or getattr(spark, "session_id", "session")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if none is configured.
 
@@ -43,7 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. A local folder is only created for sessions that have none
     (tests, a laptop).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder on the server")
+        return conf.rstrip("/") + "/" + app_id(spark)
     d = sc.getCheckpointDir()
     if d:
         return d

@@ -14,7 +14,7 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import fingerprint, scratch_path
+from ..session import app_id, fingerprint, scratch_path
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star
 
@@ -48,7 +48,7 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     """
     if not materialize:
         return line_items_from_star(spark, sf_dir)
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     fp = fingerprint([os.path.join(sf_dir, f"{t}.parquet") for t in STAR_TABLES])
     key = (app, f"{os.path.abspath(sf_dir)}:{fp}")
     with _LOCK:
