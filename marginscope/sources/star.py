@@ -35,6 +35,21 @@ from ..operators.joins import bounded_broadcast, row_counts
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 
+# Declared input schemas of the star tables (FIXTURES.md section 3). Reading
+# with a declared schema skips a footer-inference job per table.
+STAR_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
 # Derivation of each line-item column from the joined star row. The same
 # expressions (same text, valid in Spark SQL and DuckDB) build the oracle CTE.
 HELPERS = [
@@ -71,8 +86,13 @@ LINE_ITEM_EXPRS = [
 ]
 
 
-def read_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in STAR_TABLES}
+def read_star(spark: SparkSession, sf_dir: str, declared: bool = True) -> dict[str, DataFrame]:
+    """The star tables of ``sf_dir`` (declared schemas unless ``declared=False``)."""
+    out = {}
+    for t in STAR_TABLES:
+        r = spark.read.schema(STAR_SCHEMAS[t]) if declared else spark.read
+        out[t] = r.parquet(os.path.join(sf_dir, f"{t}.parquet"))
+    return out
 
 
 def spread_if_narrow(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -41,3 +41,12 @@ def test_materialized_equals_lazy(spark, li001):
     lazy = line_items(spark, "/root/testdata/sf0.001", materialize=False)
     assert lazy.exceptAll(li001).count() == 0
     assert li001.exceptAll(lazy).count() == 0
+
+
+def test_declared_star_schemas_match_files(spark):
+    from marginscope.sources.star import read_star
+
+    declared = read_star(spark, "/root/testdata/sf0.001")
+    inferred = read_star(spark, "/root/testdata/sf0.001", declared=False)
+    for t in declared:
+        assert declared[t].schema.simpleString() == inferred[t].schema.simpleString(), t
