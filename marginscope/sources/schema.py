@@ -35,21 +35,22 @@ CSV_SCHEMA = T.StructType(
     [T.StructField("row_id", T.IntegerType())] + LINE_ITEM_SCHEMA.fields[1:]
 )
 
-# Columns whose NULLs the completeness profile reports.
+# The columns the completeness profile checks, the categorical
+# columns whose domains are listed, the declared text widths, and the
+# business key of the apparent-duplicate report.
 NULL_CHECKED = [
     "row_id", "order_id", "order_date", "ship_date", "customer_id", "customer_name",
     "region", "state", "category", "sub_category", "sales", "quantity", "discount", "profit",
 ]
 
-# Categorical columns whose domains the consistency report lists.
 DOMAIN_COLUMNS = ["segment", "region", "category", "sub_category", "ship_mode", "state"]
 
-# Declared text widths (enforced as a data-quality rule, not by the type).
+# (text widths are enforced as a data-quality rule, not by the type)
 VARCHAR_WIDTH = {
-    "order_id": 20, "customer_id": 20, "product_id": 20, "customer_name": 100,
-    "ship_mode": 50, "segment": 50, "country": 50, "city": 50, "state": 50,
-    "postal_code": 10, "region": 20, "category": 50, "sub_category": 50, "product_name": 200,
+    "order_id": 20, "ship_mode": 50, "customer_id": 20, "customer_name": 100, "segment": 50,
+    "country": 50, "city": 50, "state": 50, "postal_code": 10, "region": 20, "product_id": 20,
+    "category": 50, "sub_category": 50, "product_name": 200,
 }
 
-# The business key on which "apparent duplicates" are reported (never removed).
+# (apparent duplicates on the business key are reported, never removed)
 BUSINESS_KEY = ["order_id", "product_id", "customer_id", "order_date"]

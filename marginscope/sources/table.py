@@ -1,7 +1,7 @@
 """The line-item table as parquet: idempotent write, read, and one-time build.
 
 Every query in the catalog scans the same wide table, so it is built from
-its sources once and written as parquet (like the reference's load step).
+its sources once and written as parquet (the load step of the analysis).
 The write range-partitions on ``order_date`` so each file covers a date
 range: date filters skip files and row groups from parquet min/max stats,
 and the files are sized by AQE, not by the input layout.
