@@ -1,6 +1,6 @@
 """Named query plans: the Spark side (catalog) and the SQL oracle side."""
 
-from .catalog import QUERIES, base
+from .catalog import QUERIES, REPORTS, base
 from .oracle import ORACLE
 
-__all__ = ["QUERIES", "ORACLE", "base"]
+__all__ = ["QUERIES", "REPORTS", "ORACLE", "base"]

@@ -34,83 +34,100 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     ])
 
 
-def _q(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(base(spark, sf_dir))
-
-
 def _flagged_profile(df: DataFrame) -> DataFrame:
     return K.account_profile(df, K.flagged_accounts(df))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    # --- load and quality gate -------------------------------------------------
-    "load_profile": _q(Q.load_profile),
-    "null_profile": _q(Q.null_profile),
-    "quality_report": _q(Q.quality_report),
-    "ship_before_order": _q(lambda df: _money_as_double(Q.violations(df, "ship_before_order").select(*COLUMNS))),
-    "domain_values": _q(Q.domain_values),
-    "domain_counts": _q(Q.domain_counts),
-    "apparent_duplicates": _q(lambda df: Q.duplicate_keys(df, BUSINESS_KEY, "line_items")),
-    "apparent_duplicate_rows": _q(lambda df: _money_as_double(
-        Q.duplicate_rows(df, BUSINESS_KEY)
-        .select("row_id", "order_id", "product_id", "sales", "quantity", "discount", "profit")
-        .orderBy("order_id", "product_id", "row_id")
-    )),
-    # --- headline and product rollups -----------------------------------------
-    "headline": _q(lambda df: margin_rollup(
-        df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"])),
-    "by_region": _q(lambda df: margin_rollup(
-        df, ["region"], ["total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
-        order=[F.col("total_profit").desc()])),
-    "by_segment": _q(lambda df: margin_rollup(
-        df, ["segment"], ["total_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
-        order=[F.col("total_profit").desc()])),
-    "by_category": _q(lambda df: margin_rollup(df, ["category"], order=["total_profit"])),
-    "by_subcategory": _q(lambda df: margin_rollup(
-        df, ["category", "sub_category"],
-        ["total_sales", "total_profit", "profit_margin_pct", "avg_discount", "line_items"], order=["total_profit"])),
-    "by_state": _q(lambda df: margin_rollup(df, ["state"], order=["total_profit"])),
-    # --- discount analysis -----------------------------------------------------
-    "discount_tiers": _q(D.discount_tiers),
-    "discount_buckets": _q(lambda df: D.discount_tiers(
-        df, name="discount_bucket", measures=("num_orders", "total_sales", "total_profit", "avg_profit_per_order"))),
-    "by_discount_level": _q(D.by_discount_level),
-    "tier_sign_rollup": _q(D.tier_sign_rollup),
-    "high_discount_detail": _q(lambda df: D.high_discount_detail(df, P.THRESHOLD)),
-    "high_discount_impact": _q(lambda df: D.high_discount_impact(df, P.THRESHOLD)),
-    "threshold_split": _q(lambda df: D.threshold_split(df, P.THRESHOLD)),
-    "structural_losses": _q(lambda df: D.structural_losses(df, P.THRESHOLD, P.STRUCTURAL_DIMS)),
-    "recoverable_profit": _q(lambda df: D.recoverable_profit(df, P.THRESHOLD)),
-    "loss_concentration": _q(D.loss_concentration),
-    "hidden_losses": _q(D.hidden_losses),
-    "discount_trend": _q(D.discount_trend),
-    # --- regional ranks and trends ---------------------------------------------
-    "subcat_rank_in_region": _q(lambda df: R.rank_within(
-        df, "region", "sub_category", rank_name="profit_rank_in_region")),
-    "bottom3_subcats": _q(lambda df: R.rank_within(
-        df, "region", "sub_category", ascending=True, n=3, rank_name="worst_rank")),
-    "top5_customers_in_region": _q(lambda df: R.rank_within(
-        df, "region", "customer_name", n=5, rank_name="rank_in_region")),
-    "monthly_running_total": _q(lambda df: T.running_total(T.period_sales(df, name="monthly_sales"))),
-    "mom_growth": _q(lambda df: T.period_growth(T.period_sales(df))),
-    "moving_avg_3m": _q(lambda df: T.moving_average(T.period_sales(df))),
-    "seasonality": _q(T.seasonality),
-    "monthly_margin": _q(T.period_rollup),
-    "ship_speed_by_mode": _q(lambda df: T.fulfilment(df, "ship_mode")),
-    "ship_speed_by_year": _q(lambda df: T.fulfilment(df, "order_year", with_count=False)),
-    # --- customers ---------------------------------------------------------------
-    "top_customers": _q(lambda df: K.top_customers(df, 10)),
-    "top_customers_by_profit": _q(lambda df: K.top_customers(df, 10, with_avg_discount=False)),
-    "thin_margin_accounts": _q(K.thin_margin_accounts),
-    "top_decile_thin_margin": _q(lambda df: K.thin_margin_accounts(df, columns=("total_sales", "margin_pct"))),
-    "flagged_account_profile": _q(_flagged_profile),
-    "flagged_vs_company": _q(lambda df: K.versus_company(_flagged_profile(df), df)),
-    "named_account_profile": _q(lambda df: K.account_profile(df, P.NAMED_ACCOUNTS, with_sales=False)),
-    "customer_by_region": _q(lambda df: K.account_profile(
-        df, P.NAMED_CUSTOMER, by=("region",), discount_name="avg_discount")),
-    "customer_detail": _q(lambda df: K.account_detail(df, P.NAMED_CUSTOMER)),
-    "multi_region_accounts": _q(lambda df: K.multi_region_accounts(df, 20)),
-    # --- export and dashboard feeds ----------------------------------------------
-    "enriched_export": _q(X.enriched_export),
-    "filtered_view": _q(lambda df: margin_rollup(X.apply_filters(df, **P.FILTERS), ["state"], order=["total_profit"])),
-}
+def build_reports(
+    threshold: str = P.THRESHOLD,
+    structural_dims=P.STRUCTURAL_DIMS,
+    named_accounts=P.NAMED_ACCOUNTS,
+    named_customer: str = P.NAMED_CUSTOMER,
+    filters: dict | None = None,
+) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Report name -> function of a line-item DataFrame (any source: CSV, parquet, the fixture)."""
+    filters = P.FILTERS if filters is None else filters
+    return {
+        # --- load and quality gate -------------------------------------------------
+        "load_profile": (Q.load_profile),
+        "null_profile": (Q.null_profile),
+        "quality_report": (Q.quality_report),
+        "ship_before_order": (lambda df: _money_as_double(Q.violations(df, "ship_before_order").select(*COLUMNS))),
+        "domain_values": (Q.domain_values),
+        "domain_counts": (Q.domain_counts),
+        "apparent_duplicates": (lambda df: Q.duplicate_keys(df, BUSINESS_KEY, "line_items")),
+        "apparent_duplicate_rows": (lambda df: _money_as_double(
+            Q.duplicate_rows(df, BUSINESS_KEY)
+            .select("row_id", "order_id", "product_id", "sales", "quantity", "discount", "profit")
+            .orderBy("order_id", "product_id", "row_id")
+        )),
+        # --- headline and product rollups -----------------------------------------
+        "headline": (lambda df: margin_rollup(
+            df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"])),
+        "by_region": (lambda df: margin_rollup(
+            df, ["region"], ["total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
+            order=[F.col("total_profit").desc()])),
+        "by_segment": (lambda df: margin_rollup(
+            df, ["segment"], ["total_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
+            order=[F.col("total_profit").desc()])),
+        "by_category": (lambda df: margin_rollup(df, ["category"], order=["total_profit"])),
+        "by_subcategory": (lambda df: margin_rollup(
+            df, ["category", "sub_category"],
+            ["total_sales", "total_profit", "profit_margin_pct", "avg_discount", "line_items"], order=["total_profit"])),
+        "by_state": (lambda df: margin_rollup(df, ["state"], order=["total_profit"])),
+        # --- discount analysis -----------------------------------------------------
+        "discount_tiers": (D.discount_tiers),
+        "discount_buckets": (lambda df: D.discount_tiers(
+            df, name="discount_bucket", measures=("num_orders", "total_sales", "total_profit", "avg_profit_per_order"))),
+        "by_discount_level": (D.by_discount_level),
+        "tier_sign_rollup": (D.tier_sign_rollup),
+        "high_discount_detail": (lambda df: D.high_discount_detail(df, threshold)),
+        "high_discount_impact": (lambda df: D.high_discount_impact(df, threshold)),
+        "threshold_split": (lambda df: D.threshold_split(df, threshold)),
+        "structural_losses": (lambda df: D.structural_losses(df, threshold, structural_dims)),
+        "recoverable_profit": (lambda df: D.recoverable_profit(df, threshold)),
+        "loss_concentration": (D.loss_concentration),
+        "hidden_losses": (D.hidden_losses),
+        "discount_trend": (D.discount_trend),
+        # --- regional ranks and trends ---------------------------------------------
+        "subcat_rank_in_region": (lambda df: R.rank_within(
+            df, "region", "sub_category", rank_name="profit_rank_in_region")),
+        "bottom3_subcats": (lambda df: R.rank_within(
+            df, "region", "sub_category", ascending=True, n=3, rank_name="worst_rank")),
+        "top5_customers_in_region": (lambda df: R.rank_within(
+            df, "region", "customer_name", n=5, rank_name="rank_in_region")),
+        "monthly_running_total": (lambda df: T.running_total(T.period_sales(df, name="monthly_sales"))),
+        "mom_growth": (lambda df: T.period_growth(T.period_sales(df))),
+        "moving_avg_3m": (lambda df: T.moving_average(T.period_sales(df))),
+        "seasonality": (T.seasonality),
+        "monthly_margin": (T.period_rollup),
+        "ship_speed_by_mode": (lambda df: T.fulfilment(df, "ship_mode")),
+        "ship_speed_by_year": (lambda df: T.fulfilment(df, "order_year", with_count=False)),
+        # --- customers ---------------------------------------------------------------
+        "top_customers": (lambda df: K.top_customers(df, 10)),
+        "top_customers_by_profit": (lambda df: K.top_customers(df, 10, with_avg_discount=False)),
+        "thin_margin_accounts": (K.thin_margin_accounts),
+        "top_decile_thin_margin": (lambda df: K.thin_margin_accounts(df, columns=("total_sales", "margin_pct"))),
+        "flagged_account_profile": (_flagged_profile),
+        "flagged_vs_company": (lambda df: K.versus_company(_flagged_profile(df), df)),
+        "named_account_profile": (lambda df: K.account_profile(df, named_accounts, with_sales=False)),
+        "customer_by_region": (lambda df: K.account_profile(
+            df, named_customer, by=("region",), discount_name="avg_discount")),
+        "customer_detail": (lambda df: K.account_detail(df, named_customer)),
+        "multi_region_accounts": (lambda df: K.multi_region_accounts(df, 20)),
+        # --- export and dashboard feeds ----------------------------------------------
+        "enriched_export": (X.enriched_export),
+        "filtered_view": (lambda df: margin_rollup(X.apply_filters(df, **filters), ["state"], order=["total_profit"])),
+    }
+
+
+# The registered reports, with the parameters of the test tables.
+REPORTS = build_reports()
+
+
+def _over_star(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(base(spark, sf_dir))
+
+
+# Query name -> plan over the star tables of ``sf_dir`` (the driver contract).
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_star(f) for k, f in REPORTS.items()}
