@@ -84,21 +84,23 @@ def account_profile(
 ) -> DataFrame:
     """Discount and profit profile of chosen accounts per ``by``.
 
-    ``accounts`` is a name, a list of names (a pushed-down IN filter) or a
-    DataFrame of keys (a semi-join; the key set is not size-bounded, so
-    Spark decides between broadcast and shuffle from its measured size).
+    ``accounts`` is a name, a list of names (a pushed-down IN filter, applied
+    before the aggregate) or a DataFrame of keys. A key DataFrame is not
+    size-bounded, so the lines are aggregated first (partial aggregation
+    collapses them map-side) and only the per-group rows meet the key set in
+    a semi-join: the same result, with a shuffle of groups instead of lines.
     """
-    if isinstance(accounts, str):
-        lines = df.where(F.col(key) == accounts)
-    elif isinstance(accounts, DataFrame):
-        lines = df.join(accounts.select(key), key, "left_semi")
-    else:
-        lines = df.where(F.col(key).isin(list(accounts)))
     aggs = [mean("discount", digits).alias(discount_name), F.count(F.lit(1)).alias("num_orders")]
     if with_sales:
         aggs.append(F.sum("sales").cast("double").alias("total_sales"))
     aggs.append(F.sum("profit").alias("tp"))
-    out = lines.groupBy(key, *by).agg(*aggs).orderBy(F.col("tp").asc_nulls_last(), key, *by)
+    if isinstance(accounts, DataFrame):
+        out = df.groupBy(key, *by).agg(*aggs).join(accounts.select(key), key, "left_semi")
+    else:
+        names = [accounts] if isinstance(accounts, str) else list(accounts)
+        lines = df.where(F.col(key) == names[0]) if len(names) == 1 else df.where(F.col(key).isin(names))
+        out = lines.groupBy(key, *by).agg(*aggs)
+    out = out.orderBy(F.col("tp").asc_nulls_last(), key, *by)
     return out.withColumn("tp", F.col("tp").cast("double")).withColumnRenamed("tp", "total_profit")
 
 

@@ -128,3 +128,18 @@ def test_month_name_is_english(spark):
     df = spark.createDataFrame([(date(2020, m, 1), D("1.00"), D("0.10")) for m in (1, 9)],
                                "order_date date, sales decimal(10,2), profit decimal(10,2)")
     assert {r.month_name for r in trends.seasonality(df).collect()} == {"January", "September"}
+
+
+def test_distributed_ntile_splits_a_hot_value(spark):
+    # a third of the rows share one sales value: the range bounds split it by name
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") < n // 3, F.lit(7)).otherwise(F.col("id")).cast("decimal(20,2)").alias("v"),
+        F.format_string("c%05d", F.col("id")).alias("name"),
+    )
+    order = [F.col("v").desc(), F.col("name").asc()]
+    parts = (df.repartitionByRange(8, *order).groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert max(r["count"] for r in parts) < n // 4
+    got = {r.name: r.b for r in ranking.ntile_distributed(df, 10, order, name="b").collect()}
+    ref = {r.name: r.b for r in df.select("name", F.ntile(10).over(Window.orderBy(*order)).alias("b")).collect()}
+    assert got == ref
