@@ -34,7 +34,7 @@ def top_customers(df: DataFrame, n: int = 10, key: str = "customer_name", with_a
     ]
     if with_avg_discount:
         aggs.append(mean("discount", 4).alias("avg_discount"))
-    out = df.groupBy(key).agg(*aggs).orderBy(F.col("tp").desc_nulls_first(), F.col(key).asc()).limit(n)
+    out = df.groupBy(key).agg(*aggs).orderBy(F.col("tp").desc_nulls_first(), F.col(key).asc_nulls_last()).limit(n)
     cols = [key, "num_orders", "total_sales", F.col("tp").cast("double").alias("total_profit")]
     if with_avg_discount:
         cols.append("avg_discount")
@@ -63,7 +63,7 @@ def thin_margin_accounts(
     """Customers in the top sales bucket whose (rounded) margin is below ``max_margin`` %."""
     kept = _thin(df, buckets, bucket, max_margin, key)
     cast = {"total_sales": F.col("total_sales").cast("double"), "total_profit": F.col("total_profit").cast("double")}
-    return kept.orderBy(F.col("total_sales").desc(), key).select(
+    return kept.orderBy(F.col("total_sales").desc_nulls_first(), key).select(
         key, *[cast.get(c, F.col(c)).alias(c) for c in columns]
     )
 

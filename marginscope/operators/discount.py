@@ -102,7 +102,7 @@ def high_discount_impact(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFram
             F.sum("profit").cast("double").alias("total_profit_impact"),
             mean("discount", 4).alias("avg_discount"),
         ],
-        order=[F.col("total_profit_impact").asc()],
+        order=[F.col("total_profit_impact").asc_nulls_last()],
     )
 
 
@@ -113,7 +113,7 @@ def high_discount_detail(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFram
             F.count(F.lit(1)).alias("num_high_discount_orders"),
             F.sum("profit").cast("double").alias("total_profit_impact"),
         ],
-        order=[F.col("total_profit_impact").asc()],
+        order=[F.col("total_profit_impact").asc_nulls_last()],
     )
     return out.select(
         "category", "sub_category", "num_high_discount_orders", "total_profit_impact",
@@ -150,7 +150,7 @@ def threshold_split(df: DataFrame, threshold=DEFAULT_THRESHOLD, dims: Sequence[s
         pct(F.col(f"orders_above_{lab}").cast("decimal(20,0)"), F.col("n").cast("decimal(20,0)"), 2)
         .alias(f"pct_lines_above_{lab}"),
         ((F.col(f"orders_above_{lab}") == 0) & (F.col("t") < 0)).alias("structural_loss"),
-    ).orderBy(F.col(f"profit_above_{lab}").asc(), *dims)
+    ).orderBy(F.col(f"profit_above_{lab}").asc_nulls_last(), *dims)
 
 
 def structural_losses(df: DataFrame, threshold=DEFAULT_THRESHOLD, dims: Sequence[str] = ("sub_category",)) -> DataFrame:
@@ -214,7 +214,7 @@ def hidden_losses(df: DataFrame, dim: str = "sub_category") -> DataFrame:
             F.col("la").cast("double").alias("loss_amount"),
             pct(F.abs(F.col("la")), F.col("tp"), 1).alias("loss_as_pct_of_profit"),
         )
-        .orderBy(F.col("loss_as_pct_of_profit").desc(), dim)
+        .orderBy(F.col("loss_as_pct_of_profit").desc_nulls_first(), dim)
     )
 
 

@@ -47,7 +47,11 @@ def margin_rollup(
     """Group by ``dims`` (empty = one global row) and compute ``measures``.
 
     A measure is a name from ``MEASURES`` or any aliased aggregate Column.
+    ``order`` entries given as names sort ascending with NULLs last (the
+    source reports' SQL default); pass Columns for any other order.
     """
     aggs = [measure(m) if isinstance(m, str) else m for m in measures]
     out = df.groupBy(*dims).agg(*aggs) if dims else df.agg(*aggs)
-    return out.orderBy(*order) if order else out
+    if not order:
+        return out
+    return out.orderBy(*[F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order])

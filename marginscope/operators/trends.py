@@ -95,7 +95,7 @@ def seasonality(df: DataFrame, date: str = "order_date") -> DataFrame:
         F.sum("profit").cast("double").alias("total_profit"),
         margin_pct().alias("profit_margin_pct"),
     )
-    return out.orderBy(F.col("total_sales").desc(), "month_num")
+    return out.orderBy(F.col("total_sales").desc_nulls_first(), "month_num")
 
 
 def days_to_ship():

@@ -66,10 +66,10 @@ def build_reports(
             df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"])),
         "by_region": (lambda df: margin_rollup(
             df, ["region"], ["total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
-            order=[F.col("total_profit").desc()])),
+            order=[F.col("total_profit").desc_nulls_first()])),
         "by_segment": (lambda df: margin_rollup(
             df, ["segment"], ["total_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
-            order=[F.col("total_profit").desc()])),
+            order=[F.col("total_profit").desc_nulls_first()])),
         "by_category": (lambda df: margin_rollup(df, ["category"], order=["total_profit"])),
         "by_subcategory": (lambda df: margin_rollup(
             df, ["category", "sub_category"],
