@@ -23,10 +23,11 @@ def test_run_from_csv(spark):
 
 def test_run_from_star_all_reports(spark):
     out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
-    # sf0.001 holds one duplicated row_id (FIXTURES.md): allowed here, reported in the summary
+    # sf0.001 holds one duplicated row_id and ships before ordering by construction (FIXTURES.md):
+    # allowed here, still reported in the summary
     summary = run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--format", "csv",
                               "--allow", "ship_before_order,duplicate_row_id"]))
-    assert summary["failed_rules"] == ["duplicate_row_id"]
+    assert summary["failed_rules"] == ["duplicate_row_id", "ship_before_order"]
     assert len(summary["reports"]) == 48
     assert summary["reports"]["enriched_export"]["rows"] == 6000
     assert summary["reports"]["thin_margin_accounts"]["rows"] == 14
