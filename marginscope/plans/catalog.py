@@ -74,6 +74,7 @@ def build_reports(
         "by_subcategory": (lambda df: margin_rollup(
             df, ["category", "sub_category"],
             ["total_sales", "total_profit", "profit_margin_pct", "avg_discount", "line_items"], order=["total_profit"])),
+        "by_category_subcategory": (lambda df: margin_rollup(df, ["category", "sub_category"], order=["total_profit"])),
         "by_state": (lambda df: margin_rollup(df, ["state"], order=["total_profit"])),
         # --- discount analysis -----------------------------------------------------
         "discount_tiers": (D.discount_tiers),
@@ -101,6 +102,7 @@ def build_reports(
         "moving_avg_3m": (lambda df: T.moving_average(T.period_sales(df))),
         "seasonality": (T.seasonality),
         "monthly_margin": (T.period_rollup),
+        "monthly_summary": (lambda df: T.period_rollup(df, names=("total_sales", "total_profit", "profit_margin_pct"))),
         "ship_speed_by_mode": (lambda df: T.fulfilment(df, "ship_mode")),
         "ship_speed_by_year": (lambda df: T.fulfilment(df, "order_year", with_count=False)),
         # --- customers ---------------------------------------------------------------

@@ -28,7 +28,9 @@ def test_run_from_star_all_reports(spark):
     summary = run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--format", "csv",
                               "--allow", "ship_before_order,duplicate_row_id"]))
     assert summary["failed_rules"] == ["duplicate_row_id", "ship_before_order"]
-    assert len(summary["reports"]) == 48
+    from marginscope.plans import REPORTS
+
+    assert len(summary["reports"]) == len(REPORTS) == 50
     assert summary["reports"]["enriched_export"]["rows"] == 6000
     assert summary["reports"]["thin_margin_accounts"]["rows"] == 14
 
