@@ -32,7 +32,7 @@ def enriched_export(df: DataFrame, sort: bool = True) -> DataFrame:
             cols.append(F.datediff(F.col("ship_date"), F.col("order_date")).alias("days_to_ship"))
     cols += [tier_expr("discount").alias("discount_tier"), profit_flag("profit").alias("profit_flag")]
     out = df.select(*cols)
-    return out.orderBy("row_id") if sort else out
+    return out.orderBy(F.col("row_id").asc_nulls_last()) if sort else out
 
 
 def write_extract(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False, mode: str = "overwrite") -> str:

@@ -142,7 +142,7 @@ def domain_values(df: DataFrame, cols: Sequence[str] = (*DOMAIN_COLUMNS, "discou
     return (
         strs.unpivot([], list(cols), "column_name", "value")
         .distinct()
-        .orderBy("column_name", "value")
+        .orderBy("column_name", F.col("value").asc_nulls_last())
     )
 
 
