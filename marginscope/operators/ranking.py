@@ -36,6 +36,11 @@ def rank_within(
 
     Ties share a rank and leave gaps (RANK, not ROW_NUMBER), so ``n`` may
     return more than ``n`` rows per group.
+
+    With ``n`` the per-task WindowGroupLimit keeps the shuffle small for any
+    number of items. Without ``n`` every item of a group is ranked in the
+    group's task, which is meant for bounded item domains (brands or
+    sub-categories within a region), not for millions of customers.
     """
     group = [group] if isinstance(group, str) else list(group)
     item = [item] if isinstance(item, str) else list(item)
