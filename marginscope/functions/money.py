@@ -41,6 +41,11 @@ def pct(num: Column, den: Column, digits: int = 2) -> Column:
     return ratio(num, den, digits, scale=100)
 
 
+def share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
+    """part / whole * 100 for integer counts, divided exactly in decimal."""
+    return pct(part.cast("decimal(20,0)"), whole.cast("decimal(20,0)"), digits)
+
+
 def margin_pct(profit: str | Column = "profit", sales: str | Column = "sales", digits: int = 2) -> Column:
     """ROUND(SUM(profit) / SUM(sales) * 100, digits) as an aggregate."""
     return pct(F.sum(_c(profit)), F.sum(_c(sales)), digits)

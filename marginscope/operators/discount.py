@@ -21,7 +21,7 @@ from ..functions import (
     dec,
     mean,
     pct,
-    ratio,
+    share_pct,
     tier_expr,
 )
 from .rollup import margin_rollup
@@ -78,7 +78,7 @@ def tier_sign_rollup(df: DataFrame, bounds: Sequence = TIER_BOUNDS, labels: Sequ
         "num_tiers",
         "line_items",
         F.col("p").cast("double").alias("total_profit"),
-        pct(F.col("line_items").cast("decimal(20,0)"), total.cast("decimal(20,0)"), 2).alias("pct_of_line_items"),
+        share_pct(F.col("line_items"), total, 2).alias("pct_of_line_items"),
     ).orderBy("tier_result")
 
 
@@ -147,8 +147,7 @@ def threshold_split(df: DataFrame, threshold=DEFAULT_THRESHOLD, dims: Sequence[s
         f"orders_at_or_below_{lab}",
         f"orders_above_{lab}",
         F.col("t").cast("double").alias("total_profit"),
-        pct(F.col(f"orders_above_{lab}").cast("decimal(20,0)"), F.col("n").cast("decimal(20,0)"), 2)
-        .alias(f"pct_lines_above_{lab}"),
+        share_pct(F.col(f"orders_above_{lab}"), F.col("n"), 2).alias(f"pct_lines_above_{lab}"),
         ((F.col(f"orders_above_{lab}") == 0) & (F.col("t") < 0)).alias("structural_loss"),
     ).orderBy(F.col(f"profit_above_{lab}").asc_nulls_last(), *dims)
 
@@ -172,7 +171,7 @@ def recoverable_profit(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
     return agg.select(
         F.col("loss").cast("double").alias(f"loss_above_{lab}_discount"),
         "orders_affected",
-        pct(F.col("orders_affected").cast("decimal(20,0)"), F.col("n").cast("decimal(20,0)"), 2).alias("pct_of_order_volume"),
+        share_pct(F.col("orders_affected"), F.col("n"), 2).alias("pct_of_order_volume"),
         F.col("total").cast("double").alias("current_total_profit"),
         (F.col("total") - F.col("loss")).cast("double").alias("profit_if_losses_eliminated"),
         pct(F.abs(F.col("loss")), F.col("total"), 2).alias("loss_as_pct_of_total_profit"),
@@ -190,8 +189,7 @@ def loss_concentration(df: DataFrame) -> DataFrame:
     )
     return agg.select(
         "loss_making_line_items",
-        pct(F.col("loss_making_line_items").cast("decimal(20,0)"), F.col("n").cast("decimal(20,0)"), 2)
-        .alias("pct_of_all_line_items"),
+        share_pct(F.col("loss_making_line_items"), F.col("n"), 2).alias("pct_of_all_line_items"),
         F.col("total_loss").cast("double").alias("total_loss"),
         "avg_discount_on_losses",
     )
@@ -238,5 +236,5 @@ def discount_trend(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 __all__ = [
     "with_discount_tier", "discount_tiers", "by_discount_level", "tier_sign_rollup", "above_threshold",
     "high_discount_impact", "high_discount_detail", "threshold_split", "structural_losses",
-    "recoverable_profit", "loss_concentration", "hidden_losses", "discount_trend", "ratio",
+    "recoverable_profit", "loss_concentration", "hidden_losses", "discount_trend",
 ]
