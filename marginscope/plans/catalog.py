@@ -20,7 +20,7 @@ from ..operators import ranking as R
 from ..operators import trends as T
 from ..operators.rollup import margin_rollup
 from ..sources.schema import BUSINESS_KEY, COLUMNS
-from ..sources.table import line_items
+from ..sources.table import line_items, line_items_via_csv
 from . import params as P
 
 
@@ -133,3 +133,6 @@ def _over_star(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 
 # Query name -> plan over the star tables of ``sf_dir`` (the driver contract).
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _over_star(f) for k, f in REPORTS.items()}
+# The CSV source and sink on the same data: the tier report over line items
+# that went through write_line_items_csv -> read_line_items_csv.
+QUERIES["csv_source_tiers"] = lambda spark, sf_dir: D.discount_tiers(line_items_via_csv(spark, sf_dir))

@@ -19,7 +19,7 @@ from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star
 
 _BUILT: dict[tuple[str, str], str] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: the CSV copy builds the table first
 
 
 def write_line_items(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
@@ -39,6 +39,31 @@ def read_line_items(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.parquet(path)
 
 
+def _fingerprint_key(spark: SparkSession, sf_dir: str) -> tuple[tuple[str, str], str]:
+    fp = fingerprint([os.path.join(sf_dir, f"{t}.parquet") for t in STAR_TABLES])
+    return (app_id(spark), f"{os.path.abspath(sf_dir)}:{fp}"), fp
+
+
+def line_items_via_csv(spark: SparkSession, sf_dir: str, charset: str = "cp1252") -> DataFrame:
+    """The line items of ``sf_dir`` after a round trip through the CSV sink and the gated CSV source.
+
+    The CSV copy is written once per session and input version into the
+    checkpoint folder; reading it back runs the full CSV path (charset,
+    quoting, empty vs NULL, exact decimals, malformed-row gate).
+    """
+    from .csv import read_line_items_csv, write_line_items_csv
+
+    key, fp = _fingerprint_key(spark, sf_dir)
+    key = (key[0], key[1] + ":csv:" + charset)
+    with _LOCK:
+        path = _BUILT.get(key)
+        if path is None:
+            path = scratch_path(spark, "line_items_csv", fp)
+            write_line_items_csv(line_items(spark, sf_dir), path, charset=charset)
+            _BUILT[key] = path
+    return read_line_items_csv(spark, path, schema=LINE_ITEM_SCHEMA, charset=charset)
+
+
 def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """Line items derived from the star tables in ``sf_dir``.
 
@@ -48,9 +73,7 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     """
     if not materialize:
         return line_items_from_star(spark, sf_dir)
-    app = app_id(spark)
-    fp = fingerprint([os.path.join(sf_dir, f"{t}.parquet") for t in STAR_TABLES])
-    key = (app, f"{os.path.abspath(sf_dir)}:{fp}")
+    key, fp = _fingerprint_key(spark, sf_dir)
     with _LOCK:
         path = _BUILT.get(key)
         if path is None:
