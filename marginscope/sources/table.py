@@ -13,6 +13,7 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import app_id, fingerprint, scratch_path
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
@@ -22,13 +23,29 @@ _BUILT: dict[tuple[str, str], str] = {}
 _LOCK = threading.RLock()  # re-entrant: the CSV copy builds the table first
 
 
+DERIVED_PARTITIONS = {
+    "order_year": lambda: F.year("order_date"),
+    "order_month": lambda: F.date_format("order_date", "yyyy-MM"),
+}
+
+
 def write_line_items(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
-    """Write line items as parquet; ``overwrite`` makes a reload idempotent."""
+    """Write line items as parquet; ``overwrite`` makes a reload idempotent.
+
+    ``partition_by`` adds directory partitions (e.g. ``order_year``, derived
+    from ``order_date`` when the frame has no such column) on top of the
+    range clustering by date.
+    """
+    parts = list(partition_by or [])
+    extra = [
+        F.col(c) if c in df.columns else DERIVED_PARTITIONS[c]().alias(c)
+        for c in parts if c not in COLUMNS
+    ]
     # row_id breaks ties so a date holding a large share of rows still spreads over tasks.
-    out = df.select(*COLUMNS).repartitionByRange("order_date", "row_id").sortWithinPartitions("order_date")
+    out = df.select(*COLUMNS, *extra).repartitionByRange("order_date", "row_id").sortWithinPartitions("order_date")
     w = out.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    if parts:
+        w = w.partitionBy(*parts)
     w.parquet(path)
     return path
 

@@ -50,3 +50,21 @@ def test_declared_star_schemas_match_files(spark):
     inferred = read_star(spark, "/root/testdata/sf0.001", declared=False)
     for t in declared:
         assert declared[t].schema.simpleString() == inferred[t].schema.simpleString(), t
+
+
+def test_partitioned_write_prunes_by_directory(spark, li001):
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from marginscope.sources.table import read_line_items, write_line_items
+
+    out = os.path.join(tempfile.mkdtemp(prefix="run-part-", dir="/tmp"), "t")
+    write_line_items(li001, out, partition_by=["order_year"])
+    back = read_line_items(spark, out)
+    assert back.count() == 6000 and "order_year" in back.columns
+    assert sorted(os.listdir(out))[0].startswith("_SUCCESS") or any(n.startswith("order_year=") for n in os.listdir(out))
+    one = back.where("order_year = 1997")
+    assert "PartitionFilters: [isnotnull(order_year" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == li001.where(F.year("order_date") == 1997).count()

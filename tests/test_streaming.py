@@ -26,3 +26,17 @@ def test_stream_matches_batch(spark, li001):
     got = sorted(tuple(r) for r in spark.table("tiers_t1").collect())
     want = sorted(tuple(r) for r in discount_tiers(li001).collect())
     assert got == want
+
+
+def test_stream_to_parquet_snapshot(spark, li001):
+    from marginscope.streaming import margin_rollup_stream
+
+    d = tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
+    inbox, out = os.path.join(d, "inbox"), os.path.join(d, "out")
+    li001.write.parquet(os.path.join(inbox, "load=1"))
+    q = start(margin_rollup_stream(line_item_stream(spark, inbox), ["region"]), "by_region_t",
+              sink=out, checkpoint=os.path.join(d, "ck"))
+    q.awaitTermination()
+    snap = {r.region: r.num_orders for r in spark.read.parquet(out).collect()}
+    want = {r.region: r["count"] for r in li001.groupBy("region").count().collect()}
+    assert snap == want
