@@ -21,7 +21,7 @@ from .plans.catalog import build_reports
 from .plans import params as P
 from .session import get_spark
 from .sources.csv import read_line_items_csv
-from .sources.star import line_items_from_star
+from .sources.star import line_items_from_star, star_counts
 from .sources.table import read_line_items, write_line_items
 
 
@@ -50,10 +50,11 @@ def run(args: argparse.Namespace) -> dict:
     table = os.path.join(args.out, "line_items")
     if args.csv:
         raw = read_line_items_csv(spark, args.csv, charset=args.charset, date_format=args.date_format)
-        write_line_items(raw, table)
+        write_line_items(raw, table, rows=raw.count())  # raw is checkpointed: a cheap count
         li = read_line_items(spark, table)
     elif args.star:
-        write_line_items(line_items_from_star(spark, args.star), table)
+        counts = star_counts(spark, args.star)
+        write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"])
         li = read_line_items(spark, table)
     else:
         li = read_line_items(spark, args.parquet)

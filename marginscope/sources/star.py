@@ -106,8 +106,21 @@ def spread_if_narrow(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df
 
 
-def line_items_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy line-item DataFrame over the star tables in ``sf_dir``."""
+COUNTED = ("lineitem", "orders", "customer", "part", "supplier")
+
+
+def star_counts(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Row counts of the fact and the growing dimensions, in one metadata-only job."""
+    t = read_star(spark, sf_dir)
+    return row_counts({k: t[k] for k in COUNTED})
+
+
+def line_items_from_star(spark: SparkSession, sf_dir: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """Lazy line-item DataFrame over the star tables in ``sf_dir``.
+
+    ``counts`` (from ``star_counts``) proves the dimension sizes for the
+    broadcast decisions; it is computed here when not given.
+    """
     t = read_star(spark, sf_dir)
     geo = (
         t["nation"].select("n_nationkey", "n_name", "n_regionkey")
@@ -121,7 +134,7 @@ def line_items_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("s_suppkey", "s_name", "n_name", "r_name")
     )
     # One metadata-only job proves the size of every growing dimension.
-    n = row_counts({k: t[k] for k in ("orders", "customer", "part", "supplier")})
+    n = counts if counts is not None else row_counts({k: t[k] for k in COUNTED})
     ordc = (
         t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         .join(bounded_broadcast(t["customer"].select("c_custkey", "c_name", "c_mktsegment"), n["customer"]),

@@ -17,24 +17,36 @@ from pyspark.sql import functions as F
 
 from ..session import app_id, fingerprint, scratch_path
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
-from .star import STAR_TABLES, line_items_from_star
+from .star import STAR_TABLES, line_items_from_star, star_counts
 
 _BUILT: dict[tuple[str, str], str] = {}
 _LOCK = threading.RLock()  # re-entrant: the CSV copy builds the table first
 
 
+# About 220 MB of parquet per file at ~44 bytes per compressed line.
+ROWS_PER_FILE = 5_000_000
+
 DERIVED_PARTITIONS = {
     "order_year": lambda: F.year("order_date"),
     "order_month": lambda: F.date_format("order_date", "yyyy-MM"),
 }
 
 
-def write_line_items(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
+def write_line_items(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    partition_by: list[str] | None = None,
+    rows: int | None = None,
+) -> str:
     """Write line items as parquet; ``overwrite`` makes a reload idempotent.
 
     ``partition_by`` adds directory partitions (e.g. ``order_year``, derived
     from ``order_date`` when the frame has no such column) on top of the
-    range clustering by date.
+    range clustering by date. ``rows`` (a known row count) sizes the files:
+    when the data needs more ranges than ``spark.sql.shuffle.partitions``
+    gives, one range per ``ROWS_PER_FILE`` rows is used; below that AQE
+    coalesces the ranges of a small table.
     """
     parts = list(partition_by or [])
     extra = [
@@ -42,7 +54,12 @@ def write_line_items(df: DataFrame, path: str, mode: str = "overwrite", partitio
         for c in parts if c not in COLUMNS
     ]
     # row_id breaks ties so a date holding a large share of rows still spreads over tasks.
-    out = df.select(*COLUMNS, *extra).repartitionByRange("order_date", "row_id").sortWithinPartitions("order_date")
+    keys = ("order_date", "row_id")
+    out = df.select(*COLUMNS, *extra)
+    need = -(-rows // ROWS_PER_FILE) if rows else 0
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = out.repartitionByRange(need, *keys) if need > configured else out.repartitionByRange(*keys)
+    out = out.sortWithinPartitions("order_date")
     w = out.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts)
@@ -95,6 +112,7 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
         path = _BUILT.get(key)
         if path is None:
             path = scratch_path(spark, "line_items", fp)
-            write_line_items(line_items_from_star(spark, sf_dir), path)
+            counts = star_counts(spark, sf_dir)  # one job: fact size for the files, dimension sizes for broadcasts
+            write_line_items(line_items_from_star(spark, sf_dir, counts), path, rows=counts["lineitem"])
             _BUILT[key] = path
     return read_line_items(spark, path, LINE_ITEM_SCHEMA)

@@ -68,3 +68,17 @@ def test_partitioned_write_prunes_by_directory(spark, li001):
     one = back.where("order_year = 1997")
     assert "PartitionFilters: [isnotnull(order_year" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == li001.where(F.year("order_date") == 1997).count()
+
+
+def test_write_sizes_files_by_rows(spark, li001, monkeypatch):
+    import os
+    import tempfile
+
+    from marginscope.sources import table
+
+    monkeypatch.setattr(table, "ROWS_PER_FILE", 500)  # 6,000 rows -> 12 ranges > 8 configured
+    out = os.path.join(tempfile.mkdtemp(prefix="run-size-", dir="/tmp"), "t")
+    table.write_line_items(li001, out, rows=6000)
+    files = [f for f in os.listdir(out) if f.endswith(".parquet")]
+    assert len(files) == 12
+    assert table.read_line_items(spark, out).count() == 6000
