@@ -20,7 +20,7 @@ from .operators.quality import quality_report
 from .plans.catalog import build_reports
 from .plans import params as P
 from .session import get_spark
-from .sources.csv import read_line_items_csv
+from .sources.csv import load_csv_table
 from .sources.star import line_items_from_star, star_counts
 from .sources.table import read_line_items, write_line_items
 
@@ -49,9 +49,7 @@ def run(args: argparse.Namespace) -> dict:
     spark = get_spark(args.master)
     table = os.path.join(args.out, "line_items")
     if args.csv:
-        raw = read_line_items_csv(spark, args.csv, charset=args.charset, date_format=args.date_format)
-        write_line_items(raw, table, rows=raw.count())  # raw is checkpointed: a cheap count
-        li = read_line_items(spark, table)
+        li = load_csv_table(spark, args.csv, table, charset=args.charset, date_format=args.date_format)
     elif args.star:
         counts = star_counts(spark, args.star)
         write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"])

@@ -38,12 +38,14 @@ def write_line_items(
     mode: str = "overwrite",
     partition_by: list[str] | None = None,
     rows: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> str:
     """Write line items as parquet; ``overwrite`` makes a reload idempotent.
 
     ``partition_by`` adds directory partitions (e.g. ``order_year``, derived
     from ``order_date`` when the frame has no such column) on top of the
-    range clustering by date. ``rows`` (a known row count) sizes the files:
+    range clustering by date. ``keep`` names extra columns to write as they
+    are (e.g. the CSV source's ``_corrupt_record``). ``rows`` (a known row count) sizes the files:
     when the data needs more ranges than ``spark.sql.shuffle.partitions``
     gives, one range per ``ROWS_PER_FILE`` rows is used; below that AQE
     coalesces the ranges of a small table.
@@ -55,7 +57,7 @@ def write_line_items(
     ]
     # row_id breaks ties so a date holding a large share of rows still spreads over tasks.
     keys = ("order_date", "row_id")
-    out = df.select(*COLUMNS, *extra)
+    out = df.select(*COLUMNS, *extra, *keep)
     need = -(-rows // ROWS_PER_FILE) if rows else 0
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     out = out.repartitionByRange(need, *keys) if need > configured else out.repartitionByRange(*keys)

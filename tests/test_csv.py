@@ -91,3 +91,16 @@ def test_writer_round_trips_awkward_text(spark):
     write_line_items_csv(df, out)
     back = read_line_items_csv(spark, out, schema=CSV_SCHEMA)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_load_csv_table_gates_without_a_second_copy(spark):
+    from marginscope.sources.csv import load_csv_table
+
+    good = _write([_line(i) for i in range(1, 6)])
+    out = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
+    t = load_csv_table(spark, good, out)
+    assert t.count() == 5 and "_corrupt_record" not in t.columns
+    bad = _write([_line(1), _line(2) + ",extra", "3,CA-2016-1,2016-11-08"])
+    out2 = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
+    with pytest.raises(ValueError, match="2 malformed"):
+        load_csv_table(spark, bad, out2)
