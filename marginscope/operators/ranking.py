@@ -31,6 +31,7 @@ def rank_within(
     n: int | None = None,
     rank_name: str = "rank",
     value_name: str = "total_profit",
+    distributed: bool = False,
 ) -> DataFrame:
     """Sum ``measure`` per (group, item) and RANK items within each group.
 
@@ -40,14 +41,18 @@ def rank_within(
     With ``n`` the per-task WindowGroupLimit keeps the shuffle small for any
     number of items. Without ``n`` every item of a group is ranked in the
     group's task, which is meant for bounded item domains (brands or
-    sub-categories within a region), not for millions of customers.
+    sub-categories within a region); ``distributed=True`` ranks any number of
+    items per group without a per-group task (``rank_distributed``).
     """
     group = [group] if isinstance(group, str) else list(group)
     item = [item] if isinstance(item, str) else list(item)
     agg = df.groupBy(*group, *item).agg(F.sum(measure).alias(value_name))
     v = F.col(value_name)
-    w = Window.partitionBy(*group).orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_first())
-    ranked = agg.withColumn(rank_name, F.rank().over(w))
+    if distributed:
+        ranked = rank_distributed(agg, group, value_name, ascending, rank_name)
+    else:
+        w = Window.partitionBy(*group).orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_first())
+        ranked = agg.withColumn(rank_name, F.rank().over(w))
     if n is not None:
         ranked = ranked.where(F.col(rank_name) <= n)
     return ranked.select(
@@ -101,3 +106,44 @@ def ntile_distributed(df: DataFrame, k: int, order: Sequence[Column], name: str
         .withColumn(name, ntile_bucket("_rn", "_total", k))
         .drop("_pid", "_mid", "_off", "_total", "_rn")
     )
+
+
+def rank_distributed(
+    df: DataFrame, group: Sequence[str], value: str, ascending: bool = False, name: str = "rank"
+) -> DataFrame:
+    """``df`` plus RANK() OVER (PARTITION BY group ORDER BY value) with no per-group task.
+
+    RANK of a row is 1 + the number of rows of its group with a strictly
+    better value. The rows are first counted per (group, value); a segmented
+    prefix sum of those counts in (group, value) order then gives the rank of
+    each distinct value: range-partition the counts (checkpointed, so both
+    passes see the same ranges), sum within each range per group, and add
+    the totals of the group in earlier ranges. The windows involved see one
+    range partition, or one row per range partition and group, never a whole
+    group. The rank is joined back on (group, value), null-safe.
+    """
+    group = list(group)
+    v = F.col(value)
+    vorder = v.asc_nulls_last() if ascending else v.desc_nulls_first()
+    order = [*[F.col(g).asc_nulls_last() for g in group], vorder]
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    numbered = (
+        counts.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _IDX_BITS))
+        .checkpoint(eager=True)
+    )
+    before = Window.partitionBy("_pid", *group).orderBy(vorder).rowsBetween(Window.unboundedPreceding, -1)
+    local = numbered.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    totals = numbered.groupBy("_pid", *group).agg(F.sum("_c").alias("_t"))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *group, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    keys = ["_pid", *group]
+    ranks = (
+        local.alias("l").join(offsets.alias("o"), [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+        .select(*[F.col(f"l.{g}").alias(f"_g{i}") for i, g in enumerate(group)],
+                F.col(f"l.{value}").alias("_v"),
+                (F.lit(1) + F.col("o._off") + F.col("l._before")).cast("int").alias(name))
+    )
+    cond = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [v.eqNullSafe(F.col("_v"))]
+    return df.join(ranks, cond).drop(*[f"_g{i}" for i in range(len(group))], "_v")

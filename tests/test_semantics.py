@@ -143,3 +143,26 @@ def test_distributed_ntile_splits_a_hot_value(spark):
     got = {r.name: r.b for r in ranking.ntile_distributed(df, 10, order, name="b").collect()}
     ref = {r.name: r.b for r in df.select("name", F.ntile(10).over(Window.orderBy(*order)).alias("b")).collect()}
     assert got == ref
+
+
+@pytest.mark.parametrize("ascending", [False, True])
+def test_distributed_rank_equals_rank(spark, ascending):
+    # one hot group holding a third of the items, many value ties, a NULL group and NULL values
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 97 == 1, F.lit(None))
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("grp"),
+        F.format_string("i%05d", F.col("id")).alias("item"),
+        F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise((F.col("id") * 7919 % 41)).cast("decimal(20,2)").alias("v"),
+    ).repartition(5)
+    got = ranking.rank_distributed(df, ["grp"], "v", ascending, "rk")
+    o = F.col("v").asc_nulls_last() if ascending else F.col("v").desc_nulls_first()
+    ref = df.withColumn("rk", F.rank().over(Window.partitionBy("grp").orderBy(o)))
+    g = {r.item: (r.grp, r.v, r.rk) for r in got.select("grp", "item", "v", "rk").collect()}
+    e = {r.item: (r.grp, r.v, r.rk) for r in ref.select("grp", "item", "v", "rk").collect()}
+    assert len(g) == 3000 and g == e
+
+
+def test_rank_within_distributed_flag(li001):
+    a = ranking.rank_within(li001, "region", "customer_name", rank_name="r").collect()
+    b = ranking.rank_within(li001, "region", "customer_name", rank_name="r", distributed=True).collect()
+    assert a == b
