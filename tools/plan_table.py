@@ -44,6 +44,9 @@ NOTES = {
     "enriched_export": "range-partitioned global sort by row_id (no single task)",
     "filtered_view": "all dashboard filters pushed to the scan (IN lists, date range)",
     "discount_trend": "algebraic regression aggregates: partial per task, one merge",
+    "csv_source_tiers": "tier report over the CSV copy: scan of the gated, checkpointed CSV rows",
+    "by_category_subcategory": "group-by with partial aggregation; sorted report",
+    "monthly_summary": "group-by on the month bucket (a DATE), partial aggregation",
 }
 
 
