@@ -66,3 +66,25 @@ def apply_filters(
         lo, hi = date_range
         out = out.where(F.col(date_col).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
     return out
+
+
+def dashboard_views(df: DataFrame, **filters) -> dict[str, DataFrame]:
+    """The four linked dashboard views over one filtered line-item frame.
+
+    Every view is an aggregate of the same filtered rows, so a region,
+    category, segment or date filter acts on all of them at once (and
+    reaches the parquet scan of each).
+    """
+    from .discount import discount_trend
+    from .rollup import margin_rollup
+    from .trends import period_rollup
+
+    f = apply_filters(df, **filters)
+    return {
+        "profit_by_state": margin_rollup(f, ["state"], order=["total_profit"]),
+        "profit_by_subcategory": margin_rollup(
+            f, ["category", "sub_category"],
+            ["total_sales", "total_profit", "profit_margin_pct", "avg_discount", "line_items"], order=["total_profit"]),
+        "monthly_sales_profit": period_rollup(f),
+        "discount_vs_profit": discount_trend(f),
+    }

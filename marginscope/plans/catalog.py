@@ -119,7 +119,10 @@ def build_reports(
         "multi_region_accounts": (lambda df: K.multi_region_accounts(df, 20)),
         # --- export and dashboard feeds ----------------------------------------------
         "enriched_export": (X.enriched_export),
-        "filtered_view": (lambda df: margin_rollup(X.apply_filters(df, **filters), ["state"], order=["total_profit"])),
+        "filtered_view": (lambda df: X.dashboard_views(df, **filters)["profit_by_state"]),
+        "filtered_subcategory_view": (lambda df: X.dashboard_views(df, **filters)["profit_by_subcategory"]),
+        "filtered_monthly_view": (lambda df: X.dashboard_views(df, **filters)["monthly_sales_profit"]),
+        "filtered_trend_view": (lambda df: X.dashboard_views(df, **filters)["discount_vs_profit"]),
     }
 
 

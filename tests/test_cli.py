@@ -30,7 +30,7 @@ def test_run_from_star_all_reports(spark):
     assert summary["failed_rules"] == ["duplicate_row_id", "ship_before_order"]
     from marginscope.plans import REPORTS
 
-    assert len(summary["reports"]) == len(REPORTS) == 50
+    assert len(summary["reports"]) == len(REPORTS) == 53
     assert summary["reports"]["enriched_export"]["rows"] == 6000
     assert summary["reports"]["thin_margin_accounts"]["rows"] == 14
 

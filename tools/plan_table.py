@@ -43,6 +43,9 @@ NOTES = {
     "customer_detail": "equality pushed to the parquet scan; range sort of the matches",
     "enriched_export": "range-partitioned global sort by row_id (no single task)",
     "filtered_view": "all dashboard filters pushed to the scan (IN lists, date range)",
+    "filtered_subcategory_view": "same filters, pushed to the scan",
+    "filtered_monthly_view": "same filters, pushed to the scan",
+    "filtered_trend_view": "same filters, pushed to the scan; algebraic regression aggregates",
     "discount_trend": "algebraic regression aggregates: partial per task, one merge",
     "csv_source_tiers": "tier report over the CSV copy: scan of the gated, checkpointed CSV rows",
     "by_category_subcategory": "group-by with partial aggregation; sorted report",
