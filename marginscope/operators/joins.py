@@ -18,7 +18,7 @@ def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
     return {r.k: r.n for r in reduce(DataFrame.unionAll, parts).collect()}
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, rows: int, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if its proven row count ``rows`` is <= ``max_rows``, else ``df``.
 
     ``rows`` must bound the frame's rows (its own count, or the count of the
@@ -26,4 +26,5 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_RO
     planner: a sort-merge join, which AQE turns into a broadcast only when
     runtime sizes allow, and whose skewed keys AQE splits.
     """
-    return F.broadcast(df) if rows <= max_rows else df
+    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if rows <= bound else df

@@ -82,3 +82,23 @@ def test_write_sizes_files_by_rows(spark, li001, monkeypatch):
     files = [f for f in os.listdir(out) if f.endswith(".parquet")]
     assert len(files) == 12
     assert table.read_line_items(spark, out).count() == 6000
+
+
+def test_large_dimensions_take_the_shuffle_join_path(spark, li001, monkeypatch):
+    from marginscope.operators import joins
+    from marginscope.sources import star
+
+    # pretend every growing dimension is over the broadcast bound; turn off Spark's own
+    # size-based broadcast too, so the plan is the one a 100 TB run gets
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 5)  # below every dimension (10 suppliers at sf0.001)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = star.line_items_from_star(spark, "/root/testdata/sf0.001")
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 4  # orders-customer, lineitem-orders, -part, -supplier
+        assert plan.count("BroadcastHashJoin") == 2  # nation and region: bounded by the spec
+        assert big.exceptAll(li001).count() == 0 and li001.exceptAll(big).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
