@@ -41,18 +41,22 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--customer", default=P.NAMED_CUSTOMER, help="customer for the regional profile and detail")
     a.add_argument("--allow", default="", help="comma list of quality rules that may fail without stopping the run")
     a.add_argument("--no-gate", action="store_true", help="report quality but never stop")
+    a.add_argument("--partition-by", default="", help="directory partitions of the table, e.g. order_year")
     a.add_argument("--master", default=None)
     return a.parse_args(argv)
 
 
 def run(args: argparse.Namespace) -> dict:
     spark = get_spark(args.master)
+    parts = [p for p in args.partition_by.split(",") if p]
     table = os.path.join(args.out, "line_items")
     if args.csv:
-        li = load_csv_table(spark, args.csv, table, charset=args.charset, date_format=args.date_format)
+        li = load_csv_table(spark, args.csv, table, charset=args.charset, date_format=args.date_format,
+                            partition_by=parts)
     elif args.star:
         counts = star_counts(spark, args.star)
-        write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"])
+        write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"],
+                         partition_by=parts)
         li = read_line_items(spark, table)
     else:
         li = read_line_items(spark, args.parquet)

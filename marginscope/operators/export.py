@@ -54,7 +54,12 @@ def apply_filters(
     date_range: tuple[date | str, date | str] | None = None,
     date_col: str = "order_date",
 ) -> DataFrame:
-    """Dashboard filters: IN lists and an inclusive date range (pushed to the scan)."""
+    """Dashboard filters: IN lists and an inclusive date range (pushed to the scan).
+
+    On a table written with ``partition_by=["order_year"]`` the date range is
+    also applied to the partition column, so whole year directories are
+    skipped.
+    """
     out = df
     if regions:
         out = out.where(F.col("region").isin(list(regions)))
@@ -63,8 +68,11 @@ def apply_filters(
     if segments:
         out = out.where(F.col("segment").isin(list(segments)))
     if date_range:
-        lo, hi = date_range
-        out = out.where(F.col(date_col).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+        lo, hi = (F.lit(x).cast("date") for x in date_range)
+        out = out.where(F.col(date_col).between(lo, hi))
+        if date_col == "order_date" and "order_year" in df.columns:
+            # a table partitioned by order year: the same range as a partition filter skips directories
+            out = out.where(F.col("order_year").between(F.year(lo), F.year(hi)))
     return out
 
 

@@ -77,3 +77,18 @@ def test_top_and_multi_region_parameters(li001):
 def test_versus_company_gap(li001):
     prof = K.versus_company(K.account_profile(li001, ["Customer#000000001"], by=()), li001).first()
     assert round(prof.avg_discount_given - prof.company_avg_discount, 3) == prof.discount_vs_company
+
+
+def test_date_filter_prunes_year_directories(spark, li001):
+    import os
+    import tempfile
+
+    from marginscope.sources.table import read_line_items, write_line_items
+
+    out = os.path.join(tempfile.mkdtemp(prefix="run-prune-", dir="/tmp"), "t")
+    write_line_items(li001, out, partition_by=["order_year"])
+    t = read_line_items(spark, out)
+    f = X.apply_filters(t, date_range=("1997-03-01", "1998-02-28"))
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan and "order_year#" in plan.split("PartitionFilters: [")[1][:200]
+    assert f.count() == X.apply_filters(li001, date_range=("1997-03-01", "1998-02-28")).count()
