@@ -104,3 +104,11 @@ def test_load_csv_table_gates_without_a_second_copy(spark):
     out2 = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
     with pytest.raises(ValueError, match="2 malformed"):
         load_csv_table(spark, bad, out2)
+
+
+def test_us_date_format(spark):
+    # The date text format is a parameter (the source export writes M/d/yyyy)
+    line = _line(1).replace("2016-11-08,2016-11-11", "11/8/2016,11/11/2016")
+    df = read_line_items_csv(spark, _write([line]), date_format="M/d/yyyy")
+    r = df.first()
+    assert (r.order_date, r.ship_date) == (date(2016, 11, 8), date(2016, 11, 11))

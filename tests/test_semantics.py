@@ -166,3 +166,25 @@ def test_rank_within_distributed_flag(li001):
     a = ranking.rank_within(li001, "region", "customer_name", rank_name="r").collect()
     b = ranking.rank_within(li001, "region", "customer_name", rank_name="r", distributed=True).collect()
     assert a == b
+
+
+def test_null_order_follows_source_sql(spark):
+    # Ascending puts NULLs last, descending puts them first
+    df = spark.createDataFrame(
+        [("a", D("1.00"), D("1.00"), D("0")), ("b", D("2.00"), None, D("0")), ("c", D("3.00"), D("-1.00"), D("0"))],
+        "g string, sales decimal(10,2), profit decimal(10,2), discount decimal(4,2)")
+    asc = [r.g for r in margin_rollup(df, ["g"], order=["total_profit"]).collect()]
+    assert asc == ["c", "a", "b"]
+    desc = [r.g for r in margin_rollup(df, ["g"], order=[F.col("total_profit").desc_nulls_first()]).collect()]
+    assert desc == ["b", "a", "c"]
+
+
+def test_top_k_ties_broken_by_name(spark):
+    # Equal profits -> the alphabetically first names win, every time
+    from marginscope.operators.customers import top_customers
+
+    rows = [(f"C{i:02d}", f"O{i}", D("10.00"), D("5.00"), D("0.10")) for i in range(12)]
+    df = spark.createDataFrame(rows, "customer_name string, order_id string, sales decimal(10,2), "
+                                     "profit decimal(10,2), discount decimal(4,2)").repartition(4)
+    got = [r.customer_name for r in top_customers(df, 3).collect()]
+    assert got == ["C00", "C01", "C02"]
