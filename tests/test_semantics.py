@@ -98,8 +98,6 @@ def test_distributed_ntile_equals_ntile(spark, n, k):
 
 
 def test_ntile_formula_matches_definition():
-    from pyspark.sql import SparkSession  # noqa: F401  (formula checked in pure Python below)
-
     def ref(n, k):
         q, r = divmod(n, k)
         out = []
