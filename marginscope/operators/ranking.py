@@ -1,4 +1,4 @@
-"""Ranking within groups (O15) and a distributed NTILE.
+"""Ranking within groups (O15), and NTILE / RANK without a single-task window.
 
 ``rank_within`` aggregates first and ranks the aggregate; with ``n`` the
 ``rank <= n`` filter sits right on the window, which Catalyst turns into a
@@ -9,7 +9,8 @@ group), so a group with millions of members never moves whole.
 as one task. ``ntile_distributed`` computes the same buckets with every step
 partitioned: range-partition on the (total) order, number rows within each
 range, add the row counts of the ranges before it, and map the global row
-number to its bucket with the NTILE formula.
+number to its bucket with the NTILE formula. ``rank_distributed`` does the
+same for RANK within groups of any size.
 """
 
 from __future__ import annotations
