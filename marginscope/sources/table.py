@@ -2,9 +2,11 @@
 
 Every query in the catalog scans the same wide table, so it is built from
 its sources once and written as parquet (the load step of the analysis).
-The write range-partitions on ``order_date`` so each file covers a date
-range: date filters skip files and row groups from parquet min/max stats,
-and the files are sized by AQE, not by the input layout.
+The write range-partitions on ``(order_date, row_id)`` so each file covers a
+date range: date filters skip files and row groups from parquet min/max
+stats, and a date holding a large share of the rows still spreads over
+tasks. Files are sized from the row count (``ROWS_PER_FILE``) when the data
+is large and coalesced by AQE when it is small, never by the input layout.
 """
 
 from __future__ import annotations
