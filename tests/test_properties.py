@@ -40,3 +40,25 @@ def test_rank_property(spark, n, groups, distinct, parts, seed, ascending):
     got = {r.key: r.rk for r in ranking.rank_distributed(df, ["grp"], "v", ascending, "rk").collect()}
     ref = {r.key: r.rk for r in df.withColumn("rk", F.rank().over(Window.partitionBy("grp").orderBy(o))).collect()}
     assert got == ref
+
+
+@SETTINGS
+@given(rows=st.lists(
+    st.tuples(st.integers(0, 3), st.integers(1, 10_000_000), st.integers(-5_000_000, 5_000_000), st.integers(0, 80)),
+    min_size=1, max_size=300))
+def test_exact_rounding_property(spark, rows):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from marginscope.functions import margin_pct, mean
+
+    data = [(g, Decimal(s) / 100, Decimal(p) / 100, Decimal(d) / 100) for g, s, p, d in rows]
+    df = spark.createDataFrame(data, "g int, sales decimal(10,2), profit decimal(10,2), discount decimal(4,2)")
+    got = {r.g: (r.m, r.a) for r in df.groupBy("g").agg(margin_pct().alias("m"), mean("discount", 4).alias("a")).collect()}
+    want = {}
+    for g in {r[0] for r in data}:
+        grp = [r for r in data if r[0] == g]
+        s, p = sum(r[1] for r in grp), sum(r[2] for r in grp)
+        m = float((p * 100 / s).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        a = float((sum(r[3] for r in grp) / len(grp)).quantize(Decimal("0.0001"), rounding=ROUND_HALF_UP))
+        want[g] = (m, a)
+    assert got == want
