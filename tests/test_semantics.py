@@ -186,3 +186,9 @@ def test_top_k_ties_broken_by_name(spark):
                                      "profit decimal(10,2), discount decimal(4,2)").repartition(4)
     got = [r.customer_name for r in top_customers(df, 3).collect()]
     assert got == ["C00", "C01", "C02"]
+
+
+def test_distributed_windows_on_empty_input(spark):
+    df = spark.createDataFrame([], "grp string, key string, v decimal(20,2)")
+    assert ranking.ntile_distributed(df, 10, [F.col("v").desc(), F.col("key")], name="b").count() == 0
+    assert ranking.rank_distributed(df, ["grp"], "v").count() == 0
