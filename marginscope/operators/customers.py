@@ -47,8 +47,8 @@ def sales_deciles(df: DataFrame, buckets: int = 10, key: str = "customer_name")
     return ntile_distributed(customer_metrics(df, key), buckets, order, name="sales_decile")
 
 
-def _thin(df: DataFrame, buckets: int, bucket: int, max_margin: float, key: str) -> DataFrame:
-    d = sales_deciles(df, buckets, key)
+def _thin(df: DataFrame, buckets: int, bucket: int, max_margin: float, key: str, deciles: DataFrame | None) -> DataFrame:
+    d = sales_deciles(df, buckets, key) if deciles is None else deciles
     return d.where((F.col("sales_decile") == bucket) & (F.col("margin_pct") < max_margin))
 
 
@@ -59,18 +59,26 @@ def thin_margin_accounts(
     max_margin: float = 5,
     key: str = "customer_name",
     columns: Sequence[str] = ("total_sales", "total_profit", "margin_pct", "avg_discount"),
+    deciles: DataFrame | None = None,
 ) -> DataFrame:
-    """Customers in the top sales bucket whose (rounded) margin is below ``max_margin`` %."""
-    kept = _thin(df, buckets, bucket, max_margin, key)
+    """Customers in the top sales bucket whose (rounded) margin is below ``max_margin`` %.
+
+    ``deciles`` is an already computed ``sales_deciles(df, buckets, key)``
+    (shared by several reports over the same table); computed here if absent.
+    """
+    kept = _thin(df, buckets, bucket, max_margin, key, deciles)
     cast = {"total_sales": F.col("total_sales").cast("double"), "total_profit": F.col("total_profit").cast("double")}
     return kept.orderBy(F.col("total_sales").desc_nulls_first(), key).select(
         key, *[cast.get(c, F.col(c)).alias(c) for c in columns]
     )
 
 
-def flagged_accounts(df: DataFrame, buckets: int = 10, bucket: int = 1, max_margin: float = 5, key: str = "customer_name") -> DataFrame:
+def flagged_accounts(
+    df: DataFrame, buckets: int = 10, bucket: int = 1, max_margin: float = 5, key: str = "customer_name",
+    deciles: DataFrame | None = None,
+) -> DataFrame:
     """Keys of the thin-margin accounts (unordered; input of a semi-join)."""
-    return _thin(df, buckets, bucket, max_margin, key).select(key)
+    return _thin(df, buckets, bucket, max_margin, key, deciles).select(key)
 
 
 def account_profile(

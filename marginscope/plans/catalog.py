@@ -34,8 +34,20 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     ])
 
 
+# Customer deciles per line-item frame: four reports use the same (checkpointed)
+# deciles, so they are computed once per frame. Holding the frame pins its id.
+_DECILES: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
+def _deciles(df: DataFrame) -> DataFrame:
+    hit = _DECILES.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = _DECILES[id(df)] = (df, K.sales_deciles(df))
+    return hit[1]
+
+
 def _flagged_profile(df: DataFrame) -> DataFrame:
-    return K.account_profile(df, K.flagged_accounts(df))
+    return K.account_profile(df, K.flagged_accounts(df, deciles=_deciles(df)))
 
 
 def build_reports(
@@ -108,8 +120,9 @@ def build_reports(
         # --- customers ---------------------------------------------------------------
         "top_customers": (lambda df: K.top_customers(df, 10)),
         "top_customers_by_profit": (lambda df: K.top_customers(df, 10, with_avg_discount=False)),
-        "thin_margin_accounts": (K.thin_margin_accounts),
-        "top_decile_thin_margin": (lambda df: K.thin_margin_accounts(df, columns=("total_sales", "margin_pct"))),
+        "thin_margin_accounts": (lambda df: K.thin_margin_accounts(df, deciles=_deciles(df))),
+        "top_decile_thin_margin": (lambda df: K.thin_margin_accounts(
+            df, columns=("total_sales", "margin_pct"), deciles=_deciles(df))),
         "flagged_account_profile": (_flagged_profile),
         "flagged_vs_company": (lambda df: K.versus_company(_flagged_profile(df), df)),
         "named_account_profile": (lambda df: K.account_profile(df, named_accounts, with_sales=False)),
