@@ -34,8 +34,8 @@ NOTES = {
     "top_customers": "per-task top-k then merge (TakeOrderedAndProject)",
     "top_customers_by_profit": "per-task top-k then merge (TakeOrderedAndProject)",
     "multi_region_accounts": "per-task top-k then merge (TakeOrderedAndProject)",
-    "thin_margin_accounts": "distributed NTILE: range ranges checkpointed, per-range offsets broadcast (one row per partition)",
-    "top_decile_thin_margin": "distributed NTILE (as above)",
+    "thin_margin_accounts": "distributed NTILE: ranges checkpointed, per-range offsets broadcast (one row per partition); deciles shared by the 4 decile reports",
+    "top_decile_thin_margin": "reuses the checkpointed deciles",
     "flagged_account_profile": "aggregate by (customer, segment, region) first, then semi-join to the flagged keys",
     "flagged_vs_company": "as above; company average is a scalar subquery evaluated once",
     "named_account_profile": "IN-list pushed to the parquet scan",
