@@ -1,5 +1,5 @@
 """Incremental (Structured Streaming) forms of the batch rollups."""
 
-from .incremental import line_item_stream, margin_rollup_stream, start, tier_rollup_stream
+from .incremental import line_item_stream, margin_rollup_stream, monthly_rollup_stream, start, tier_rollup_stream
 
-__all__ = ["line_item_stream", "margin_rollup_stream", "start", "tier_rollup_stream"]
+__all__ = ["line_item_stream", "margin_rollup_stream", "monthly_rollup_stream", "start", "tier_rollup_stream"]

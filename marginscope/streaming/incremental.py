@@ -48,6 +48,30 @@ def margin_rollup_stream(stream: DataFrame, dims: Sequence[str]) -> DataFrame:
     )
 
 
+def monthly_rollup_stream(stream: DataFrame, lateness: str = "93 days") -> DataFrame:
+    """The monthly sales / profit / margin report, one row per month once the month is closed.
+
+    Event time is the first day of the order month. With ``lateness`` longer
+    than a month, a month is emitted (append mode) when the watermark -
+    the latest order date seen minus ``lateness`` - passes its first day,
+    i.e. after the month is over and its late lines had time to arrive. Its
+    state is then dropped, so state holds only the open months.
+    """
+    month_ts = F.date_trunc("month", F.col("order_date").cast("timestamp"))
+    state = (
+        stream.withColumn("month_ts", month_ts)
+        .withWatermark("month_ts", lateness)
+        .groupBy("month_ts")
+        .agg(F.sum("sales").alias("s"), F.sum("profit").alias("p"))
+    )
+    return state.select(
+        F.col("month_ts").cast("date").alias("month"),
+        F.col("s").cast("double").alias("monthly_sales"),
+        F.col("p").cast("double").alias("monthly_profit"),
+        pct(F.col("p"), F.col("s"), 2).alias("profit_margin_pct"),
+    )
+
+
 def tier_rollup_stream(stream: DataFrame) -> DataFrame:
     """The discount-tier report, kept current as files arrive."""
     return margin_rollup_stream(stream.withColumn("discount_tier", tier_expr()), ["discount_tier"])
@@ -59,8 +83,12 @@ def start(
     sink: str = "memory",
     checkpoint: str | None = None,
     available_now: bool = True,
+    mode: str = "complete",
 ) -> StreamingQuery:
-    """Start a complete-mode query; the checkpoint lives in the shared checkpoint folder.
+    """Start a streaming query; the checkpoint lives in the shared checkpoint folder.
+
+    ``mode`` is ``complete`` for the running rollups and ``append`` for the
+    watermarked monthly report.
 
     ``sink='memory'`` exposes the result as table ``name`` (for tests and
     notebooks); any other value is a path written with ``foreachBatch``
@@ -68,9 +96,10 @@ def start(
     """
     spark = result.sparkSession
     ckpt = checkpoint or scratch_path(spark, "streams", name)
-    w = result.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(name)
+    w = result.writeStream.outputMode(mode).option("checkpointLocation", ckpt).queryName(name)
     if available_now:
         w = w.trigger(availableNow=True)
     if sink == "memory":
         return w.format("memory").start()
-    return w.foreachBatch(lambda df, _epoch: df.write.mode("overwrite").parquet(sink)).start()
+    write_mode = "overwrite" if mode == "complete" else "append"
+    return w.foreachBatch(lambda df, _epoch: df.write.mode(write_mode).parquet(sink)).start()

@@ -40,3 +40,23 @@ def test_stream_to_parquet_snapshot(spark, li001):
     snap = {r.region: r.num_orders for r in spark.read.parquet(out).collect()}
     want = {r.region: r["count"] for r in li001.groupBy("region").count().collect()}
     assert snap == want
+
+
+def test_monthly_stream_emits_closed_months(spark, li001):
+    from datetime import timedelta
+
+    from marginscope.operators.trends import period_rollup
+    from marginscope.streaming import monthly_rollup_stream
+
+    d = tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
+    inbox = os.path.join(d, "inbox")
+    for i, year in enumerate((1995, 1996, 1997)):  # one file per load, in time order
+        li001.where(F.year("order_date") == year).coalesce(1).write.parquet(os.path.join(inbox, f"load={i}"))
+    q = start(monthly_rollup_stream(line_item_stream(spark, inbox, max_files_per_trigger=1)), "months_t",
+              checkpoint=os.path.join(d, "ck"), mode="append")
+    q.awaitTermination()
+    got = {r.month: tuple(r)[1:] for r in spark.table("months_t").collect()}
+    last = li001.where(F.year("order_date") <= 1997).agg(F.max("order_date")).first()[0]
+    watermark = last.replace(day=1) - timedelta(days=93)  # never a month's first day: no 3 months sum to 93 days
+    want = {r.month: tuple(r)[1:] for r in period_rollup(li001).collect() if r.month < watermark}
+    assert got and got == want
