@@ -21,7 +21,6 @@ from ..session import app_id, fingerprint, scratch_path
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star, star_counts
 
-_BUILT: dict[tuple[str, str], str] = {}
 _FRAMES: dict[tuple[str, str], DataFrame] = {}
 _LOCK = threading.RLock()  # re-entrant: the CSV copy builds the table first
 
@@ -95,12 +94,13 @@ def line_items_via_csv(spark: SparkSession, sf_dir: str, charset: str = "cp1252"
     key, fp = _fingerprint_key(spark, sf_dir)
     key = (key[0], key[1] + ":csv:" + charset)
     with _LOCK:
-        path = _BUILT.get(key)
-        if path is None:
+        df = _FRAMES.get(key)
+        if df is None:
             path = scratch_path(spark, "line_items_csv", fp)
             write_line_items_csv(line_items(spark, sf_dir), path, charset=charset)
-            _BUILT[key] = path
-    return read_line_items_csv(spark, path, schema=LINE_ITEM_SCHEMA, charset=charset)
+            # the gated rows are checkpointed (immutable), so the frame is reused in this application
+            df = _FRAMES[key] = read_line_items_csv(spark, path, schema=LINE_ITEM_SCHEMA, charset=charset)
+    return df
 
 
 def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
