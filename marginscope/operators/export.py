@@ -1,4 +1,4 @@
-"""Enriched export (O27) and the shared dashboard filters.
+"""Enriched export (O27), the shared dashboard filters (O28) and the four linked views.
 
 The export is one row per line with three derived columns; every view of
 the dashboard is an aggregate of it after the same filters, so the filters
