@@ -17,6 +17,7 @@ import os
 import sys
 
 from .operators.quality import quality_report
+from .operators.export import write_extract
 from .plans.catalog import build_reports
 from .plans import params as P
 from .session import get_spark
@@ -36,6 +37,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--date-format", default="yyyy-MM-dd")
     a.add_argument("--reports", default="", help="comma list; default: all")
     a.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    a.add_argument("--single-file", action="store_true",
+                   help="one file per report (funnels each report through one task: for small outputs only)")
     a.add_argument("--threshold", default=P.THRESHOLD, help="deep-discount threshold as a proportion")
     a.add_argument("--accounts", default="", help="comma list of customer names to profile")
     a.add_argument("--customer", default=P.NAMED_CUSTOMER, help="customer for the regional profile and detail")
@@ -77,13 +80,9 @@ def run(args: argparse.Namespace) -> dict:
     summary = {"line_items": args.parquet or table, "failed_rules": sorted(failed), "reports": {}}
     for name in names:
         path = os.path.join(args.out, "reports", name)
-        w = reports[name](li).write.mode("overwrite")
-        if args.format == "csv":
-            w.option("header", True).csv(path)
-            rows = spark.read.option("header", True).csv(path).count()
-        else:
-            w.parquet(path)
-            rows = spark.read.parquet(path).count()
+        write_extract(reports[name](li), path, fmt=args.format, single_file=args.single_file)
+        r = spark.read.option("header", True) if args.format == "csv" else spark.read
+        rows = r.format(args.format).load(path).count()
         summary["reports"][name] = {"path": path, "rows": rows}
     return summary
 

@@ -49,3 +49,12 @@ def test_partitioned_table_from_cli(spark):
     years = sorted(n for n in os.listdir(os.path.join(out, "line_items")) if n.startswith("order_year="))
     assert len(years) >= 5
     assert summary["reports"]["headline"]["rows"] == 1
+
+
+def test_single_file_csv_reports(spark):
+    out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
+    run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--reports", "by_region,discount_tiers",
+                    "--format", "csv", "--single-file", "--allow", "ship_before_order,duplicate_row_id"]))
+    for name in ("by_region", "discount_tiers"):
+        files = [f for f in os.listdir(os.path.join(out, "reports", name)) if f.endswith(".csv")]
+        assert len(files) == 1
