@@ -16,7 +16,7 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
-    assert d["unit"] == "sec" and d["sf"] == "0.001" and d["errors"] == {}
+    assert d["unit"] == "sec" and d["sf"] == 0.001 and d["errors"] == {}
     assert set(d["queries"]) == {"load_line_items", "headline", "discount_tiers"}
     assert all(v > 0 for v in d["queries"].values())
     assert set(d["warm_queries"]) == {"headline", "discount_tiers"} and d["warm_value"] > 0
