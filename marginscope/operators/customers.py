@@ -11,12 +11,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import margin_pct, mean
+from ..functions import margin_pct, mean, pct
 from .ranking import ntile_distributed
 
+# Keys of the customer aggregate: every customer-level report groups by a subset of them.
+CUBE_KEYS = ("customer_name", "segment", "region")
 
-def customer_metrics(df: DataFrame, key: str = "customer_name") -> DataFrame:
-    """Per-customer sales, profit, margin and average discount (decimal sums kept)."""
+
+def customer_cube(df: DataFrame) -> DataFrame:
+    """Exact additive measures per (customer, segment, region).
+
+    Line count, sales, profit, discount sum and discount count are all
+    additive, so every customer-level report can be computed from these
+    rows instead of from the lines (distinct orders cannot, and stay on the
+    lines). Materialise it once (``checkpoint``) to share it between reports.
+    """
+    return df.groupBy(*CUBE_KEYS).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("sales").alias("_s"),
+        F.sum("profit").alias("_p"),
+        F.sum("discount").alias("_ds"),
+        F.count("discount").alias("_dn"),
+    )
+
+
+# Re-aggregated cube sums are cast back to the width a direct sum of the lines
+# has, so every ratio is divided at the same decimal precision as on the lines.
+def _s():
+    return F.sum("_s").cast("decimal(20,2)")
+
+
+def _p():
+    return F.sum("_p").cast("decimal(20,2)")
+
+
+def _mean_discount(digits: int):
+    n = F.sum("_dn").cast("decimal(20,0)")
+    return F.round(F.sum("_ds").cast("decimal(14,2)") / F.nullif(n, F.lit(0)), digits).cast("double")
+
+
+def customer_metrics(df: DataFrame, key: str = "customer_name", cube: DataFrame | None = None) -> DataFrame:
+    """Per-customer sales, profit, margin and average discount (decimal sums kept).
+
+    With ``cube`` (``customer_cube`` of the same lines) the sums come from it.
+    """
+    if cube is not None and key == "customer_name":
+        return cube.groupBy(key).agg(
+            _s().alias("total_sales"),
+            _p().alias("total_profit"),
+            pct(_p(), _s(), 2).alias("margin_pct"),
+            _mean_discount(4).alias("avg_discount"),
+        )
     return df.groupBy(key).agg(
         F.sum("sales").alias("total_sales"),
         F.sum("profit").alias("total_profit"),
@@ -41,10 +86,10 @@ def top_customers(df: DataFrame, n: int = 10, key: str = "customer_name", with_a
     return out.select(*cols)
 
 
-def sales_deciles(df: DataFrame, buckets: int = 10, key: str = "customer_name") -> DataFrame:
+def sales_deciles(df: DataFrame, buckets: int = 10, key: str = "customer_name", cube: DataFrame | None = None) -> DataFrame:
     """Customer metrics with NTILE(``buckets``) by sales descending (name breaks ties)."""
     order = [F.col("total_sales").desc_nulls_first(), F.col(key).asc_nulls_last()]
-    return ntile_distributed(customer_metrics(df, key), buckets, order, name="sales_decile")
+    return ntile_distributed(customer_metrics(df, key, cube), buckets, order, name="sales_decile")
 
 
 def _thin(df: DataFrame, buckets: int, bucket: int, max_margin: float, key: str, deciles: DataFrame | None) -> DataFrame:
@@ -89,19 +134,29 @@ def account_profile(
     digits: int = 3,
     discount_name: str = "avg_discount_given",
     with_sales: bool = True,
+    cube: DataFrame | None = None,
 ) -> DataFrame:
     """Discount and profit profile of chosen accounts per ``by``.
 
     ``accounts`` is a name, a list of names (a pushed-down IN filter, applied
-    before the aggregate) or a DataFrame of keys. A key DataFrame is not
+    before the aggregate) or a DataFrame of keys. With ``cube`` (and ``by``
+    within its keys) the sums come from the customer aggregate. A key DataFrame is not
     size-bounded, so the lines are aggregated first (partial aggregation
     collapses them map-side) and only the per-group rows meet the key set in
     a semi-join: the same result, with a shuffle of groups instead of lines.
     """
-    aggs = [mean("discount", digits).alias(discount_name), F.count(F.lit(1)).alias("num_orders")]
-    if with_sales:
-        aggs.append(F.sum("sales").cast("double").alias("total_sales"))
-    aggs.append(F.sum("profit").alias("tp"))
+    from_cube = cube is not None and key == "customer_name" and set(by) <= set(CUBE_KEYS)
+    if from_cube:
+        df = cube
+        aggs = [_mean_discount(digits).alias(discount_name), F.sum("_n").alias("num_orders")]
+        if with_sales:
+            aggs.append(_s().cast("double").alias("total_sales"))
+        aggs.append(_p().alias("tp"))
+    else:
+        aggs = [mean("discount", digits).alias(discount_name), F.count(F.lit(1)).alias("num_orders")]
+        if with_sales:
+            aggs.append(F.sum("sales").cast("double").alias("total_sales"))
+        aggs.append(F.sum("profit").alias("tp"))
     if isinstance(accounts, DataFrame):
         out = df.groupBy(key, *by).agg(*aggs).join(accounts.select(key), key, "left_semi")
     else:
@@ -139,11 +194,15 @@ def account_detail(df: DataFrame, customer: str, key: str = "customer_name") ->
     )
 
 
-def multi_region_accounts(df: DataFrame, n: int | None = 20, key: str = "customer_name", min_regions: int = 2) -> DataFrame:
+def multi_region_accounts(
+    df: DataFrame, n: int | None = 20, key: str = "customer_name", min_regions: int = 2, cube: DataFrame | None = None,
+) -> DataFrame:
     """Accounts active in at least ``min_regions`` regions, least profitable first."""
+    from_cube = cube is not None and key == "customer_name"
+    src, profit = (cube, _p()) if from_cube else (df, F.sum("profit"))
     out = (
-        df.groupBy(key)
-        .agg(F.count_distinct("region").alias("regions_active_in"), F.sum("profit").alias("tp"))
+        src.groupBy(key)
+        .agg(F.count_distinct("region").alias("regions_active_in"), profit.alias("tp"))
         .where(F.col("regions_active_in") >= min_regions)
         .orderBy(F.col("tp").asc_nulls_last(), key)
     )

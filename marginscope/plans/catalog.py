@@ -34,20 +34,31 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     ])
 
 
-# Customer deciles per line-item frame: four reports use the same (checkpointed)
-# deciles, so they are computed once per frame. Holding the frame pins its id.
-_DECILES: dict[int, tuple[DataFrame, DataFrame]] = {}
+# Shared intermediates per line-item frame (holding the frame pins its id):
+# the customer aggregate (exact sums per customer, segment and region, read by
+# the seven customer-level reports instead of the lines) and the customer
+# deciles (read by four reports). Both are checkpointed once: shared storage,
+# computed once, safe against lost executors.
+_SHARED: dict[tuple[str, int], tuple[DataFrame, DataFrame]] = {}
 
 
-def _deciles(df: DataFrame) -> DataFrame:
-    hit = _DECILES.get(id(df))
+def _shared(name: str, df: DataFrame, build) -> DataFrame:
+    hit = _SHARED.get((name, id(df)))
     if hit is None or hit[0] is not df:
-        hit = _DECILES[id(df)] = (df, K.sales_deciles(df))
+        hit = _SHARED[(name, id(df))] = (df, build())
     return hit[1]
 
 
+def _cube(df: DataFrame) -> DataFrame:
+    return _shared("cube", df, lambda: K.customer_cube(df).checkpoint(eager=True))
+
+
+def _deciles(df: DataFrame) -> DataFrame:
+    return _shared("deciles", df, lambda: K.sales_deciles(df, cube=_cube(df)))
+
+
 def _flagged_profile(df: DataFrame) -> DataFrame:
-    return K.account_profile(df, K.flagged_accounts(df, deciles=_deciles(df)))
+    return K.account_profile(df, K.flagged_accounts(df, deciles=_deciles(df)), cube=_cube(df))
 
 
 def build_reports(
@@ -141,7 +152,7 @@ def build_reports(
             df, "region", "sub_category", ascending=True, n=3, rank_name="worst_rank")),
         # T3
         "top5_customers_in_region": (lambda df: R.rank_within(
-            df, "region", "customer_name", n=5, rank_name="rank_in_region")),
+            _cube(df), "region", "customer_name", measure="_p", n=5, rank_name="rank_in_region")),
         # T4 A6
         "monthly_running_total": (lambda df: T.running_total(T.period_sales(df, name="monthly_sales"))),
         # T5 A7
@@ -173,14 +184,14 @@ def build_reports(
         # P6
         "flagged_vs_company": (lambda df: K.versus_company(_flagged_profile(df), df)),
         # A11 E3
-        "named_account_profile": (lambda df: K.account_profile(df, named_accounts, with_sales=False)),
+        "named_account_profile": (lambda df: K.account_profile(df, named_accounts, with_sales=False, cube=_cube(df))),
         # K4
         "customer_by_region": (lambda df: K.account_profile(
-            df, named_customer, by=("region",), discount_name="avg_discount")),
+            df, named_customer, by=("region",), discount_name="avg_discount", cube=_cube(df))),
         # K5
         "customer_detail": (lambda df: K.account_detail(df, named_customer)),
         # K6
-        "multi_region_accounts": (lambda df: K.multi_region_accounts(df, 20)),
+        "multi_region_accounts": (lambda df: K.multi_region_accounts(df, 20, cube=_cube(df))),
         # --- export and dashboard feeds ----------------------------------------------
         # E1
         "enriched_export": X.enriched_export,

@@ -55,6 +55,19 @@ def test_partial_aggregation(spark, name):
     assert "partial_" in txt
 
 
-def test_named_accounts_in_list_pushed(spark):
+def test_named_accounts_in_list_pushed(spark, li001):
+    from marginscope.operators.customers import account_profile
+    from marginscope.plans.params import NAMED_ACCOUNTS
+
+    # over the lines the IN list reaches the parquet scan ...
+    assert "In(customer_name" in _formatted(account_profile(li001, NAMED_ACCOUNTS))
+    # ... the registered report filters the (much smaller) checkpointed customer aggregate instead
     txt = _formatted(E.queries()["named_account_profile"](spark, SF001))
-    assert "In(customer_name" in txt
+    assert "Scan ExistingRDD" in txt and "Scan parquet" not in txt
+
+
+@pytest.mark.parametrize("name", ["top5_customers_in_region", "multi_region_accounts", "customer_by_region",
+                                  "flagged_account_profile"])
+def test_customer_reports_read_the_customer_aggregate(spark, name):
+    txt = _formatted(E.queries()[name](spark, SF001))
+    assert "Scan ExistingRDD" in txt
