@@ -27,19 +27,19 @@ NOTES = {
     "tier_sign_rollup": "second-level rollup over 4 tiers; the share window sees 2 rows",
     "subcat_rank_in_region": "rank over the (region, brand) aggregate: bounded by the catalogue",
     "bottom3_subcats": "rank <= 3 becomes a partial WindowGroupLimit before the shuffle",
-    "top5_customers_in_region": "rank <= 5 becomes a partial WindowGroupLimit before the shuffle",
+    "top5_customers_in_region": "reads the customer aggregate; rank <= 5 becomes a partial WindowGroupLimit before the shuffle",
     "monthly_running_total": "single-partition window over the month series (hundreds of rows)",
     "mom_growth": "single-partition window over the month series (hundreds of rows)",
     "moving_avg_3m": "single-partition window over the month series (hundreds of rows)",
     "top_customers": "per-task top-k then merge (TakeOrderedAndProject)",
     "top_customers_by_profit": "per-task top-k then merge (TakeOrderedAndProject)",
-    "multi_region_accounts": "per-task top-k then merge (TakeOrderedAndProject)",
+    "multi_region_accounts": "reads the customer aggregate; per-task top-k then merge (TakeOrderedAndProject)",
     "thin_margin_accounts": "distributed NTILE: ranges checkpointed, per-range offsets broadcast (one row per partition); deciles shared by the 4 decile reports",
     "top_decile_thin_margin": "reuses the checkpointed deciles",
-    "flagged_account_profile": "aggregate by (customer, segment, region) first, then semi-join to the flagged keys",
+    "flagged_account_profile": "customer aggregate semi-joined to the flagged keys: groups move, not lines",
     "flagged_vs_company": "as above; company average is a scalar subquery evaluated once",
-    "named_account_profile": "IN-list pushed to the parquet scan",
-    "customer_by_region": "equality pushed to the parquet scan",
+    "named_account_profile": "IN-list on the checkpointed customer aggregate (no line scan)",
+    "customer_by_region": "filter on the checkpointed customer aggregate (no line scan)",
     "customer_detail": "equality pushed to the parquet scan; range sort of the matches",
     "enriched_export": "range-partitioned global sort by row_id (no single task)",
     "filtered_view": "all dashboard filters pushed to the scan (IN lists, date range)",
