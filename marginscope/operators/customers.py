@@ -70,16 +70,34 @@ def customer_metrics(df: DataFrame, key: str = "customer_name", cube: DataFrame
     )
 
 
-def top_customers(df: DataFrame, n: int = 10, key: str = "customer_name", with_avg_discount: bool = True) -> DataFrame:
-    """Top ``n`` customers by profit (ties broken by name): a per-task top-k then a merge."""
-    aggs = [
-        F.count_distinct("order_id").alias("num_orders"),
-        F.sum("sales").cast("double").alias("total_sales"),
-        F.sum("profit").alias("tp"),
-    ]
-    if with_avg_discount:
-        aggs.append(mean("discount", 4).alias("avg_discount"))
-    out = df.groupBy(key).agg(*aggs).orderBy(F.col("tp").desc_nulls_first(), F.col(key).asc_nulls_last()).limit(n)
+def top_customers(
+    df: DataFrame, n: int = 10, key: str = "customer_name", with_avg_discount: bool = True,
+    orders: DataFrame | None = None,
+) -> DataFrame:
+    """Top ``n`` customers by profit (ties broken by name): a per-task top-k then a merge.
+
+    With ``orders`` (``order_aggregate`` of ``df``) the distinct orders and
+    sums are taken from its one-row-per-order rows instead of the lines.
+    """
+    if orders is not None and key == "customer_name":
+        aggs = [
+            F.count_distinct("order_id").alias("num_orders"),
+            _s().cast("double").alias("total_sales"),
+            _p().alias("tp"),
+        ]
+        if with_avg_discount:
+            aggs.append(_mean_discount(4).alias("avg_discount"))
+        out = orders.groupBy(key).agg(*aggs)
+    else:
+        aggs = [
+            F.count_distinct("order_id").alias("num_orders"),
+            F.sum("sales").cast("double").alias("total_sales"),
+            F.sum("profit").alias("tp"),
+        ]
+        if with_avg_discount:
+            aggs.append(mean("discount", 4).alias("avg_discount"))
+        out = df.groupBy(key).agg(*aggs)
+    out = out.orderBy(F.col("tp").desc_nulls_first(), F.col(key).asc_nulls_last()).limit(n)
     cols = [key, "num_orders", "total_sales", F.col("tp").cast("double").alias("total_profit")]
     if with_avg_discount:
         cols.append("avg_discount")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import count_rows, margin_pct, mean
+from ..functions import count_rows, margin_pct, mean, pct
 
 # Output name -> aggregate. Names follow the reports they come from;
 # "num_orders" in the line-level reports counts line items, while
@@ -33,6 +33,47 @@ MEASURES: dict[str, Callable[[], Column]] = {
 
 STANDARD = ("total_sales", "total_profit", "profit_margin_pct")
 
+# Keys of the order aggregate: an order and the customer attributes of its lines.
+ORDER_KEYS = ("order_id", "customer_name", "segment")
+
+
+def order_aggregate(df: DataFrame) -> DataFrame:
+    """Exact additive measures per (order, customer, segment).
+
+    Line count, sales, profit and the discount sum and count are additive,
+    and distinct orders of any grouping of these keys can be counted on these
+    rows, so the rollups with distinct-order counts read this (one row per
+    order) instead of the lines. Materialise it once (``checkpoint``) to share.
+    """
+    return df.groupBy(*ORDER_KEYS).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("sales").alias("_s"),
+        F.sum("profit").alias("_p"),
+        F.sum("discount").alias("_ds"),
+        F.count("discount").alias("_dn"),
+    )
+
+
+def _resum(c: str, width: str) -> Column:
+    # cast back to the width a direct sum of the lines has: ratios keep the same precision
+    return F.sum(c).cast(width)
+
+
+# The same measures over ``order_aggregate`` rows.
+AGG_MEASURES: dict[str, Callable[[], Column]] = {
+    "total_orders": lambda: F.count_distinct("order_id"),
+    "num_orders": lambda: F.sum("_n"),
+    "line_items": lambda: F.sum("_n"),
+    "total_line_items": lambda: F.sum("_n"),
+    "total_sales": lambda: _resum("_s", "decimal(20,2)").cast("double"),
+    "total_profit": lambda: _resum("_p", "decimal(20,2)").cast("double"),
+    "profit_margin_pct": lambda: pct(_resum("_p", "decimal(20,2)"), _resum("_s", "decimal(20,2)"), 2),
+    "margin_pct": lambda: pct(_resum("_p", "decimal(20,2)"), _resum("_s", "decimal(20,2)"), 2),
+    "avg_discount": lambda: F.round(
+        _resum("_ds", "decimal(14,2)") / F.nullif(F.sum("_dn").cast("decimal(20,0)"), F.lit(0)), 4
+    ).cast("double"),
+}
+
 
 def measure(name: str) -> Column:
     return MEASURES[name]().alias(name)
@@ -43,14 +84,26 @@ def margin_rollup(
     dims: Sequence[str | Column] = (),
     measures: Sequence[str | Column] = STANDARD,
     order: Sequence[str | Column] | None = None,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
     """Group by ``dims`` (empty = one global row) and compute ``measures``.
 
     A measure is a name from ``MEASURES`` or any aliased aggregate Column.
     ``order`` entries given as names sort ascending with NULLs last (the
     source reports' SQL default); pass Columns for any other order.
+    ``orders`` (``order_aggregate`` of ``df``) is used instead of the lines
+    when the dims are among its keys and every measure is a named one.
     """
-    aggs = [measure(m) if isinstance(m, str) else m for m in measures]
+    use_orders = (
+        orders is not None
+        and all(isinstance(d, str) and d in ORDER_KEYS for d in dims)
+        and all(isinstance(m, str) and m in AGG_MEASURES for m in measures)
+    )
+    if use_orders:
+        df = orders
+        aggs = [AGG_MEASURES[m]().alias(m) for m in measures]
+    else:
+        aggs = [measure(m) if isinstance(m, str) else m for m in measures]
     out = df.groupBy(*dims).agg(*aggs) if dims else df.agg(*aggs)
     if not order:
         return out

@@ -18,7 +18,7 @@ from ..operators import export as X
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import trends as T
-from ..operators.rollup import margin_rollup
+from ..operators.rollup import margin_rollup, order_aggregate
 from ..sources.schema import BUSINESS_KEY, COLUMNS
 from ..sources.table import line_items, line_items_via_csv
 from . import params as P
@@ -36,8 +36,9 @@ def _money_as_double(df: DataFrame) -> DataFrame:
 
 # Shared intermediates per line-item frame (holding the frame pins its id):
 # the customer aggregate (exact sums per customer, segment and region, read by
-# the seven customer-level reports instead of the lines) and the customer
-# deciles (read by four reports). Both are checkpointed once: shared storage,
+# the seven customer-level reports instead of the lines), the order aggregate
+# (one row per order, read by the four reports that count distinct orders) and
+# the customer deciles (read by four reports). Both are checkpointed once: shared storage,
 # computed once, safe against lost executors.
 _SHARED: dict[tuple[str, int], tuple[DataFrame, DataFrame]] = {}
 
@@ -53,6 +54,10 @@ def _cube(df: DataFrame) -> DataFrame:
     return _shared("cube", df, lambda: K.customer_cube(df).checkpoint(eager=True))
 
 
+def _orders(df: DataFrame) -> DataFrame:
+    return _shared("orders", df, lambda: order_aggregate(df).checkpoint(eager=True))
+
+
 def _deciles(df: DataFrame) -> DataFrame:
     return _shared("deciles", df, lambda: K.sales_deciles(df, cube=_cube(df)))
 
@@ -98,7 +103,8 @@ def build_reports(
         # --- headline and product rollups -----------------------------------------
         # H1
         "headline": (lambda df: margin_rollup(
-            df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"])),
+            df, [], ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
+            orders=_orders(df))),
         # H2
         "by_region": (lambda df: margin_rollup(
             df, ["region"], ["total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
@@ -106,7 +112,7 @@ def build_reports(
         # H3
         "by_segment": (lambda df: margin_rollup(
             df, ["segment"], ["total_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"],
-            order=[F.col("total_profit").desc_nulls_first()])),
+            order=[F.col("total_profit").desc_nulls_first()], orders=_orders(df))),
         # C1
         "by_category": (lambda df: margin_rollup(df, ["category"], order=["total_profit"])),
         # C2 G2
@@ -171,9 +177,9 @@ def build_reports(
         "ship_speed_by_year": (lambda df: T.fulfilment(df, "order_year", with_count=False)),
         # --- customers ---------------------------------------------------------------
         # K1
-        "top_customers": (lambda df: K.top_customers(df, 10)),
+        "top_customers": (lambda df: K.top_customers(df, 10, orders=_orders(df))),
         # A9
-        "top_customers_by_profit": (lambda df: K.top_customers(df, 10, with_avg_discount=False)),
+        "top_customers_by_profit": (lambda df: K.top_customers(df, 10, with_avg_discount=False, orders=_orders(df))),
         # K2
         "thin_margin_accounts": (lambda df: K.thin_margin_accounts(df, deciles=_deciles(df))),
         # A10
