@@ -92,3 +92,20 @@ def test_date_filter_prunes_year_directories(spark, li001):
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_year" in plan and "order_year#" in plan.split("PartitionFilters: [")[1][:200]
     assert f.count() == X.apply_filters(li001, date_range=("1997-03-01", "1998-02-28")).count()
+
+
+def test_aggregate_paths_equal_line_paths(li001):
+    from marginscope.operators.customers import customer_cube
+    from marginscope.operators.rollup import order_aggregate
+
+    orders, cube = order_aggregate(li001), customer_cube(li001)
+    m = ["total_orders", "total_line_items", "total_sales", "total_profit", "profit_margin_pct", "avg_discount"]
+    for dims in ([], ["segment"], ["customer_name"]):
+        a = sorted(margin_rollup(li001, dims, m).collect())
+        b = sorted(margin_rollup(li001, dims, m, orders=orders).collect())
+        assert a == b, dims
+    assert K.top_customers(li001, 7).collect() == K.top_customers(li001, 7, orders=orders).collect()
+    assert sorted(K.customer_metrics(li001).collect()) == sorted(K.customer_metrics(li001, cube=cube).collect())
+    assert K.multi_region_accounts(li001, n=None).collect() == K.multi_region_accounts(li001, n=None, cube=cube).collect()
+    names = ["Customer#000000003", "Customer#000000007"]
+    assert K.account_profile(li001, names).collect() == K.account_profile(li001, names, cube=cube).collect()
