@@ -19,11 +19,11 @@ NOTES = {
     "null_profile": "one-row aggregate of all columns: partial per task, one merge",
     "recoverable_profit": "one-row conditional aggregate: partial per task, one merge",
     "loss_concentration": "one-row conditional aggregate: partial per task, one merge",
-    "by_segment": "exact distinct orders per segment: (segment, order) partial aggregate first",
+    "by_segment": "reads the order aggregate; exact distinct orders per segment",
     "domain_counts": "7 columns unpivoted in one scan; exact distinct per column",
     "domain_values": "7 columns unpivoted in one scan, partial distinct",
     "apparent_duplicate_rows": "semi-join to the duplicate keys (AQE broadcasts them at runtime when small)",
-    "headline": "exact distinct orders: shuffle by order id with partial aggregation, then one row",
+    "headline": "reads the checkpointed order aggregate (one row per order); exact distinct orders",
     "tier_sign_rollup": "second-level rollup over 4 tiers; the share window sees 2 rows",
     "subcat_rank_in_region": "rank over the (region, brand) aggregate: bounded by the catalogue",
     "bottom3_subcats": "rank <= 3 becomes a partial WindowGroupLimit before the shuffle",
@@ -31,8 +31,8 @@ NOTES = {
     "monthly_running_total": "single-partition window over the month series (hundreds of rows)",
     "mom_growth": "single-partition window over the month series (hundreds of rows)",
     "moving_avg_3m": "single-partition window over the month series (hundreds of rows)",
-    "top_customers": "per-task top-k then merge (TakeOrderedAndProject)",
-    "top_customers_by_profit": "per-task top-k then merge (TakeOrderedAndProject)",
+    "top_customers": "reads the order aggregate; per-task top-k then merge (TakeOrderedAndProject)",
+    "top_customers_by_profit": "reads the order aggregate; per-task top-k then merge (TakeOrderedAndProject)",
     "multi_region_accounts": "reads the customer aggregate; per-task top-k then merge (TakeOrderedAndProject)",
     "thin_margin_accounts": "distributed NTILE: ranges checkpointed, per-range offsets broadcast (one row per partition); deciles shared by the 4 decile reports",
     "top_decile_thin_margin": "reuses the checkpointed deciles",
