@@ -122,3 +122,19 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
             # the path is never rewritten in this application, so the (immutable) frame is reused
             df = _FRAMES[key] = read_line_items(spark, path, LINE_ITEM_SCHEMA)
     return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table as parquet into the session's checkpoint folder and read it back.
+
+    Used for intermediates several reports share (the customer and order
+    aggregates): unlike an RDD checkpoint, the parquet copy is read
+    column-pruned and vectorised, with filters pushed down. Each call writes a
+    new folder, so two builds never share files.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, "derived", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -61,13 +61,19 @@ def test_named_accounts_in_list_pushed(spark, li001):
 
     # over the lines the IN list reaches the parquet scan ...
     assert "In(customer_name" in _formatted(account_profile(li001, NAMED_ACCOUNTS))
-    # ... the registered report filters the (much smaller) checkpointed customer aggregate instead
+    # ... the registered report reads the (much smaller) customer aggregate instead, with the same pushdown
     txt = _formatted(E.queries()["named_account_profile"](spark, SF001))
-    assert "Scan ExistingRDD" in txt and "Scan parquet" not in txt
+    assert "customer_cube" in txt and "/line_items/" not in txt and "In(customer_name" in txt
 
 
 @pytest.mark.parametrize("name", ["top5_customers_in_region", "multi_region_accounts", "customer_by_region",
                                   "flagged_account_profile"])
 def test_customer_reports_read_the_customer_aggregate(spark, name):
     txt = _formatted(E.queries()[name](spark, SF001))
-    assert "Scan ExistingRDD" in txt
+    assert "customer_cube" in txt and "/line_items/" not in txt
+
+
+@pytest.mark.parametrize("name", ["headline", "by_segment", "top_customers", "top_customers_by_profit"])
+def test_distinct_order_reports_read_the_order_aggregate(spark, name):
+    txt = _formatted(E.queries()[name](spark, SF001))
+    assert "order_aggregate" in txt and "/line_items/" not in txt
