@@ -23,7 +23,7 @@ NOTES = {
     "domain_counts": "7 columns unpivoted in one scan; exact distinct per column",
     "domain_values": "7 columns unpivoted in one scan, partial distinct",
     "apparent_duplicate_rows": "semi-join to the duplicate keys (AQE broadcasts them at runtime when small)",
-    "headline": "reads the checkpointed order aggregate (one row per order); exact distinct orders",
+    "headline": "reads the materialised order aggregate (one row per order); exact distinct orders",
     "tier_sign_rollup": "second-level rollup over 4 tiers; the share window sees 2 rows",
     "subcat_rank_in_region": "rank over the (region, brand) aggregate: bounded by the catalogue",
     "bottom3_subcats": "rank <= 3 becomes a partial WindowGroupLimit before the shuffle",
@@ -38,8 +38,8 @@ NOTES = {
     "top_decile_thin_margin": "reuses the checkpointed deciles",
     "flagged_account_profile": "customer aggregate semi-joined to the flagged keys: groups move, not lines",
     "flagged_vs_company": "as above; company average is a scalar subquery evaluated once",
-    "named_account_profile": "IN-list on the checkpointed customer aggregate (no line scan)",
-    "customer_by_region": "filter on the checkpointed customer aggregate (no line scan)",
+    "named_account_profile": "IN-list pushed to the scan of the customer aggregate (no line scan)",
+    "customer_by_region": "filter pushed to the scan of the customer aggregate (no line scan)",
     "customer_detail": "equality pushed to the parquet scan; range sort of the matches",
     "enriched_export": "range-partitioned global sort by row_id (no single task)",
     "filtered_view": "all dashboard filters pushed to the scan (IN lists, date range)",
