@@ -8,19 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, ngram_join, quality_crf, toxicity
+from . import bpe, chat, common, decontaminate, embedding_dedup, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+UNIGRAM_PIECES = "piece_bpe_32k.model"
 
 
 def ranks() -> dict[bytes, int]:
     return bpe.load_ranks(public_tokenizers.path(BPE_RANKS))
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(common.table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m[0], m[1]))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    pieces, byte_fallback = token_counts.load_vocabulary(public_tokenizers.path(UNIGRAM_PIECES))
+    counted = docs.select("doc_id", token_counts.token_counts(docs, pieces, byte_fallback).alias("c"))
+    return counted.select("doc_id", "c.n_tokens", "c.best_score")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), ranks())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = language_id.fit_documents(docs)
+    found = docs.select("doc_id", language_id.language(docs, model).alias("p"))
+    return found.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "p.lang_pred", "p.score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +56,14 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(common.table(spark, sf_dir, "documents"))
 
@@ -50,11 +79,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_crf": op6_quality_crf,
+    "op7_license_scan": op7_license_scan,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL}
