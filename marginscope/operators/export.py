@@ -10,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import profit_flag, tier_expr
-from ..sources.schema import COLUMNS
+from ..sources.csv import CORRUPT, read_csv_raw, write_csv
+from ..sources.schema import COLUMNS, LINE_ITEM_SCHEMA
 
 
 def enriched_export(df: DataFrame, sort: bool = True) -> DataFrame:
     """All line-item columns plus days_to_ship, discount_tier and profit_flag.
 
-    Sorted by row_id with a range-partitioned sort (no single task).
+    Sorted by row_id with a range-partitioned sort (no single task); a row id
+    that is text sorts as text.
     """
     cols = []
     for c in COLUMNS:
@@ -35,17 +38,25 @@ def enriched_export(df: DataFrame, sort: bool = True) -> DataFrame:
     return out.orderBy(F.col("row_id").asc_nulls_last()) if sort else out
 
 
-def write_extract(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False, mode: str = "overwrite") -> str:
-    """Write the extract; one file only on request (it funnels through one task)."""
-    out = df.coalesce(1) if single_file else df
-    w = out.write.mode(mode)
+def write_extract(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", charset: str = "utf-8") -> str:
+    """Write the extract in as many files as it has partitions; CSV by the lossless writer of the CSV sink."""
     if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.format(fmt).save(path)
+        return write_csv(df, path, charset, mode=mode)
+    df.write.mode(mode).format(fmt).save(path)
     return path
 
 
+EXPORT_TYPES = {"days_to_ship": T.IntegerType(), "sales": T.DoubleType(), "discount": T.DoubleType(), "profit": T.DoubleType()}
+
+
+def read_extract(spark: SparkSession, path: str, row_id: str = "string") -> DataFrame:
+    """Read an extract written as CSV back with its types."""
+    names = [c for c in COLUMNS for c in ((c, "days_to_ship") if c == "ship_date" else (c,))] + ["discount_tier", "profit_flag"]
+    base = {f.name: f.dataType for f in LINE_ITEM_SCHEMA.fields} | EXPORT_TYPES | {"row_id": T.StringType() if row_id == "string" else T.IntegerType()}
+    schema = T.StructType([T.StructField(c, base.get(c, T.StringType())) for c in names])
+    return read_csv_raw(spark, path, schema, charset="utf-8", multi_line=True).drop(CORRUPT)
+
+
 def apply_filters(
     df: DataFrame,
     regions: Sequence[str] | None = None,

@@ -93,17 +93,88 @@ def test_writer_round_trips_awkward_text(spark):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
-def test_load_csv_table_gates_without_a_second_copy(spark):
+AWKWARD = ['say "hi", twice', " lead", "trail ", " both ", "", None, "Łódź 中", 'a,b', '""', "line\nbreak", "tab\there", "'", '"', "\\", '\\"']
+
+
+def _awkward(spark):
+    from pyspark.sql import functions as F
+
+    from marginscope.sources.schema import CSV_SCHEMA
+
+    base = read_line_items_csv(spark, _write([_line(i) for i in range(1, len(AWKWARD) + 1)]))
+    names = spark.createDataFrame(list(enumerate(AWKWARD, 1)), "row_id int, _name string")
+    df = base.join(names, "row_id").withColumn("customer_name", F.col("_name")).withColumn("product_name", F.col("_name"))
+    return df.select(*[f.name for f in CSV_SCHEMA.fields])
+
+
+def test_both_sinks_keep_every_character(spark):
+    import csv
+    import glob
+
+    from marginscope.operators.export import enriched_export, read_extract, write_extract
+    from marginscope.sources.csv import read_csv_raw, write_csv
+    from marginscope.sources.schema import CSV_SCHEMA
+
+    df = _awkward(spark)
+    out = tempfile.mkdtemp(prefix="run-awk-", dir="/tmp")
+    write_csv(df, out + "/lines")
+    back = read_csv_raw(spark, out + "/lines", CSV_SCHEMA, charset="utf-8", multi_line=True).drop("_corrupt_record")
+    assert sorted(back.collect(), key=lambda r: r.row_id) == sorted(df.collect(), key=lambda r: r.row_id)
+    extract = enriched_export(df)
+    write_extract(extract, out + "/extract")
+    got = read_extract(spark, out + "/extract", row_id="int")
+    assert sorted(got.collect(), key=lambda r: r.row_id) == sorted(extract.collect(), key=lambda r: r.row_id)
+    # and Python's reader, which knows nothing of this module, sees 24 fields in every row
+    names = {}
+    for p in glob.glob(out + "/extract/part-*.csv"):
+        with open(p, newline="", encoding="utf-8") as f:
+            for row in csv.DictReader(f):
+                assert None not in row and len(row) == 24
+                names[int(row["row_id"])] = row["customer_name"]
+    assert names == {k: v or "" for k, v in enumerate(AWKWARD, 1)}
+
+
+def test_characters_outside_the_charset_raise(spark):
+    from marginscope.sources.csv import write_csv, write_line_items_csv
+
+    df = _awkward(spark)
+    out = tempfile.mkdtemp(prefix="run-awk-", dir="/tmp")
+    for charset in ("cp1252", "ISO-8859-1"):
+        with pytest.raises(ValueError, match="1 row"):
+            write_csv(df, out + "/x", charset=charset)
+        assert not os.path.exists(out + "/x")
+    write_line_items_csv(df.where("row_id <> 7"), out + "/y")
+
+
+def test_bad_csv_leaves_the_old_table(spark):
     from marginscope.sources.csv import load_csv_table
+    from marginscope.sources.table import read_line_items
 
-    good = _write([_line(i) for i in range(1, 6)])
     out = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
-    t = load_csv_table(spark, good, out)
+    t = load_csv_table(spark, _write([_line(i) for i in range(1, 6)]), out)
     assert t.count() == 5 and "_corrupt_record" not in t.columns
-    bad = _write([_line(1), _line(2) + ",extra", "3,CA-2016-1,2016-11-08"])
-    out2 = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
     with pytest.raises(ValueError, match="2 malformed"):
-        load_csv_table(spark, bad, out2)
+        load_csv_table(spark, _write([_line(1), _line(2) + ",extra", "3,CA-2016-1,2016-11-08"]), out)
+    assert read_line_items(spark, out).count() == 5
+
+
+def test_csv_load_sizes_its_files_by_rows(spark, monkeypatch):
+    from marginscope.sources import table
+    from marginscope.sources.csv import load_csv_table
+
+    monkeypatch.setattr(table, "ROWS_PER_FILE", 3)
+    out = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
+    load_csv_table(spark, _write([_line(i) for i in range(1, 61)]), out)
+    assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 20
+
+
+def test_csv_report_scans_few_columns(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["csv_source_tiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert sorted(c.split(":")[0] for c in schema.split(",") if ":" in c) == ["discount", "profit", "sales"]
 
 
 def test_us_date_format(spark):
