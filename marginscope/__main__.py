@@ -2,7 +2,7 @@
 
     python -m marginscope --csv orders.csv --date-format M/d/yyyy --out /shared/run1
     python -m marginscope --parquet /shared/line_items --out /shared/run2 --reports discount_tiers,headline
-    python -m marginscope --star /root/testdata/sf0.01 --out /tmp/run3
+    python -m marginscope --star /root/testdata/sf0.01 --out /shared/run3
 
 Each report is written to ``OUT/reports/<name>`` (parquet, or CSV with a
 header); a JSON summary (report -> path, row count) is printed at the end.
@@ -16,14 +16,13 @@ import json
 import os
 import sys
 
-from .operators.quality import quality_report
+from .operators.quality import expectations, quality_report
 from .operators.export import write_extract
 from .plans.catalog import build_reports
-from .plans import params as P
 from .session import get_spark
 from .sources.csv import load_csv_table
 from .sources.star import line_items_from_star, star_counts
-from .sources.table import read_line_items, write_line_items
+from .sources.table import check_conserved, read_line_items, write_line_items
 
 
 def parse_args(argv=None) -> argparse.Namespace:
@@ -37,11 +36,16 @@ def parse_args(argv=None) -> argparse.Namespace:
     a.add_argument("--date-format", default="yyyy-MM-dd")
     a.add_argument("--reports", default="", help="comma list; default: all")
     a.add_argument("--format", choices=("parquet", "csv"), default="parquet")
-    a.add_argument("--single-file", action="store_true",
-                   help="one file per report (funnels each report through one task: for small outputs only)")
-    a.add_argument("--threshold", default=P.THRESHOLD, help="deep-discount threshold as a proportion")
-    a.add_argument("--accounts", default="", help="comma list of customer names to profile")
-    a.add_argument("--customer", default=P.NAMED_CUSTOMER, help="customer for the regional profile and detail")
+    a.add_argument("--threshold", default="0.2", help="deep-discount threshold as a proportion")
+    a.add_argument("--structural-dims", default="sub_category", help="comma list: grain of the structural losses")
+    a.add_argument("--accounts", default="", help="comma list of customer names to profile (no such report without)")
+    a.add_argument("--customer", default=None, help="customer for the regional profile and detail (no such reports without)")
+    a.add_argument("--regions", default="", help="comma list: the filtered views show these regions only")
+    a.add_argument("--categories", default="", help="comma list: the filtered views show these categories only")
+    a.add_argument("--segments", default="", help="comma list: the filtered views show these segments only")
+    a.add_argument("--from", dest="first_day", default=None, help="first order date of the filtered views (yyyy-MM-dd)")
+    a.add_argument("--to", dest="last_day", default=None, help="last order date of the filtered views (yyyy-MM-dd)")
+    a.add_argument("--expect-rows", type=int, default=None, help="stop unless the table holds so many lines")
     a.add_argument("--allow", default="", help="comma list of quality rules that may fail without stopping the run")
     a.add_argument("--no-gate", action="store_true", help="report quality but never stop")
     a.add_argument("--partition-by", default="", help="directory partitions of the table, e.g. order_year")
@@ -49,6 +53,10 @@ def parse_args(argv=None) -> argparse.Namespace:
     return a.parse_args(argv)
 
 
+def names_in(text: str) -> tuple[str, ...]:
+    return tuple(x.strip() for x in text.split(",") if x.strip())
+
+
 def run(args: argparse.Namespace) -> dict:
     spark = get_spark(args.master)
     parts = [p for p in args.partition_by.split(",") if p]
@@ -60,6 +68,7 @@ def run(args: argparse.Namespace) -> dict:
         counts = star_counts(spark, args.star)
         write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"],
                          partition_by=parts)
+        check_conserved(spark, table, counts["lineitem"])
         li = read_line_items(spark, table)
     else:
         li = read_line_items(spark, args.parquet)
@@ -67,12 +76,18 @@ def run(args: argparse.Namespace) -> dict:
     rep = quality_report(li)
     allow = {r for r in args.allow.split(",") if r}
     failed = [r.rule for r in rep.collect() if not r.passed]  # one row per rule: bounded
+    if args.expect_rows is not None:
+        failed += [r.check for r in expectations(li, rows=args.expect_rows).collect() if not r.passed]
     blocking = [r for r in failed if r not in allow]
     if blocking and not args.no_gate:
         raise SystemExit(f"quality gate failed: {blocking}")
 
-    accounts = tuple(x.strip() for x in args.accounts.split(",") if x.strip()) or P.NAMED_ACCOUNTS
-    reports = build_reports(threshold=args.threshold, named_accounts=accounts, named_customer=args.customer)
+    filters = {k: v for k, v in (("regions", names_in(args.regions)), ("categories", names_in(args.categories)),
+                                 ("segments", names_in(args.segments))) if v}
+    if args.first_day or args.last_day:
+        filters["date_range"] = (args.first_day or "0001-01-01", args.last_day or "9999-12-31")
+    reports = build_reports(threshold=args.threshold, structural_dims=names_in(args.structural_dims),
+                            named_accounts=names_in(args.accounts), named_customer=args.customer, filters=filters)
     names = [n for n in args.reports.split(",") if n] or list(reports)
     unknown = [n for n in names if n not in reports]
     if unknown:
@@ -80,8 +95,8 @@ def run(args: argparse.Namespace) -> dict:
     summary = {"line_items": args.parquet or table, "failed_rules": sorted(failed), "reports": {}}
     for name in names:
         path = os.path.join(args.out, "reports", name)
-        write_extract(reports[name](li), path, fmt=args.format, single_file=args.single_file)
-        r = spark.read.option("header", True) if args.format == "csv" else spark.read
+        write_extract(reports[name](li), path, fmt=args.format)
+        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"') if args.format == "csv" else spark.read
         rows = r.format(args.format).load(path).count()
         summary["reports"][name] = {"path": path, "rows": rows}
     return summary

@@ -1,6 +1,6 @@
 """Column-expression helpers shared by every operator."""
 
-from .money import MONEY, RATE, count_rows, margin_pct, mean, money_sum, pct, ratio, share_pct, to_double
+from .money import count_rows, margin_pct, mean, pct, ratio, share_pct
 from .tiers import (
     DEFAULT_THRESHOLD,
     LOSS_LABEL,
@@ -13,7 +13,7 @@ from .tiers import (
 )
 
 __all__ = [
-    "MONEY", "RATE", "count_rows", "margin_pct", "mean", "money_sum", "pct", "ratio", "share_pct", "to_double",
+    "count_rows", "margin_pct", "mean", "pct", "ratio", "share_pct",
     "DEFAULT_THRESHOLD", "LOSS_LABEL", "PROFIT_LABEL", "TIER_BOUNDS", "TIER_LABELS",
     "dec", "profit_flag", "tier_expr",
 ]

@@ -12,24 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(10,2)"
-RATE = "decimal(4,2)"
-
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(c: str | Column) -> Column:
-    """Exact SUM of a DECIMAL(10,2) column (result DECIMAL(20,2))."""
-    return F.sum(_c(c))
-
-
-def to_double(c: Column) -> Column:
-    """Cast an already exact / already rounded decimal for the report."""
-    return c.cast("double")
-
-
 def ratio(num: Column, den: Column, digits: int, scale: int = 1) -> Column:
     """round(num * scale / den, digits) in decimal; NULL when den is 0 or NULL."""
     n = num * F.lit(scale) if scale != 1 else num

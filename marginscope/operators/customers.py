@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import margin_pct, mean, pct
 from .ranking import ntile_distributed
+from .rollup import distinct_orders
 
 # Keys of the customer aggregate: every customer-level report groups by a subset of them.
 CUBE_KEYS = ("customer_name", "segment", "region")
@@ -81,7 +82,7 @@ def top_customers(
     """
     if orders is not None and key == "customer_name":
         aggs = [
-            F.count_distinct("order_id").alias("num_orders"),
+            distinct_orders([key]).alias("num_orders"),
             _s().cast("double").alias("total_sales"),
             _p().alias("tp"),
         ]
@@ -175,7 +176,10 @@ def account_profile(
         if with_sales:
             aggs.append(F.sum("sales").cast("double").alias("total_sales"))
         aggs.append(F.sum("profit").alias("tp"))
-    if isinstance(accounts, DataFrame):
+    if isinstance(accounts, DataFrame) and from_cube:
+        # the cube already has one row per group: only the accounts' rows are grouped
+        out = df.join(accounts.select(key), key, "left_semi").groupBy(key, *by).agg(*aggs)
+    elif isinstance(accounts, DataFrame):
         out = df.groupBy(key, *by).agg(*aggs).join(accounts.select(key), key, "left_semi")
     else:
         names = [accounts] if isinstance(accounts, str) else list(accounts)
@@ -185,13 +189,20 @@ def account_profile(
     return out.withColumn("tp", F.col("tp").cast("double")).withColumnRenamed("tp", "total_profit")
 
 
-def versus_company(profile: DataFrame, df: DataFrame, digits: int = 3, discount_name: str = "avg_discount_given") -> DataFrame:
+def versus_company(
+    profile: DataFrame, df: DataFrame, digits: int = 3, discount_name: str = "avg_discount_given", cube: DataFrame | None = None,
+) -> DataFrame:
     """Add the company-wide average discount and the gap to it.
 
     The company average is an uncorrelated scalar subquery (one value),
-    evaluated once and inlined, not a join.
+    evaluated once and inlined, not a join. With ``cube`` it comes from the
+    customer aggregate's exact sums instead of the lines.
     """
-    company = df.agg(F.round(F.sum("discount") / F.count("discount").cast("decimal(20,0)"), digits).alias("c")).scalar()
+    if cube is not None:
+        total, n = F.sum("_ds").cast("decimal(14,2)"), F.sum("_dn").cast("decimal(20,0)")
+    else:
+        total, n = F.sum("discount"), F.count("discount").cast("decimal(20,0)")
+    company = (df if cube is None else cube).agg(F.round(total / F.nullif(n, F.lit(0)), digits).alias("c")).scalar()
     dec = f"decimal(12,{digits})"
     return profile.withColumn("company_avg_discount", company.cast("double")).withColumn(
         "discount_vs_company", (F.col(discount_name).cast(dec) - company.cast(dec)).cast("double")

@@ -30,7 +30,9 @@ TIER_MEASURES = ("num_orders", "total_sales", "total_profit", "avg_profit_per_or
 
 
 def _pct_label(t) -> str:
-    return f"{int(Decimal(str(t)) * 100)}pct"
+    """20pct, 12_5pct: different thresholds have different names."""
+    pct = (Decimal(str(t)) * 100).normalize()
+    return f"{pct:f}".replace(".", "_") + "pct"
 
 
 def with_discount_tier(
@@ -219,18 +221,33 @@ def hidden_losses(df: DataFrame, dim: str = "sub_category") -> DataFrame:
 def discount_trend(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares trend of line profit on discount (the scatter's trend line).
 
-    Built-in regression aggregates; they are algebraic, so the work is a
-    partial aggregate per task plus a merge.
+    Five exact decimal sums over the lines where both are present, so the result
+    does not depend on the order in which tasks are merged; the ratios are
+    taken from them at last. ``points`` counts all lines.
     """
-    x, y = F.col("discount").cast("double"), F.col("profit").cast("double")
-    aggs = [
+    both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
+    x, y = F.when(both, F.col("discount")), F.when(both, F.col("profit"))
+    sums = [
         count_rows().alias("points"),
-        F.round(F.regr_slope(y, x), 2).alias("slope"),
-        F.round(F.regr_intercept(y, x), 2).alias("intercept"),
-        F.round(F.regr_r2(y, x), 6).alias("r2"),
-        F.round(F.corr(y, x), 6).alias("correlation"),
+        F.count_if(both).alias("_n"),
+        F.sum(x).alias("_x"),
+        F.sum(y).alias("_y"),
+        F.sum(x * y).alias("_xy"),
+        F.sum(x * x).alias("_xx"),
+        F.sum(y * y).alias("_yy"),
     ]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    g = df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
+    n, sx, sy, sxy, sxx, syy = (F.col(c).cast("double") for c in ("_n", "_x", "_y", "_xy", "_xx", "_yy"))
+    cov, vx, vy = sxy - sx * sy / F.nullif(n, F.lit(0.0)), sxx - sx * sx / F.nullif(n, F.lit(0.0)), syy - sy * sy / F.nullif(n, F.lit(0.0))
+    slope = cov / F.nullif(vx, F.lit(0.0))
+    return g.select(
+        *by,
+        "points",
+        F.round(slope, 2).alias("slope"),
+        F.round((sy - slope * sx) / F.nullif(n, F.lit(0.0)), 2).alias("intercept"),
+        F.round(F.when(vy == 0, F.when(vx != 0, F.lit(1.0))).otherwise(cov * cov / F.nullif(vx * vy, F.lit(0.0))), 6).alias("r2"),
+        F.round(cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)), 6).alias("correlation"),
+    )
 
 
 __all__ = [

@@ -1,4 +1,4 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers: broadcasts within one joint, checked budget of bytes."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (in rows) shipped to every task. A narrow dimension row
-# is well under 100 bytes, so this keeps a broadcast below ~100 MB.
-MAX_BROADCAST_ROWS = 1_000_000
+# Bytes that all broadcast sides of one plan may take together in every task's memory.
+BROADCAST_BYTES = 256 << 20
 
 
 def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
@@ -18,13 +17,19 @@ def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
     return {r.k: r.n for r in reduce(DataFrame.unionAll, parts).collect()}
 
 
-def bounded_broadcast(df: DataFrame, rows: int, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if its proven row count ``rows`` is <= ``max_rows``, else ``df``.
+def within_budget(sizes: dict[str, int], budget: int | None = None) -> set[str]:
+    """The sides to broadcast: the smallest ones whose bytes fit the budget together.
 
-    ``rows`` must bound the frame's rows (its own count, or the count of the
-    base table of an N:1 join). Beyond the bound the join is left to the
-    planner: a sort-merge join, which AQE turns into a broadcast only when
-    runtime sizes allow, and whose skewed keys AQE splits.
+    ``sizes`` must bound each side's bytes (counted rows times a row's upper
+    estimate). The others are left to the planner: a sort-merge join, which
+    adaptive execution turns into a broadcast only when runtime sizes allow,
+    and whose skewed keys it splits.
     """
-    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if rows <= bound else df
+    left = BROADCAST_BYTES if budget is None else budget
+    out = set()
+    for name, size in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if size > left:
+            break
+        out.add(name)
+        left -= size
+    return out

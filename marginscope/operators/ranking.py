@@ -32,7 +32,7 @@ def rank_within(
     n: int | None = None,
     rank_name: str = "rank",
     value_name: str = "total_profit",
-    distributed: bool = False,
+    distributed: bool | None = None,
 ) -> DataFrame:
     """Sum ``measure`` per (group, item) and RANK items within each group.
 
@@ -40,11 +40,11 @@ def rank_within(
     return more than ``n`` rows per group.
 
     With ``n`` the per-task WindowGroupLimit keeps the shuffle small for any
-    number of items. Without ``n`` every item of a group is ranked in the
-    group's task, which is meant for bounded item domains (brands or
-    sub-categories within a region); ``distributed=True`` ranks any number of
-    items per group without a per-group task (``rank_distributed``).
+    number of items. Without ``n`` the items are ranked without a per-group task
+    (``rank_distributed``); ``distributed=False`` ranks each group in one task, for item domains
+    that are known to be small (brands or sub-categories within a region).
     """
+    distributed = n is None if distributed is None else distributed
     group = [group] if isinstance(group, str) else list(group)
     item = [item] if isinstance(item, str) else list(item)
     agg = df.groupBy(*group, *item).agg(F.sum(measure).alias(value_name))

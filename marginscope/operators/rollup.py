@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_rows, margin_pct, mean, pct
@@ -40,12 +40,13 @@ ORDER_KEYS = ("order_id", "customer_name", "segment")
 def order_aggregate(df: DataFrame) -> DataFrame:
     """Exact additive measures per (order, customer, segment).
 
-    Line count, sales, profit and the discount sum and count are additive,
-    and distinct orders of any grouping of these keys can be counted on these
-    rows, so the rollups with distinct-order counts read this (one row per
-    order) instead of the lines. Materialise it once (``checkpoint``) to share.
+    Line count, sales, profit and the discount sum and count are additive. Distinct
+    orders are made additive too: flags mark the first of an order's
+    rows, and the first one for each of its customers and segments, so every
+    rollup over these keys is a sum that combines before its shuffle.
+    Materialise it once to share it.
     """
-    return df.groupBy(*ORDER_KEYS).agg(
+    rows = df.groupBy(*ORDER_KEYS).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("sales").alias("_s"),
         F.sum("profit").alias("_p"),
@@ -53,6 +54,24 @@ def order_aggregate(df: DataFrame) -> DataFrame:
         F.count("discount").alias("_dn"),
     )
 
+    def first(*keys: str) -> Column:
+        # an order has few rows here: one for each customer and segment on it
+        w = Window.partitionBy(*keys).orderBy(*[k for k in ORDER_KEYS if k not in keys])
+        return (F.col("order_id").isNotNull() & (F.row_number().over(w) == 1)).cast("int")
+
+    return (
+        rows.withColumn("_o", first("order_id"))
+        .withColumn("_o_customer_name", first("order_id", "customer_name"))
+        .withColumn("_o_segment", first("order_id", "segment"))
+        .withColumn("_o_both", F.col("order_id").isNotNull().cast("int"))
+    )
+
+
+def distinct_orders(dims: Sequence[str]) -> Column:
+    """Number of distinct orders over ``order_aggregate`` rows grouped by ``dims``."""
+    flag = "_o_both" if len(dims) > 1 else f"_o_{dims[0]}" if dims else "_o"
+    return F.coalesce(F.sum(flag), F.lit(0)).cast("long")
+
 
 def _resum(c: str, width: str) -> Column:
     # cast back to the width a direct sum of the lines has: ratios keep the same precision
@@ -61,7 +80,6 @@ def _resum(c: str, width: str) -> Column:
 
 # The same measures over ``order_aggregate`` rows.
 AGG_MEASURES: dict[str, Callable[[], Column]] = {
-    "total_orders": lambda: F.count_distinct("order_id"),
     "num_orders": lambda: F.sum("_n"),
     "line_items": lambda: F.sum("_n"),
     "total_line_items": lambda: F.sum("_n"),
@@ -96,12 +114,12 @@ def margin_rollup(
     """
     use_orders = (
         orders is not None
-        and all(isinstance(d, str) and d in ORDER_KEYS for d in dims)
-        and all(isinstance(m, str) and m in AGG_MEASURES for m in measures)
+        and all(isinstance(d, str) and d in ORDER_KEYS[1:] for d in dims)
+        and all(isinstance(m, str) and (m in AGG_MEASURES or m == "total_orders") for m in measures)
     )
     if use_orders:
         df = orders
-        aggs = [AGG_MEASURES[m]().alias(m) for m in measures]
+        aggs = [(distinct_orders(dims) if m == "total_orders" else AGG_MEASURES[m]()).alias(m) for m in measures]
     else:
         aggs = [measure(m) if isinstance(m, str) else m for m in measures]
     out = df.groupBy(*dims).agg(*aggs) if dims else df.agg(*aggs)

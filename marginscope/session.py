@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,8 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if none is configured.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is. A local folder is only created for sessions that have none
-    (tests, a laptop).
+    as is. A local folder is only created for a local master (tests, a
+    laptop); a cluster without a shared folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -68,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="marginscope-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
@@ -79,15 +80,31 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def fingerprint(paths: list[str]) -> str:
-    """Cheap identity of input files (path, size, mtime) for reusing derived tables."""
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Cheap identity of input files (path, size, modification time), asked of the store they are in.
+
+    Where the store cannot be asked (Spark Connect, a missing path) the answer
+    is new each time, so nothing derived is reused.
+    """
     import hashlib
+    import uuid
 
     h = hashlib.sha1()
-    for p in sorted(paths):
-        try:
-            st = os.stat(p)
-            h.update(f"{p}:{st.st_size}:{st.st_mtime_ns};".encode())
-        except OSError:
-            h.update(f"{p}:?;".encode())
+    try:
+        jvm = spark._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in sorted(paths):
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            for f in path.getFileSystem(conf).listStatus(path):
+                h.update(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()};".encode())
+    except Exception:  # noqa: BLE001  any store's error means the same here
+        h.update(uuid.uuid4().bytes)
     return h.hexdigest()[:16]
+
+
+def size_shuffles(spark: SparkSession, rows: int, rows_per_partition: int = 2_000_000) -> None:
+    """Raise the number of shuffle partitions to fit a table of ``rows``; adaptive execution merges small ones."""
+    now = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    need = -(-rows // rows_per_partition)
+    if need > now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(need))

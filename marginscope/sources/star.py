@@ -11,17 +11,16 @@ Join plan (designed for a fact table of billions of rows):
 * nation |><| region is bounded by the TPC-H spec (25 and 5 rows at every
   scale factor), so it is the only side broadcast by hint.
 * supplier, customer, part and orders grow with the scale factor (10k, 150k,
-  200k and 1.5M rows per SF). Each is broadcast only after a row count proves
-  it small (``bounded_broadcast``); beyond the bound the join is a shuffle
-  join. (Spark's own estimate cannot be used here: without table statistics
+  200k and 1.5M rows per SF). The smallest are broadcast as long as their bytes,
+  by counted rows, fit one joint budget (``within_budget``); the others are
+  shuffle joins. (Spark's own estimate cannot be used here: without table statistics
   it sizes a join as the product of its inputs, so orders |><| customer would
   look larger than the fact table and the fact table would be broadcast.)
 * orders is joined to customer *before* it meets lineitem, so at scale the
   fact table is shuffled three times (order, part and supplier keys), not
   four.
-* A fact file with fewer splits than the cluster has cores (the test tables
-  hold lineitem in one row group) is spread round-robin before the joins;
-  at scale the scan already has thousands of splits and nothing is added.
+* A fact table of under ``NARROW_ROWS`` lines is dealt out before the joins;
+  larger ones have enough splits and no shuffle is added.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast, row_counts
+from ..operators.joins import row_counts, within_budget
 
 STAR_TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 
@@ -95,17 +94,13 @@ def read_star(spark: SparkSession, sf_dir: str, declared: bool = True) -> dict[s
     return out
 
 
-def spread_if_narrow(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Round-robin a scan whose file layout gives fewer splits than cores."""
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # Spark Connect has no RDD view; keep the scan as is
-        pass
-    return df
+# Below this many lines a fact table may sit in fewer splits than there are cores (the test
+# tables hold it in one row group) and is dealt out once more before the joins.
+NARROW_ROWS = 5_000_000
 
 
+# Upper estimates of a row's bytes in memory, of the columns that are joined.
+ROW_BYTES = {"customer": 120, "supplier": 160, "part": 200, "orders": 240}
 COUNTED = ("lineitem", "orders", "customer", "part", "supplier")
 
 
@@ -135,19 +130,26 @@ def line_items_from_star(spark: SparkSession, sf_dir: str, counts: dict[str, int
     )
     # One metadata-only job proves the size of every growing dimension.
     n = counts if counts is not None else row_counts({k: t[k] for k in COUNTED})
+    small = within_budget({k: n[k] * w for k, w in ROW_BYTES.items()})
+    customer = t["customer"].select("c_custkey", "c_name", "c_mktsegment")
     ordc = (
         t["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-        .join(bounded_broadcast(t["customer"].select("c_custkey", "c_name", "c_mktsegment"), n["customer"]),
-              F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(customer) if "customer" in small else customer, F.col("o_custkey") == F.col("c_custkey"))
         .drop("o_custkey")
     )
-    ordc = bounded_broadcast(ordc, n["orders"])  # N:1 join: at most one row per order
-    sup = bounded_broadcast(sup, n["supplier"])
-    part = bounded_broadcast(t["part"].select("p_partkey", "p_name", "p_brand", "p_type"), n["part"])
-    li = spread_if_narrow(spark, t["lineitem"].select(
+    if "orders" in small:
+        ordc = F.broadcast(ordc)  # N:1 join: at most one row per order
+    if "supplier" in small:
+        sup = F.broadcast(sup)
+    part = t["part"].select("p_partkey", "p_name", "p_brand", "p_type")
+    if "part" in small:
+        part = F.broadcast(part)
+    li = t["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",
-    ))
+    )
+    if n["lineitem"] < NARROW_ROWS:
+        li = li.hint("rebalance")
     joined = (
         li.join(ordc, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -156,30 +158,3 @@ def line_items_from_star(spark: SparkSession, sf_dir: str, counts: dict[str, int
     for name, e in HELPERS + HELPERS_2:
         joined = joined.withColumn(name, F.expr(e))
     return joined.select(*[F.expr(e).alias(n) for n, e in LINE_ITEM_EXPRS])
-
-
-def oracle_cte() -> str:
-    """The same adapter as one SQL CTE named ``li`` (DuckDB dialect-neutral)."""
-    h1 = ",\n           ".join(f"{e} AS {n}" for n, e in HELPERS)
-    h2 = ",\n           ".join(f"{e} AS {n}" for n, e in HELPERS_2)
-    cols = ",\n           ".join(
-        f"{e.replace(' as string)', ' as varchar)')} AS {n}" for n, e in LINE_ITEM_EXPRS
-    )
-    return f"""li AS (
-    SELECT {cols}
-    FROM (
-      SELECT *, {h2}
-      FROM (
-        SELECT l.*, o.o_orderdate, o.o_orderpriority, c.c_custkey, c.c_name, c.c_mktsegment,
-               s.s_name, n.n_name, r.r_name, p.p_name, p.p_brand, p.p_type,
-           {h1}
-        FROM lineitem l
-        JOIN orders o ON l.l_orderkey = o.o_orderkey
-        JOIN customer c ON o.o_custkey = c.c_custkey
-        JOIN part p ON l.l_partkey = p.p_partkey
-        JOIN supplier s ON l.l_suppkey = s.s_suppkey
-        JOIN nation n ON s.s_nationkey = n.n_nationkey
-        JOIN region r ON n.n_regionkey = r.r_regionkey
-      ) j1
-    ) j2
-)"""

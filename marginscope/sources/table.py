@@ -11,13 +11,12 @@ is large and coalesced by AQE when it is small, never by the input layout.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import app_id, fingerprint, scratch_path
+from ..session import app_id, fingerprint, scratch_path, size_shuffles
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star, star_counts
 
@@ -28,6 +27,9 @@ _LOCK = threading.RLock()  # re-entrant: the CSV copy builds the table first
 # About 220 MB of parquet per file at ~44 bytes per compressed line.
 ROWS_PER_FILE = 5_000_000
 
+# Columns that reports look up by equality.
+BLOOM_COLUMNS = ("customer_name", "order_id")
+
 DERIVED_PARTITIONS = {
     "order_year": lambda: F.year("order_date"),
     "order_month": lambda: F.date_format("order_date", "yyyy-MM"),
@@ -65,6 +67,8 @@ def write_line_items(
     out = out.repartitionByRange(need, *keys) if need > configured else out.repartitionByRange(*keys)
     out = out.sortWithinPartitions("order_date")
     w = out.write.mode(mode)
+    for c in BLOOM_COLUMNS:  # equality on these prunes row groups, which the date order cannot
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     if parts:
         w = w.partitionBy(*parts)
     w.parquet(path)
@@ -77,19 +81,30 @@ def read_line_items(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.parquet(path)
 
 
+def check_conserved(spark: SparkSession, path: str, expected: int) -> None:
+    """Raise if the written table does not hold the source's number of lines.
+
+    The star joins are inner joins: a line whose order, customer, part or supplier
+    is missing would vanish, and one with a repeated key would be doubled.
+    """
+    written = read_line_items(spark, path, LINE_ITEM_SCHEMA).count()
+    if written != expected:
+        raise ValueError(f"{expected} source lines became {written} line items: keys without, or with several, dimension rows")
+
+
 def _fingerprint_key(spark: SparkSession, sf_dir: str) -> tuple[tuple[str, str], str]:
-    fp = fingerprint([os.path.join(sf_dir, f"{t}.parquet") for t in STAR_TABLES])
-    return (app_id(spark), f"{os.path.abspath(sf_dir)}:{fp}"), fp
+    fp = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in STAR_TABLES])
+    return (app_id(spark), f"{sf_dir}:{fp}"), fp
 
 
 def line_items_via_csv(spark: SparkSession, sf_dir: str, charset: str = "cp1252") -> DataFrame:
-    """The line items of ``sf_dir`` after a round trip through the CSV sink and the gated CSV source.
+    """The line items of ``sf_dir`` after a round trip through the CSV sink and the gated CSV load.
 
-    The CSV copy is written once per session and input version into the
-    checkpoint folder; reading it back runs the full CSV path (charset,
-    quoting, empty vs NULL, exact decimals, malformed-row gate).
+    Written once per session and input version: CSV in the checkpoint folder, then the
+    parquet table that ``load_csv_table`` makes of it (charset, quoting, empty vs
+    NULL, exact decimals, malformed-row gate).
     """
-    from .csv import read_line_items_csv, write_line_items_csv
+    from .csv import load_csv_table, write_line_items_csv
 
     key, fp = _fingerprint_key(spark, sf_dir)
     key = (key[0], key[1] + ":csv:" + charset)
@@ -98,8 +113,7 @@ def line_items_via_csv(spark: SparkSession, sf_dir: str, charset: str = "cp1252"
         if df is None:
             path = scratch_path(spark, "line_items_csv", fp)
             write_line_items_csv(line_items(spark, sf_dir), path, charset=charset)
-            # the gated rows are checkpointed (immutable), so the frame is reused in this application
-            df = _FRAMES[key] = read_line_items_csv(spark, path, schema=LINE_ITEM_SCHEMA, charset=charset)
+            df = _FRAMES[key] = load_csv_table(spark, path, path + "-table", schema=LINE_ITEM_SCHEMA, charset=charset)
     return df
 
 
@@ -118,7 +132,9 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
         if df is None:
             path = scratch_path(spark, "line_items", fp)
             counts = star_counts(spark, sf_dir)  # one job: fact size for the files, dimension sizes for broadcasts
+            size_shuffles(spark, counts["lineitem"])
             write_line_items(line_items_from_star(spark, sf_dir, counts), path, rows=counts["lineitem"])
+            check_conserved(spark, path, counts["lineitem"])
             # the path is never rewritten in this application, so the (immutable) frame is reused
             df = _FRAMES[key] = read_line_items(spark, path, LINE_ITEM_SCHEMA)
     return df

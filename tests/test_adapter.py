@@ -90,7 +90,7 @@ def test_large_dimensions_take_the_shuffle_join_path(spark, li001, monkeypatch):
 
     # pretend every growing dimension is over the broadcast bound; turn off Spark's own
     # size-based broadcast too, so the plan is the one a 100 TB run gets
-    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 5)  # below every dimension (10 suppliers at sf0.001)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 5)  # below every dimension (10 suppliers at sf0.001)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -102,3 +102,60 @@ def test_large_dimensions_take_the_shuffle_join_path(spark, li001, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_broadcasts_share_one_budget():
+    from marginscope.operators.joins import within_budget
+
+    sizes = {"a": 50, "b": 60, "c": 10, "d": 200}
+    assert within_budget(sizes, 120) == {"a", "b", "c"}
+    assert within_budget(sizes, 119) == {"a", "c"}
+    assert within_budget(sizes, 9) == set()
+
+
+def test_lost_lines_raise(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from marginscope.sources import table
+
+    for t in table.STAR_TABLES:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (df.where("p_partkey % 7 <> 0") if t == "part" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    with pytest.raises(ValueError, match="source lines became"):
+        table.line_items(spark, str(tmp_path))
+
+
+def test_changed_input_is_not_served_stale(spark, tmp_path):
+    from marginscope.session import fingerprint
+
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    first = fingerprint(spark, [f"{tmp_path}/t.parquet"])
+    assert first == fingerprint(spark, [f"{tmp_path}/t.parquet"])
+    spark.range(6).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert first != fingerprint(spark, [f"{tmp_path}/t.parquet"])
+    assert fingerprint(spark, ["/no/such/file"]) != fingerprint(spark, ["/no/such/file"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from marginscope.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return d
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="share"):
+        ensure_checkpoint_dir(Session())

@@ -26,11 +26,12 @@ def test_run_from_star_all_reports(spark):
     # sf0.001 holds one duplicated row_id and ships before ordering by construction (FIXTURES.md):
     # allowed here, still reported in the summary
     summary = run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--format", "csv",
+                              "--accounts", "Customer#000000001,Customer#000000002", "--customer", "Customer#000000001",
                               "--allow", "ship_before_order,duplicate_row_id"]))
     assert summary["failed_rules"] == ["duplicate_row_id", "ship_before_order"]
     from marginscope.plans import REPORTS
 
-    assert len(summary["reports"]) == len(REPORTS) == 53
+    assert len(summary["reports"]) == len(REPORTS) == 54
     assert summary["reports"]["enriched_export"]["rows"] == 6000
     assert summary["reports"]["thin_margin_accounts"]["rows"] == 14
 
@@ -51,10 +52,31 @@ def test_partitioned_table_from_cli(spark):
     assert summary["reports"]["headline"]["rows"] == 1
 
 
-def test_single_file_csv_reports(spark):
+def test_filters_and_grain_are_parameters(spark):
     out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
-    run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--reports", "by_region,discount_tiers",
-                    "--format", "csv", "--single-file", "--allow", "ship_before_order,duplicate_row_id"]))
-    for name in ("by_region", "discount_tiers"):
-        files = [f for f in os.listdir(os.path.join(out, "reports", name)) if f.endswith(".csv")]
-        assert len(files) == 1
+    allow = ["--allow", "ship_before_order,duplicate_row_id"]
+    names = ["--reports", "filtered_view,structural_losses,by_state"]
+    run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out + "/a", *names, *allow]))
+    everything = spark.read.parquet(out + "/a/reports/filtered_view")
+    assert sorted(everything.collect()) == sorted(spark.read.parquet(out + "/a/reports/by_state").collect())
+    assert "sub_category" in spark.read.parquet(out + "/a/reports/structural_losses").columns
+    run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out + "/b", *names, *allow, "--regions", "ASIA",
+                    "--from", "1996-01-01", "--structural-dims", "customer_name,sub_category"]))
+    some = spark.read.parquet(out + "/b/reports/filtered_view")
+    assert 0 < some.count() < everything.count()
+    assert "customer_name" in spark.read.parquet(out + "/b/reports/structural_losses").columns
+
+
+def test_reports_on_names_need_names(spark):
+    out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
+    csv = _write([_line(1), _line(2)])
+    summary = run(parse_args(["--csv", csv, "--out", out]))
+    assert not {"named_account_profile", "customer_detail", "customer_by_region"} & set(summary["reports"])
+    assert summary["reports"]["filtered_view"]["rows"] == 1
+
+
+def test_expected_rows_stop_a_doubled_load(spark):
+    out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
+    csv = _write([_line(1), _line(2), _line(3)])
+    with pytest.raises(SystemExit, match="row_count"):
+        run(parse_args(["--csv", csv, "--out", out, "--expect-rows", "2", "--reports", "headline"]))

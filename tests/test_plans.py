@@ -77,3 +77,43 @@ def test_customer_reports_read_the_customer_aggregate(spark, name):
 def test_distinct_order_reports_read_the_order_aggregate(spark, name):
     txt = _formatted(E.queries()[name](spark, SF001))
     assert "order_aggregate" in txt and "/line_items/" not in txt
+
+
+def _exchanges(df):
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n") if "Exchange hash" in line]
+
+
+def test_distinct_order_reports_do_not_shuffle_orders(spark):
+    import __spark_entry__ as E
+
+    for name in ("headline", "by_segment", "top_customers", "top_customers_by_profit"):
+        shuffles = _exchanges(E.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert not any("order_id" in x for x in shuffles), name
+
+
+def test_distinct_orders_with_orders_of_several_customers(spark, li001):
+    from pyspark.sql import functions as F
+
+    from marginscope.operators.rollup import margin_rollup, order_aggregate
+
+    odd = li001.withColumn("order_id", F.when(F.col("quantity") % 5 == 0, None).otherwise((F.col("quantity") % 9).cast("string")))
+    orders = order_aggregate(odd)
+    measures = ["total_orders", "line_items", "total_sales"]
+    for dims in ([], ["segment"], ["customer_name"], ["customer_name", "segment"]):
+        want = sorted(margin_rollup(odd, dims, measures).collect())
+        assert sorted(margin_rollup(odd, dims, measures, orders=orders).collect()) == want
+
+
+def test_profile_and_gate_share_one_key_aggregate(spark):
+    import __spark_entry__ as E
+
+    for name in ("load_profile", "quality_report"):
+        shuffles = _exchanges(E.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert not any("row_id" in x for x in shuffles), name
+
+
+def test_thresholds_have_names_of_their_own():
+    from marginscope.operators.discount import _pct_label
+
+    assert [_pct_label(t) for t in ("0.2", "0.12", "0.125", "0")] == ["20pct", "12pct", "12_5pct", "0pct"]

@@ -94,3 +94,38 @@ def test_clean_passes(spark):
 def test_load_profile(defects):
     r = Q.load_profile(defects).first()
     assert (r.row_count, r.distinct_keys, r.min_key, r.max_key) == (15, 13, 1, 14)
+
+
+def test_duplicate_rows_with_null_keys(spark):
+    from marginscope.operators.quality import duplicate_keys, duplicate_rows
+
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x"), (4, "b", "x"), (5, "c", None), (6, None, None)], "id int, o string, c string")
+    assert duplicate_keys(df, ["o", "c"]).count() == 2
+    assert sorted(r.id for r in duplicate_rows(df, ["o", "c"]).collect()) == [1, 2, 3, 4]
+
+
+def test_expectations_find_a_doubled_load(spark, li001):
+    import pytest
+
+    from marginscope.operators.quality import assert_quality, expectations
+
+    allow = ("ship_before_order", "duplicate_row_id")
+    expected = {"rows": 6000, "domains": {"region": 5}}
+    assert_quality(li001, allow=allow, expected=expected)
+    with pytest.raises(ValueError, match="row_count"):
+        assert_quality(li001.unionAll(li001), allow=allow, expected=expected)
+    with pytest.raises(ValueError, match="values_of_region"):
+        assert_quality(li001.where("region <> 'ASIA'"), allow=(*allow, "row_count"), expected=expected)
+    df = spark.createDataFrame([(1,), (2,), (4,)], "row_id int")
+    got = {r.check: (r.expected, r.actual, r.passed) for r in expectations(df, keys=("row_id", 1, 4)).collect()}
+    assert got == {"first_key": ("1", "1", True), "last_key": ("4", "4", True), "missing_keys": ("0", "1", False)}
+    empty = {r.check: r.passed for r in expectations(df.where("false"), rows=0, keys=("row_id", 1, 2)).collect()}
+    assert empty == {"row_count": True, "first_key": False, "last_key": False, "missing_keys": False}
+
+
+def test_defects_are_found(spark):
+    import __spark_entry__ as E
+
+    for name, q in E.queries().items():
+        if name.startswith("defect_"):
+            assert q(spark, "/root/testdata/sf0.01").count() > 0, name
