@@ -40,15 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids of each document's text, and the digests of ids and decoded bytes."""
-    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "n_chars", "text"), ranks())
-    both = coded.drop("text").withColumn("_bytes", bpe.decoder(ranks())(F.col("ids")))
-    return both.select(
-        "doc_id", "lang", "source", "n_chars",
-        bpe.n_tokens(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("_bytes", 256).alias("decoded_sha256"),
-        "ids",
-    )
+    return bpe.round_trip(docs, ranks(), keep=("lang", "source", "n_chars"))
 
 
 STAGES = [

@@ -130,6 +130,12 @@ class Merges:
                             taken = -1
                     at = np.array(keep)
             gone = after[at]
+            # one by one, the first of two neighbours would for a moment stand beside the second's first token
+            near = np.flatnonzero(after[gone[:-1]] == at[1:])
+            if len(near):
+                moment = self.lookup(np.full(len(near), r), tok[at[near + 1]]) < r
+                if moment.any():
+                    odd.append(at[near[moment]])
             tok[at] = r
             alive[gone] = False
             pair[gone] = self.none
@@ -172,24 +178,26 @@ class Encoder:
 
     def block(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; b'' for null or empty."""
-        pieces: list[list[str]] = []
-        for t in texts:
-            if not t:
-                pieces.append([])
-            elif not self.cut_at_spaces or "\0" in t or self.uneven(t):
-                pieces.append(["\0" + m for m in self.find(t)])  # a match itself
-            else:
-                first, *rest = t.split(" ")
-                pieces.append(["\0" + m for m in self.find(first)] + rest)
         if len(self.known) > CACHE:
             self.known = {}
-        new = list(set().union(*pieces) - self.known.keys())
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                new.update(self.pieces(t))
+        names = list(new - self.known.keys())
         # a piece that begins with the mark is one match; any other follows a space
-        found = [[p[1:]] if p[0] == "\0" else self.find(" " + p) for p in new]
+        found = [[p[1:]] if p[0] == "\0" else self.find(" " + p) for p in names]
         words = list({m for ms in found for m in ms})
         ids = dict(zip(words, self.merges.replay([w.encode() for w in words])))
-        self.known.update((p, b"".join([ids[m] for m in ms])) for p, ms in zip(new, found))
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
+        self.known.update((p, b"".join([ids[m] for m in ms])) for p, ms in zip(names, found))
+        # cut once more: all pieces of a block together would take far more memory than its texts
+        return [b"".join(map(self.known.__getitem__, self.pieces(t))) if t else b"" for t in texts]
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.cut_at_spaces or "\0" in text or self.uneven(text):
+            return ["\0" + m for m in self.find(text)]
+        first, *rest = text.split(" ")
+        return ["\0" + m for m in self.find(first)] + rest
 
 
 def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
@@ -205,21 +213,43 @@ def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
     return encode
 
 
-def decoder(ranks: dict[bytes, int]):
-    """Column function: packed ids -> bytes. An id outside the vocabulary raises."""
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     token = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         token[r] = t
+    return token
+
+
+def _decode(token: list[bytes], packed: bytes) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+
+
+def decoder(ranks: dict[bytes, int]):
+    """Column function: packed ids -> bytes. An id outside the vocabulary raises."""
+    token = _tokens(ranks)
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        get = token.__getitem__
         for s in batches:
-            yield pd.Series([b"".join(map(get, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in s], dtype=object)
+            yield pd.Series([_decode(token, x or b"") for x in s], dtype=object)
 
     return decode
 
 
+def coder(ranks: dict[bytes, int], pattern: str = PATTERN):
+    """Column function: text -> (ids, decoded): packed ids, and the bytes they decode to."""
+    merges, token = Merges(ranks), _tokens(ranks)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e = Encoder(merges, pattern)
+        for s in batches:
+            ids = e.block(s.tolist())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([_decode(token, x) for x in ids], dtype=object)})
+
+    return code
+
+
 def n_tokens(packed: Column) -> Column:
     return (F.octet_length(packed) / 4).cast("long")
 
@@ -245,14 +275,15 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "
     return docs.withColumn(ids_col, encoder(ranks)(F.col(text_col)))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """One row a document: number of tokens, sha256 of the packed ids and of the bytes they decode to."""
-    coded = encode_documents(docs.select(id_col, *keep, text_col), ranks, text_col, "_ids")
-    both = coded.drop(text_col).withColumn("_bytes", decoder(ranks)(F.col("_ids")))
-    return both.select(
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """One row a document: number of tokens, packed ids, sha256 of them and of the bytes they decode to."""
+    common.bound_batches(docs.sparkSession)
+    coded = docs.select(id_col, *keep, coder(ranks)(F.col(text_col)).alias("_c"))
+    return coded.select(
         id_col,
         *keep,
-        n_tokens(F.col("_ids")).alias("n_tokens"),
-        F.sha2(F.col("_ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("_bytes"), 256).alias("decoded_sha256"),
+        n_tokens(F.col("_c.ids")).alias("n_tokens"),
+        F.sha2("_c.ids", 256).alias("ids_sha256"),
+        F.sha2("_c.decoded", 256).alias("decoded_sha256"),
+        F.col("_c.ids").alias("ids"),
     )

@@ -32,7 +32,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(common.table(spark, sf_dir, "documents"), ranks())
+    return bpe.round_trip(common.table(spark, sf_dir, "documents"), ranks()).drop("ids")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
