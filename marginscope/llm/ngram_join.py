@@ -14,10 +14,10 @@ every link is then verified on the whole texts.
 
 Large groups: equal sets are one node from the start. Keys in crowded counters
 bypass the grouping of keys and only meet in a join that adaptive execution splits.
-Within a key, each set is first compared with the set it shares most keys with among
-the least members; only pairs that are then still in different components are
-compared one by one, so a group of near copies costs a few comparisons a member,
-and no possible link between different components is left out.
+Nodes that share many keys with a common centre are a family, and a family is
+compared as a whole in blocks, so that a group of thousands of near copies makes rows
+for its members and not for their pairs. Only pairs that meet across families and
+components are compared one by one; no possible link is left out.
 """
 
 from __future__ import annotations
@@ -38,8 +38,12 @@ WORDS = 5
 PERCENT = 80
 #: Counters of the key statistics (fixed, whatever the size of the corpus).
 COUNTERS = 1 << 18
+#: Counters are summed in shares of 2 ** SHARE_BITS.
+SHARE_BITS = 14
 #: Segments of every band that are also indexed with one element deleted.
 DELETIONS = 2
+#: Members of a family that a task compares with as many others, and tokens it counts at once.
+BLOCK, COLUMNS = 256, 8192
 #: A counter is crowded when it holds so many times the mean.
 CROWDED = 16
 
@@ -137,36 +141,42 @@ class Scheme:
         whole, less, _ = self.split(tokens, self.band(len(tokens)))
         return np.concatenate([whole, less])
 
-    def probe_keys(self, tokens: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """Keys a set must look under, in its own band and the one below, and how often it meets a linked set there.
+    def roles(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every key of a set and its role: 2 * c + 1 if the set can be found under the key.
 
-        For linked sets no larger than itself. With c - 1 allowances beyond H + 1,
-        a linked set is met under c keys at least.
+        c is 0 where the set does not look. Else it looks in its own band and the one
+        below for linked sets no larger than itself; with c - 1 allowances beyond H + 1,
+        it meets each of them under c keys at least.
         """
         n = len(tokens)
-        if not n:
-            return []
-        own = self.band(n)
-        out = []
-        for band in (own, own - 1):
+        keys, roles = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int8)]
+        own = self.band(n) if n else 0
+        for band in (own, own - 1) if n else ():
             if band < 0 or int(self.last[band]) * 100 < self.percent * n:
                 continue
             need = self.budget(n, min(n, int(self.last[band]))) + 1
             whole, less, at = self.split(tokens, band)
-            cost = counts[(whole % _U(COUNTERS)).astype(np.int64)].astype(np.int64)
+            cost = counts[(whole % _U(COUNTERS)).astype(np.int64)]
             # a second allowance costs the keys with one element deleted
             full = np.unique(at)  # an empty segment has nothing to delete
             extra = np.bincount(at, weights=counts[(less % _U(COUNTERS)).astype(np.int64)], minlength=DELETIONS)[full]
             steps = np.concatenate([cost, cost[full] + extra + 1])
-            take = np.argpartition(steps, min(need + need // 25 + 1, len(steps)) - 1)[: need + need // 25 + 1]
-            twos = full[take[take >= len(whole)] - len(whole)]
+            wanted = min(need + need // 25 + 1, len(steps))
+            take = np.argpartition(steps, wanted - 1)[:wanted]
             asked = np.zeros(len(whole), dtype=bool)
             asked[take[take < len(whole)]] = True
-            short = asked[twos]  # a second allowance without a first counts as the first
+            twos = full[take[take >= len(whole)] - len(whole)]
+            deleted = twos[asked[twos]]  # a second allowance without a first counts as the first
             asked[twos] = True
-            deleted = twos[short]
-            out.append((np.concatenate([whole[asked], less[np.isin(at, deleted)]]), min(len(take) - need + 1, 60)))
-        return out
+            every, looks = np.concatenate([whole, less]), np.concatenate([asked, np.isin(at, deleted)])
+            c = 2 * min(wanted - need + 1, 60)
+            if band == own:
+                keys.append(every)
+                roles.append(np.where(looks, c + 1, 1).astype(np.int8))
+            else:
+                keys.append(every[looks])
+                roles.append(np.full(len(keys[-1]), c, dtype=np.int8))
+        return np.concatenate(keys), np.concatenate(roles)
 
 
 def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -181,7 +191,7 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
 
     (id, n_shingles, set_key) for each document: the size of its set and a 128-bit
     digest of it (null when empty). (block, counts) for each task and block of
-    1024 counters: how many index keys of its documents fall into each.
+    2 ** SHARE_BITS counters: how many index keys of its documents fall into each.
     """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,11 +208,11 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
                 "block": None,
                 "counts": None,
             })
-        blocks = np.unique(np.flatnonzero(total) >> 10).tolist()
+        blocks = np.unique(np.flatnonzero(total) >> SHARE_BITS).tolist()
         if blocks:
             yield pd.DataFrame({
                 "id": None, "n_shingles": None, "set_key": None, "block": blocks,
-                "counts": [total[k << 10 : (k + 1) << 10] for k in blocks],
+                "counts": [total[k << SHARE_BITS : (k + 1) << SHARE_BITS] for k in blocks],
             })
 
     common.bound_batches(docs.sparkSession)
@@ -216,12 +226,12 @@ def _key_counts(sets: DataFrame) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": frame["block"][:1], "counts": [np.sum(np.stack(frame["counts"]), axis=0)]})
 
-    rows = sets.where("block is not null").select("block", "counts").withColumn("salt", F.spark_partition_id() % 32)
+    rows = sets.where("block is not null").select("block", "counts").withColumn("salt", F.spark_partition_id() % 8)
     # first within salts, so that no task adds up the counters of more than a part of all tasks
     part = rows.groupBy("block", "salt").applyInPandas(lambda f: add(f), "block int, counts array<long>")
     out = np.zeros(COUNTERS, dtype=np.int64)
     for r in part.groupBy("block").applyInPandas(lambda f: add(f), "block int, counts array<long>").collect():
-        out[r["block"] << 10 : (r["block"] + 1) << 10] = r["counts"]
+        out[r["block"] << SHARE_BITS : (r["block"] + 1) << SHARE_BITS] = r["counts"]
     return out
 
 
@@ -235,19 +245,11 @@ def _keys(texts: DataFrame, scheme: Scheme, counts: np.ndarray) -> DataFrame:
         for frame in batches:
             keys, nodes, looks, held = [], [], [], 0
             for node, text in zip(frame["node"].tolist(), frame["text"]):
-                tokens = cut(text)
-                index = scheme.index_keys(tokens)
-                probes = scheme.probe_keys(tokens, weight)
-                # role: 2 * (how often a linked set is met, 0 if the node does not look here) + can be found here
-                for k, (probe, c) in enumerate(probes):
-                    keys.append(probe)
-                    looks.append(np.full(len(probe), 2 * c + (k == 0), dtype=np.int8))
-                    if k == 0:
-                        keys.append(index[~np.isin(index, probe)])
-                        looks.append(np.ones(len(keys[-1]), dtype=np.int8))
-                size = sum(map(len, keys)) - held
-                nodes.append(np.full(size, node))
-                held += size
+                key, role = scheme.roles(cut(text), weight)
+                keys.append(key)
+                looks.append(role)
+                nodes.append(np.full(len(key), node))
+                held += len(key)
                 if held > 500_000:
                     yield _key_frame(keys, nodes, looks, heavy)
                     keys, nodes, looks, held = [], [], [], 0
@@ -277,8 +279,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(similar("_x", "_y")).select("a", "b")
 
 
-def link_nodes(texts: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the rows (node, text) that have a link; rows have different sets."""
+def spanning_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the index of the first one of those it reaches by links among them."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    token, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    # a token of one set is in no intersection
+    rank = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = row[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), dtype=np.float32)
+    for a in range(0, int((times > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((n, COLUMNS), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        both += part @ part.T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    first = np.arange(n)
+    while True:
+        least = np.where(linked, first[None, :], n).min(axis=1)
+        least = least[least]
+        if (least == first).all():
+            return first
+        first = least
+
+
+def family_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): enough links to connect what is linked within each family of (family, node, text).
+
+    A family is compared in blocks of its members, two blocks a task, by sparse
+    counts of common tokens; no pair becomes a row.
+    """
+    size = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # families of one block share tasks
+    task = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(4096)))
+    dealt = dealt.select(task.alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "family", "node", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        cut = Shingler()
+        out = []
+        for _, part in frame.groupby("family", sort=False):
+            node = part["node"].to_numpy()
+            if len(node) > 1:
+                first = spanning_links([cut(t) for t in part["text"]], percent)
+                far = first != np.arange(len(node))
+                out.append(pd.DataFrame({"a": node[first[far]], "b": node[far]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return dealt.groupBy("task", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def link_nodes(texts: DataFrame, every: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the rows (node, text) that have a link; rows have different sets.
+
+    ``every`` holds the same rows and may hold more; the few texts that are compared are
+    taken from it, so that not all are shuffled again.
+    """
     keys = _keys(texts, Scheme(percent), counts)
     # keys of more than one node, one of which looks; a counter that isn't crowded bounds the
     # nodes of its keys, the rest are dealt by salt and kept
@@ -290,24 +352,38 @@ def link_nodes(texts: DataFrame, counts: np.ndarray, percent: int = PERCENT) ->
         .select("key", "node", "role"),
         "keys",
     )
-    # each node with the least member it shares most keys with
-    least = met.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").drop("_z")
-    shared = met.join(least, "key").where("node != a").groupBy("node", "a").count()
-    best = shared.groupBy("node").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-    first = common.materialize(_verified(best.select("a", F.col("node").alias("b")), texts, percent), "links")
+    # The most central node of a key is one that shares many keys with many others. Nodes that share
+    # twice the keys a link needs with a centre are of its family; families are compared as wholes.
+    crowd = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    weight = met.join(crowd, "key").groupBy("node").agg(F.sum("n").alias("w"))
+    weighed = common.materialize(met.join(weight, "node").select("key", "node", "role", "w"), "weighed")
+    centre = weighed.groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("a"), F.count("*").alias("n")).where("n > 1")
+    shared = weighed.join(centre.select("key", "a"), "key").where("node != a").groupBy("node", "a").agg(
+        F.count("*").alias("n"), F.max(F.shiftright("role", 1)).alias("times")
+    )
+    best = shared.groupBy("node").agg(F.max_by(F.struct("a", "n", "times"), F.struct("n", -F.col("a"))).alias("s"))
+    near = best.where("s.n >= s.times and s.times > 0").select(F.col("node").alias("a"), F.col("s.a").alias("b"))
+    kernel = connected_components(near).select("node", F.col("component").alias("family"))
+    # A node whose keys have several centres of one family is of that family as well.
+    of_key = centre.join(kernel.withColumnRenamed("node", "a"), "a").select("key", "family")
+    shared = weighed.join(of_key, "key").groupBy("node", "family").agg(F.count("*").alias("n"), F.max(F.shiftright("role", 1)).alias("times"))
+    best = shared.groupBy("node").agg(F.max_by(F.struct("family", "n", "times"), F.struct("n", -F.col("family"))).alias("s"))
+    more = best.where("s.n >= s.times and s.times > 0").select(F.col("node").alias("a"), F.col("s.family").alias("b"))
+    edges = kernel.select(F.col("node").alias("a"), F.col("family").alias("b")).union(more)
+    family = common.materialize(connected_components(edges).select("node", F.col("component").alias("family")), "families")
+    first = common.materialize(family_links(every.join(family, "node").select("family", "node", "text"), percent), "links")
     part = connected_components(first)
-    # what may still be linked: nodes that meet under a key, in different components
-    whole = met.join(part, "node", "left").select("key", "node", "role", F.coalesce("component", "node").alias("c"))
-    mixed = whole.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
+    # what may still be linked: nodes that meet under a key, in different components and families
+    place = family.join(part, "node", "full").select("node", F.coalesce("component", "node").alias("c"), "family")
+    whole = met.join(place, "node", "left").select("key", "node", "role", F.coalesce("c", "node").alias("c"), F.coalesce("family", -1 - F.col("node")).alias("f"))
+    mixed = whole.groupBy("key").agg(F.min("f").alias("_l"), F.max("f").alias("_h")).where("_l < _h").select("key")
     rest = common.materialize(whole.join(mixed, "key"), "rest")
-    looks = rest.where("role > 1").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.shiftright("role", 1).alias("times"))
-    found = rest.where(F.col("role").bitwiseAND(1) == 1).select("key", F.col("node").alias("y"), F.col("c").alias("cy"))
-    met_often = looks.join(found, "key").where("cx != cy").groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times")).where("n >= times")
-    pairs = met_often.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = best.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    pairs = common.materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(pairs, texts, percent)
-    return connected_components(first.union(more))
+    looks = rest.where("role > 1").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("f").alias("fx"), F.shiftright("role", 1).alias("times"))
+    found = rest.where(F.col("role").bitwiseAND(1) == 1).select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("f").alias("fy"))
+    apart = looks.join(found, (looks["key"] == found["key"]) & (looks["cx"] != found["cy"]) & (looks["fx"] != found["fy"]))
+    met_often = apart.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times")).where("n >= times")
+    pairs = common.materialize(met_often.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    return connected_components(first.union(_verified(pairs, every, percent)))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -326,7 +402,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the text of one member of each class of equal sets
     ids = nodes.where("node is not null").select("node").distinct()
     texts = base.join(ids.hint("shuffle_hash"), base["_id"] == ids["node"], "left_semi").select(F.col("_id").alias("node"), "text")
-    part = link_nodes(texts, _key_counts(both), percent)
+    part = link_nodes(texts, base.select(F.col("_id").alias("node"), "text"), _key_counts(both), percent)
     return (
         sets.join(nodes, "set_key", "left")
         .join(part, "node", "left")
