@@ -102,10 +102,10 @@ shown AS (
 placed AS (
   SELECT *, head || text || '<|end|>' || chr(10) AS whole,
          COALESCE(SUM(LENGTH(head || text || '<|end|>' || chr(10))) OVER (
-           PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + LENGTH(head) AS at
+           PARTITION BY conv_id, speaker, chunk ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + LENGTH(head) AS pos
   FROM shown)
 SELECT conv_id, speaker, chunk, COUNT(*) AS n_turns, COUNT(*) FILTER (WHERE own) AS n_trained,
        STRING_AGG(whole, '' ORDER BY turn, role, text) AS text,
-       COALESCE(STRING_AGG(CAST(CAST(at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + LENGTH(text) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
+       COALESCE(STRING_AGG(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + LENGTH(text) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, speaker, chunk
 """

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Upper bound of one Arrow batch sent to a Python worker, unless the session sets its own.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+#: How many more ids than wanted are ranked when a sample is drawn.
+SPARE = 1.5
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -67,8 +69,14 @@ def labelled_sample(
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).alias("_label"))
     )
-    pick = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    ids = ids.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= per_label)
+    # Only hashes that can be among a label's first are ranked: of a label with many ids, those in the
+    # lowest share of the hash range that holds about SPARE times as many as are wanted.
+    size = ids.groupBy("_label").agg(F.count("*").alias("_size"))
+    ids = ids.withColumn("_h", F.xxhash64("_id")).join(size, "_label")
+    place = F.col("_h").cast("double") / 2.0**64 + 0.5
+    ids = ids.where(place * F.col("_size") <= SPARE * (per_label + 50))
+    pick = Window.partitionBy("_label").orderBy("_h", "_id")
+    ids = ids.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= per_label).select("_id", "_label", "_n")
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     # at most per_label ids a label: bounded by the parameter, not by the data
     rows = texts.join(F.broadcast(ids), F.col("_key") == F.col("_id"))

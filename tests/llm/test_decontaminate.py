@@ -1,0 +1,113 @@
+import random
+
+import pytest
+from helpers import ODD_TEXTS, docs_frame, with_clashes
+
+from marginscope.llm import decontaminate as D
+from marginscope.llm import queries
+
+
+def slow_distance(pattern, text):
+    """Least edit distance of the pattern to any stretch of the text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def edit(rnd, text, n):
+    t = list(text)
+    for _ in range(n):
+        at = rnd.randrange(len(t))
+        kind = rnd.randrange(3)
+        if kind == 0:
+            t[at] = rnd.choice("abcxyz ")
+        elif kind == 1:
+            t.insert(at, rnd.choice("abcxyz"))
+        else:
+            del t[at]
+    return "".join(t)
+
+
+def test_myers_equals_the_table():
+    rnd = random.Random(1)
+    for _ in range(300):
+        p = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 90)))
+        t = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 120)))
+        d, end = D.myers(p, t)
+        assert d == slow_distance(p, t)
+        assert d == len(p) or slow_distance(p[::-1], t[:end][::-1]) == d
+
+
+def test_finds_exactly_the_items_within_budget():
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    items = [(k, " ".join(word() for _ in range(rnd.randint(8, 40)))) for k in range(12)]
+    finder = D.Finder(items)
+    for trial in range(120):
+        k, item = rnd.choice(items)
+        budget = len(D.normalize(item)) * D.ERROR_PERCENT // 100
+        noise = " ".join(word() for _ in range(30))
+        text = noise + " " + edit(rnd, item, rnd.randint(0, budget + 4)).upper() + "\n " + noise
+        got = {i: d for i, _, _, d in finder.matches(text)}
+        norm = D.normalize(text)
+        for i, other in items:
+            n = D.normalize(other)
+            d = slow_distance(n, norm)
+            if d <= len(n) * D.ERROR_PERCENT // 100:
+                assert got.pop(i) == d
+        assert not got
+
+
+def test_span_is_where_the_item_stands():
+    item = "a question about the number of apples in a basket, and what is left"
+    (got,) = D.Finder([(3, item)]).matches("Before it: " + item.replace("apples", "aples").upper() + " After.")
+    norm = D.normalize("Before it: " + item.replace("apples", "aples").upper() + " After.")
+    assert got[0] == 3 and got[3] == 1 and norm[got[1] : got[2]] == item.replace("apples", "aples")
+
+
+def test_short_items_need_whole_words():
+    f = D.Finder([(1, "to be"), (2, ""), (3, " ")])
+    assert f.matches("not to be missed") == [(1, 4, 9, 0)]
+    assert f.matches("not to bee") == [] and f.matches("") == [] and f.matches(None) == []
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [(r["item_id"], D.normalize(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r["doc_id"], D.normalize(r["text"])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    exact = {(i, k) for i, t in docs for k, x in items if x and x in t}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in queries.op5_decontaminate(spark, sf).collect()}
+    assert {p for p, d in got.items() if d == 0} == exact
+    text = dict(docs)
+    for (i, k), d in got.items():
+        assert slow_distance(dict(items)[k], text[i]) == d
+
+
+def test_bundles_give_the_same(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, queries.op5_decontaminate(spark, sf).collect()))
+    monkeypatch.setattr(D, "BUNDLE_CHARS", 500)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert sum(1 for _ in D.bundles(bench, size=500)) > 1
+    monkeypatch.setattr(D.bundles, "__defaults__", ("item_id", "text", 500))
+    assert sorted(map(tuple, queries.op5_decontaminate(spark, sf).collect())) == want
+
+
+def test_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (None, "no id here"), (2, None), (3, "")], "item_id long, text string")
+    docs = with_clashes(docs_frame(spark, ODD_TEXTS), "item_id", "distance")
+    got = [(r["doc_id"], r["item_id"]) for r in D.matches(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(9, 1), (9, 1), (None, None)], key=str)
+    assert D.clean(docs, bench).count() == len(ODD_TEXTS) - 3
+    assert D.clean(docs, bench).columns == docs.columns
+    none = bench.where("false")
+    assert D.matches(docs, none).count() == 0 and D.clean(docs, none).count() == len(ODD_TEXTS)
+    assert D.matches(docs_frame(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("text", ["ß" * 40, "İstanbul " * 12])
+def test_letters_that_change_length(text):
+    assert D.Finder([(1, text)]).matches("x " + text + " y")[0][3] == 0

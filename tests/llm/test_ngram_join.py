@@ -1,0 +1,118 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from helpers import ODD_TEXTS, docs_frame, with_clashes
+
+from marginscope.llm import ngram_join as J
+from marginscope.llm import queries
+
+
+def slow_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """{id: (size, component)} by comparing all pairs."""
+    sets = {i: slow_set(t) for i, t in rows}
+    ids = sorted(sets)
+    part = {i: i for i in ids}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    by_token = {}
+    for i in ids:
+        close = {}
+        for s in sets[i]:
+            for j in by_token.setdefault(s, []):
+                close[j] = close.get(j, 0) + 1
+            by_token[s].append(i)
+        for j, n in close.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                part[b] = a
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def result(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_brute_force(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()]
+    assert result(queries.op9_ngram_join(spark, f"/root/testdata/{sf}")) == brute(rows)
+
+
+def varied(rnd, words, n):
+    w = list(words)
+    for _ in range(n):
+        at = rnd.randrange(len(w))
+        w[at : at + 1] = rnd.choice(([], ["zzz%d" % rnd.randrange(99)], [w[at], "more%d" % rnd.randrange(99)]))
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_near_copies(spark, seed, monkeypatch):
+    """Texts of all sizes with similarities around the threshold, shared passages, and crowded counters."""
+    if seed == 1:
+        monkeypatch.setattr(J, "CROWDED", 0)  # every key takes the path of crowded ones
+    rnd = random.Random(seed)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for size in (1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 45, 60, 100, 160, 250):
+        base = [f"w{seed}x{size}x{k}" for k in range(size)] + (passage if size % 2 else [])
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6):
+            rows.append((len(rows), varied(rnd, base, min(edits, size // 4 + 1))))
+    rnd.shuffle(rows)
+    assert result(J.components(docs_frame(spark, rows, 4))) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [5, 9, 17, 40, 130, 700])
+def test_linked_sets_meet_often_enough(size):
+    """The pigeonhole guarantee itself, for pairs right at the threshold, whatever the costs."""
+    rnd = np.random.default_rng(size)
+    scheme = J.Scheme()
+    for _ in range(150):
+        r = rnd.integers(1, 2**63, size, dtype=np.uint64)
+        drop = rnd.integers(0, size // 5 + 1)
+        add = rnd.integers(0, size // 5 + 1)
+        s = np.unique(np.concatenate([r[drop:], rnd.integers(1, 2**63, add, dtype=np.uint64)]))
+        r = np.unique(r)
+        if not J._links(r, s, 80):
+            continue
+        large, small = (r, s) if len(r) >= len(s) else (s, r)
+        counts = rnd.integers(0, 50, J.COUNTERS).astype(np.int64)
+        key, role = scheme.roles(large, counts)
+        found = set(scheme.index_keys(small).tolist())
+        looks = {}
+        for k, c in zip(key.tolist(), role.tolist()):
+            if c > 1 and k in found:
+                looks.setdefault(c // 2, set()).add(k)
+        assert any(len(ks) >= c for c, ks in looks.items())
+
+
+def test_index_keys_are_those_with_the_found_role():
+    tokens = np.unique(np.random.default_rng(1).integers(1, 2**63, 90, dtype=np.uint64))
+    scheme = J.Scheme()
+    key, role = scheme.roles(tokens, np.zeros(J.COUNTERS, dtype=np.int64))
+    assert sorted(key[role % 2 == 1].tolist()) == sorted(scheme.index_keys(tokens).tolist())
+
+
+def test_odd_rows(spark):
+    docs = with_clashes(docs_frame(spark, ODD_TEXTS), "component_id", "node", "key", "salt")
+    rows = [r for r in J.components(docs).collect()]
+    assert len(rows) == len(ODD_TEXTS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
+    want = brute([(i, t) for i, t in ODD_TEXTS if i is not None])
+    assert {i: x for i, x in got.items() if i is not None} == want
+    assert got[None] == (1, None)
+    with_null = docs_frame(spark, [(None, "a b c d e f g"), (4, "A b c d e f g"), (2, "x y")])
+    assert result(J.components(with_null)) == {None: (3, 4), 4: (3, 4), 2: (1, 2)}
+    assert J.components(docs_frame(spark, [])).count() == 0
+    assert result(J.components(docs_frame(spark, [(1, None), (2, "")]))) == {1: (0, 1), 2: (0, 2)}
