@@ -61,7 +61,8 @@ def labelled_sample(
 
     At most ``per_label`` documents and ``max_chars`` characters of whole texts
     for each label, none of the held-out fold. An id with several labels
-    takes its largest; null ids, texts and labels are left out. ``labels`` may
+    takes its largest; null ids, texts and labels, and texts longer than ``max_chars``
+    are left out. ``labels`` may
     be ``docs`` itself when the label is a column of the documents.
     """
     ids = (
@@ -77,7 +78,7 @@ def labelled_sample(
     ids = ids.where(place * F.col("_size") <= SPARE * (per_label + 50))
     pick = Window.partitionBy("_label").orderBy("_h", "_id")
     ids = ids.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= per_label).select("_id", "_label", "_n")
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars)
     # at most per_label ids a label: bounded by the parameter, not by the data
     rows = texts.join(F.broadcast(ids), F.col("_key") == F.col("_id"))
     again = Window.partitionBy("_label").orderBy("_n", F.xxhash64("_text"))

@@ -35,10 +35,17 @@ SAMPLE_CHARS = 10_000_000
 #: At most so many terms, lengths of a term, and the shortest term that may be misspelled.
 MAX_TERMS = 200
 SHORTEST, LONGEST, FUZZY_FROM = 4, 10, 5
+#: The shortest word beginning that may be misspelled (it meets more words by chance).
+FUZZY_OPEN_FROM = 6
+#: A misspelled term counts so much of a right one, less the oftener it is met by chance in clean
+#: documents, nothing from this share of them on.
+FUZZY_SHARE, FUZZY_CHANCE = 0.8, 0.02
 #: Words on each side of a hit that its context score looks at.
 WINDOW = 8
 #: A document is toxic from this score on.
 TOXIC = 0.5
+#: Numbers that describe a document.
+FEATURES = 5
 
 #: Words that report or define, and words that address somebody.
 REPORTING = frozenset("said says wrote writes quote quoted quotes quoting called calls term word words slur insult means meaning defined definition "
@@ -55,10 +62,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Trie:
-    """Terms as nested dicts; "" holds (weight, open): an open term matches every word that begins with it."""
+    """Terms as nested dicts; "" holds (term, open): an open term matches every word that begins with it.
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms = terms
+    ``fuzzy`` has the weights of misspelled terms (those of right ones if not
+    given), ``harmless`` words that aren't misspellings.
+    """
+
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
+        self.terms, self.fuzzy, self.harmless = terms, terms if fuzzy is None else fuzzy, harmless
         self.root: dict = {}
         self.whole = {t for t in terms if not t.endswith("*")}
         self.open = {t[:-1] for t in terms if t.endswith("*")}
@@ -69,13 +80,13 @@ class Trie:
         self.head_lengths: list[int] = []
         self.tail_at: list[tuple[int, int]] = []
         tail_at = set()
-        for t, w in terms.items():
+        for t in terms:
             stem, is_open = (t[:-1], True) if t.endswith("*") else (t, False)
             node = self.root
             for c in stem:
                 node = node.setdefault(c, {})
-            node.setdefault("", []).append((w, is_open))
-            if len(stem) >= FUZZY_FROM:
+            if len(stem) >= (FUZZY_OPEN_FROM if is_open else FUZZY_FROM):
+                node.setdefault("", []).append((t, is_open))
                 h = len(stem) // 2
                 self.heads.add(stem[:h])
                 self.tails.add(stem[h:])
@@ -96,7 +107,13 @@ class Trie:
         return any(word[:k] in self.heads for k in self.head_lengths) or any(word[a : a + k] in self.tails for a, k in self.tail_at)
 
     def near(self, word: str) -> float:
-        """Largest weight of a term (of FUZZY_FROM letters or more) within distance 1 of the word; 0 if none.
+        """Largest weight of a misspelled term for a word; 0 if none or if the word is harmless."""
+        if word in self.harmless:
+            return 0.0
+        return max([self.fuzzy[t] for t in self.near_terms(word)], default=0.0)
+
+    def near_terms(self, word: str) -> set[str]:
+        """The terms (long enough to be misspelled) within distance 1 of the word, or of its beginning if they are open.
 
         The automaton's state after some letters of a term: bit i of ``none``
         (of ``one``) says that the first i letters of the word can have been
@@ -107,22 +124,21 @@ class Trie:
             mask[c] = mask.get(c, 0) | 1 << i
         full = (1 << len(word) + 1) - 1
         end = 1 << len(word)
-        best = 0.0
-        stack = [(self.root, 1, 2 & full, 0)]
+        met = set()
+        stack = [(self.root, 1, 2 & full)]
         while stack:
-            node, none, one, depth = stack.pop()
-            if depth >= FUZZY_FROM:
-                for w, is_open in node.get("", ()):
-                    if w > best and ((none | one) if is_open else (none | one) & end):
-                        best = w
+            node, none, one = stack.pop()
+            for t, is_open in node.get("", ()):
+                if (none | one) if is_open else (none | one) & end:
+                    met.add(t)
             for c, child in node.items():
                 if c:
                     m = mask.get(c, 0)
                     after_none = (none & m) << 1
                     after_one = ((one & m) << 1 | none | none << 1 | after_none << 1) & full
                     if after_none | after_one:
-                        stack.append((child, after_none, after_one, depth + 1))
-        return best
+                        stack.append((child, after_none, after_one))
+        return met
 
 
 def hash_words(words: list[str]) -> int:
@@ -163,7 +179,7 @@ def learn_terms(sample: list[tuple[list[str], int]], max_terms: int = MAX_TERMS)
         if g >= 15:
             odds[t], gain[t] = math.log(p / q), g
     chosen: dict[str, float] = {}
-    for t in sorted(gain, key=lambda t: (-gain[t], -len(t), t)):
+    for t in sorted(gain, key=lambda t: (-gain[t], t.endswith("*"), -len(t), t)):
         stem = t.rstrip("*")
         # what a chosen beginning already tells, and a beginning of a chosen term that tells no more
         if any(odds[t] < chosen.get(stem[:k] + "*", -9) + 0.7 for k in range(SHORTEST, len(stem) + 1)):
@@ -176,13 +192,31 @@ def learn_terms(sample: list[tuple[list[str], int]], max_terms: int = MAX_TERMS)
     return chosen
 
 
+def learn_misspelling(terms: dict[str, float], clean: list[list[str]]) -> tuple[dict[str, float], frozenset[str]]:
+    """Weights of misspelled terms, and words near a term that clean documents use."""
+    trie = Trie(terms)
+    chance: Counter = Counter()
+    harmless: set[str] = set()
+    for words in clean:
+        met: set[str] = set()
+        for w in set(words):
+            if trie.may_be_near(w) and not trie.exact(w):
+                found = trie.near_terms(w)
+                if found:
+                    harmless.add(w)
+                    met |= found
+        chance.update(met)
+    n = max(1, len(clean))
+    return {t: w * FUZZY_SHARE * max(0.0, 1 - chance[t] / n / FUZZY_CHANCE) for t, w in terms.items()}, frozenset(harmless)
+
+
 class Matcher:
     """Finds lexicon words in blocks of texts; forgets words once it knows too many."""
 
     KNOWN = 500_000
 
-    def __init__(self, terms: dict[str, float]):
-        self.trie = Trie(terms)
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
+        self.trie = Trie(terms, fuzzy, harmless)
         self.hits: dict[str, tuple[float, bool]] = {}
         self.seen: set[str] = set()
 
@@ -217,27 +251,28 @@ class Matcher:
     def features(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         self.look_up(set().union(*split))
-        out = np.zeros((len(texts), 6))
+        out = np.zeros((len(texts), FEATURES))
         for row, words in zip(out, split):
             found = self.spans(words)
             if found:
-                right = [(w, x * c) for _, w, x, ok, c in found if ok]
-                wrong = [x * c for _, _, x, ok, c in found if not ok]
-                n = len(right) + len(wrong)
                 row[:] = (
-                    np.log1p(sum(x for _, x in right)),
-                    np.log1p(len({w for w, _ in right})),
-                    np.log1p(sum(wrong)),
-                    max([x for _, x in right], default=0) / 4,
-                    math.sqrt(n / len(words)),
+                    math.log1p(sum(weight * context for _, _, weight, _, context in found)),
+                    math.log1p(len({w for _, w, *_ in found})),
+                    max(weight * context for _, _, weight, _, context in found) / 4,
+                    math.sqrt(sum(context for *_, context in found) / len(words)),
                     math.log1p(len(words)) / 10,
                 )
         return out
 
 
 class Model:
-    def __init__(self, terms: dict[str, float], weights: np.ndarray):
-        self.terms, self.weights = terms, weights
+    """A lexicon, its misspellings and the weights of the regression."""
+
+    def __init__(self, terms: dict[str, float], weights: np.ndarray, fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.fuzzy, self.harmless = terms, weights, fuzzy, harmless
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.terms, self.fuzzy, self.harmless)
 
     def score(self, matcher: Matcher, texts: list[str | None]) -> np.ndarray:
         if not texts:
@@ -254,20 +289,25 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     """
     y = np.array([int(v) for _, v in sample])
     if len(set(y.tolist())) < 2:
-        return Model({}, np.array([0.0] * 6 + [5.0 if len(y) and y.all() else -5.0]))
+        return Model({}, np.array([0.0] * FEATURES + [5.0 if len(y) and y.all() else -5.0]))
     texts = [t for t, _ in sample]
     words = [words_of(t) for t in texts]
     half = np.zeros(len(y), dtype=int)
     for label in (0, 1):
         at = np.flatnonzero(y == label)
         half[at] = np.arange(len(at)) % 2
-    x = np.zeros((len(y), 6))
+    x = np.zeros((len(y), FEATURES))
     for k in (0, 1):
         other = [(words[i], int(y[i])) for i in np.flatnonzero(half != k)]
         at = np.flatnonzero(half == k)
-        x[at] = Matcher(learn_terms(other)).features([texts[i] for i in at])
-    terms = learn_terms([(w, int(v)) for w, v in zip(words, y)])
-    return Model(terms, fit_logistic(x, y, l2=0.3))
+        x[at] = Matcher(*_lexicon(other)).features([texts[i] for i in at])
+    terms, fuzzy, harmless = _lexicon([(w, int(v)) for w, v in zip(words, y)])
+    return Model(terms, fit_logistic(x, y, l2=0.3), fuzzy, harmless)
+
+
+def _lexicon(sample: list[tuple[list[str], int]]) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    terms = learn_terms(sample)
+    return terms, *learn_misspelling(terms, [w for w, label in sample if not label])
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_chars: int = SAMPLE_CHARS) -> Model:
@@ -280,7 +320,7 @@ def scorer(model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(model.terms)
+        matcher = model.matcher()
         for s in batches:
             yield pd.Series(model.score(matcher, s.tolist()))
 
@@ -292,7 +332,7 @@ def span_finder(model: Model):
 
     @F.pandas_udf("array<struct<word_index:int,word:string,weight:double,exact:boolean,context:double>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(model.terms)
+        matcher = model.matcher()
         for s in batches:
             split = [words_of(t) for t in s]
             matcher.look_up(set().union(*split))

@@ -21,7 +21,7 @@ def test_run_equals_the_stages_by_hand(spark):
     q = quality_crf.fit_documents(docs, labels)
     ids = [i for i, s in zip(ids, q.score([rows[i]["text"] for i in ids])) if s >= 0.3]
     t = toxicity.fit_documents(docs.where(docs["doc_id"].isin(ids)), labels)
-    score = t.score(toxicity.Matcher(t.terms), [rows[i]["text"] for i in ids])
+    score = t.score(t.matcher(), [rows[i]["text"] for i in ids])
     ids = [i for i, s in zip(ids, score) if s < 0.5]
     ids = sorted({c for _, c in brute([(i, rows[i]["text"]) for i in ids]).values()})
     finder = decontaminate.Finder([(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").collect()])

@@ -20,7 +20,7 @@ def slow_near(terms, word):
     best = 0.0
     for t, w in terms.items():
         stem = t.rstrip("*")
-        if len(stem) < X.FUZZY_FROM:
+        if len(stem) < (X.FUZZY_OPEN_FROM if t.endswith("*") else X.FUZZY_FROM):
             continue
         heads = [word[:k] for k in range(len(word) + 1)] if t.endswith("*") else [word]
         if any(distance(stem, h) <= 1 for h in heads):
@@ -57,8 +57,41 @@ def test_copies_have_one_vote():
     assert X.Trie(terms).exact("idiot") and not X.Trie(terms).exact("chance")
 
 
+def test_words_of_clean_documents_are_not_misspellings():
+    terms = {"trash": 4.0, "moron": 5.0}
+    clean = [["thrash", "plain"]] * 1 + [["plain"]] * 99
+    fuzzy, harmless = X.learn_misspelling(terms, clean)
+    trie = X.Trie(terms, fuzzy, harmless)
+    assert trie.near("thrash") == 0 and harmless == {"thrash"}
+    assert 0 < trie.near("trashh") < X.FUZZY_SHARE * 4 and trie.near("morron") == X.FUZZY_SHARE * 5
+    assert not any(X.learn_misspelling(terms, [["thrash"]] * 3)[0][t] for t in ("trash",))
+
+
+def test_misspelled_abuse_is_caught(spark):
+    """Clean documents with misspelled lexicon terms put in; and the clean ones themselves."""
+    from marginscope.llm import common
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = X.fit_documents(docs, labels)
+    clean = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en' and doc_id % 7 = 0").collect() if crc(r["doc_id"], 5) == 0]
+    terms = sorted(t for t, f in model.fuzzy.items() if f >= 0.7 and len(t) >= 5 and t.isascii() and t.isalpha())
+    rnd = random.Random(1)
+    planted = []
+    for t in clean:
+        w = t.split(" ")
+        for _ in range(max(4, len(w) // 25)):
+            term = rnd.choice(terms)
+            k = rnd.randrange(1, len(term))
+            w.insert(rnd.randrange(len(w) + 1), rnd.choice((term[:k] + term[k + 1 :], term[: k + 1] + term[k:], term[:k] + "x" + term[k + 1 :])))
+        planted.append(" ".join(w))
+    assert len(clean) > 30
+    assert (model.score(model.matcher(), planted) >= X.TOXIC).mean() > 0.9
+    assert (model.score(model.matcher(), clean) >= X.TOXIC).mean() < 0.03
+
+
 def test_context_separates_quotation_from_abuse():
-    m = X.Matcher({"idiot*": 5.0})
+    m = X.Matcher({"idiot": 5.0})
     def context(text):
         words = X.words_of(text)
         m.look_up(set(words))
