@@ -104,7 +104,8 @@ class Scheme:
         a = 1
         while a <= largest:
             first.append(a)
-            last.append(a * 100 // percent)
+            # two similarity steps wide: only sets of a band's lower half have partners in the band below
+            last.append(a * 10_000 // (percent * percent))
             a = last[-1] + 1
         self.first, self.last = np.array(first), np.array(last)
 
