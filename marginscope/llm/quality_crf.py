@@ -25,9 +25,11 @@ from . import common
 
 #: Bounds of the sample of labelled documents that the model is fitted on.
 SAMPLE_PER_LABEL = 2000
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 4_000_000
 #: Fitting cuts documents into runs of so many lines; scoring does not.
 RUN = 64
+#: Characters whose features are computed at once.
+STRETCH = 1 << 20
 #: A document is good from this score on.
 GOOD = 0.3
 
@@ -59,8 +61,23 @@ _STEP = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64) | np.ui
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line, its length, and the number of lines of each text.
 
-    Null counts as empty; an empty text is one empty line.
+    Null counts as empty; an empty text is one empty line. Texts are taken some at
+    a time, as the arrays over bytes are many times their size.
     """
+    parts, now, held = [], [], 0
+    for t in texts:
+        now.append(t)
+        held += len(t or "")
+        if held >= STRETCH:
+            parts.append(_line_features(now))
+            now, held = [], 0
+    if now or not parts:
+        parts.append(_line_features(now or [""]))
+    x, size, lines = zip(*parts)
+    return np.concatenate(x), np.concatenate(size), np.concatenate(lines)
+
+
+def _line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = ("\n".join(t or "" for t in texts) + "\n").encode("utf-8", "replace")
     b = np.frombuffer(raw, dtype=np.uint8)
     lines = np.array([(t or "").count("\n") + 1 for t in texts], dtype=np.int64)

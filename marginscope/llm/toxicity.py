@@ -16,6 +16,7 @@ logistic regression.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .quality_crf import fit_logistic
 
 #: Bounds of the sample of labelled documents that lexicon and weights are fitted on.
 SAMPLE_PER_LABEL = 3000
-SAMPLE_CHARS = 10_000_000
+SAMPLE_CHARS = 6_000_000
 #: At most so many terms, lengths of a term, and the shortest term that may be misspelled.
 MAX_TERMS = 200
 SHORTEST, LONGEST, FUZZY_FROM = 4, 10, 5
@@ -153,23 +154,26 @@ def learn_terms(sample: list[tuple[list[str], int]], max_terms: int = MAX_TERMS)
     size = Counter(group)
     df: tuple[dict[str, float], ...] = (defaultdict(float), defaultdict(float))
     total = [0.0, 0.0]
-    for (words, label), g in zip(sample, group):
-        seen: set[str] = set()
-        for w in set(words):
-            if len(w) >= SHORTEST:
-                seen.add(w)
-                seen.update(w[:k] + "*" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
-        vote = 1 / size[g]
-        for t in seen:
-            df[label][t] += vote
-        total[label] += vote
+    for label in (1, 0):  # of clean documents only what enough toxic ones hold is counted
+        for (words, y), g in zip(sample, group):
+            if y != label:
+                continue
+            seen: set[str] = set()
+            for w in set(words):
+                if len(w) >= SHORTEST:
+                    seen.add(w)
+                    seen.update(w[:k] + "*" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+            vote = 1 / size[g]
+            for t in seen if label else seen & df[1].keys():
+                df[label][t] += vote
+            total[label] += vote
+        if label:
+            df = (df[0], {t: a for t, a in df[1].items() if a >= 3})
     if not all(total):
         return {}
     odds: dict[str, float] = {}
     gain: dict[str, float] = {}
     for t, a in df[1].items():
-        if a < 3:
-            continue
         c = df[0].get(t, 0.0)
         p, q = (a + 0.5) / (total[1] + 1), (c + 0.5) / (total[0] + 1)
         if p < 4 * q:
@@ -196,16 +200,16 @@ def learn_misspelling(terms: dict[str, float], clean: list[list[str]]) -> tuple[
     """Weights of misspelled terms, and words near a term that clean documents use."""
     trie = Trie(terms)
     chance: Counter = Counter()
-    harmless: set[str] = set()
+    near: dict[str, set[str]] = {}
     for words in clean:
         met: set[str] = set()
         for w in set(words):
-            if trie.may_be_near(w) and not trie.exact(w):
-                found = trie.near_terms(w)
-                if found:
-                    harmless.add(w)
-                    met |= found
+            found = near.get(w)
+            if found is None:
+                found = near[w] = trie.near_terms(w) if trie.may_be_near(w) and not trie.exact(w) else set()
+            met |= found
         chance.update(met)
+    harmless = {w for w, found in near.items() if found}
     n = max(1, len(clean))
     return {t: w * FUZZY_SHARE * max(0.0, 1 - chance[t] / n / FUZZY_CHANCE) for t, w in terms.items()}, frozenset(harmless)
 
@@ -291,7 +295,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     if len(set(y.tolist())) < 2:
         return Model({}, np.array([0.0] * FEATURES + [5.0 if len(y) and y.all() else -5.0]))
     texts = [t for t, _ in sample]
-    words = [words_of(t) for t in texts]
+    words = [list(map(sys.intern, words_of(t))) for t in texts]  # one copy of each word
     half = np.zeros(len(y), dtype=int)
     for label in (0, 1):
         at = np.flatnonzero(y == label)
