@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,9 @@ from . import common
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces of text whose ids a task keeps between blocks.
-CACHE = 300_000
+CACHE = 800_000
+#: Characters of a text whose pieces aren't kept while its block is encoded.
+LONG = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -119,8 +120,11 @@ class Merges:
             if not len(at):
                 continue
             if len(at) > 1:
-                at = np.unique(at)  # sorted; a position between two merges was indexed twice
-                if (np.isin(after[at], at)).any():  # runs such as "aaaa": every second one, from the left
+                at.sort()
+                twice = at[1:] == at[:-1]  # a position between two merges was indexed twice
+                if twice.any():
+                    at = at[np.append(True, ~twice)]
+                if (after[at[:-1]] == at[1:]).any():  # runs such as "aaaa": every second one, from the left
                     keep, taken = [], -1
                     for p in at.tolist():
                         if p != taken:
@@ -165,39 +169,48 @@ class Encoder:
     """Encodes blocks of texts; keeps the ids of pieces between blocks, a bounded number of them.
 
     A single space between two other non-space characters always begins a
-    match, so a text in which every space stands so is cut there and each piece
-    is matched only once.
+    match. A text in which every space stands so is cut there and each different
+    piece is matched only once; any other text is matched as a whole.
     """
 
     def __init__(self, merges: Merges, pattern: str = PATTERN):
         self.merges = merges
         self.find = regex.compile(pattern).findall
-        self.uneven = re.compile(r" \s|\s |\A\s|\s\Z").search
         self.cut_at_spaces = pattern == PATTERN
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces after a space
+        self.uneven: set[str] = set()  # those that begin or end with white space
+        self.matches: dict[str, bytes] = {}
 
     def block(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; b'' for null or empty."""
-        if len(self.known) > CACHE:
-            self.known = {}
+        if len(self.known) + len(self.matches) > CACHE:
+            self.known, self.uneven, self.matches = {}, set(), {}
+        # the pieces of a very long text would take far more memory than the text: it is cut once more below
+        cut = [t.split(" ") if t and self.cut_at_spaces and len(t) < LONG else None for t in texts]
         new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(self.pieces(t))
+        for t, ps in zip(texts, cut):
+            if t and self.cut_at_spaces:
+                new.update(ps[1:] if ps else t.split(" ")[1:])
         names = list(new - self.known.keys())
-        # a piece that begins with the mark is one match; any other follows a space
-        found = [[p[1:]] if p[0] == "\0" else self.find(" " + p) for p in names]
-        words = list({m for ms in found for m in ms})
-        ids = dict(zip(words, self.merges.replay([w.encode() for w in words])))
-        self.known.update((p, b"".join([ids[m] for m in ms])) for p, ms in zip(names, found))
-        # cut once more: all pieces of a block together would take far more memory than its texts
-        return [b"".join(map(self.known.__getitem__, self.pieces(t))) if t else b"" for t in texts]
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.cut_at_spaces or "\0" in text or self.uneven(text):
-            return ["\0" + m for m in self.find(text)]
-        first, *rest = text.split(" ")
-        return ["\0" + m for m in self.find(first)] + rest
+        self.uneven.update(p for p in names if not p or p[0].isspace() or p[-1].isspace())
+        found = [self.find(" " + p) for p in names]
+        whole: list[list[str] | None] = []  # the matches of a text's first piece, or of all of it
+        even: list[bool] = []
+        for t, ps in zip(texts, cut):
+            ps = ps or (t.split(" ") if t and self.cut_at_spaces else None)
+            ok = bool(ps) and ps[0] != "" and not ps[0][-1].isspace() and self.uneven.isdisjoint(ps[1:])
+            even.append(ok)
+            whole.append(self.find(ps[0] if ok else t) if t else [])
+        words = list({m for ms in found for m in ms}.union(*whole) - self.matches.keys())
+        self.matches.update(zip(words, self.merges.replay([w.encode() for w in words])))
+        self.known.update((p, b"".join([self.matches[m] for m in ms])) for p, ms in zip(names, found))
+        out = []
+        for t, ps, ms, ok in zip(texts, cut, whole, even):
+            head = b"".join([self.matches[m] for m in ms])
+            if ok:
+                head += b"".join(map(self.known.__getitem__, (ps or t.split(" "))[1:]))
+            out.append(head)
+        return out
 
 
 def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
