@@ -72,10 +72,14 @@ def labelled_sample(
     )
     # Only hashes that can be among a label's first are ranked: of a label with many ids, those in the
     # lowest share of the hash range that holds about SPARE times as many as are wanted.
-    size = ids.groupBy("_label").agg(F.count("*").alias("_size"))
-    ids = ids.withColumn("_h", F.xxhash64("_id")).join(size, "_label")
+    # one row for each label, as the model has one part for each
+    sizes = ids.groupBy("_label").count().collect()
+    if not sizes:
+        return []
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r["_label"], r["count"])])[F.col("_label")]
+    ids = ids.withColumn("_h", F.xxhash64("_id"))
     place = F.col("_h").cast("double") / 2.0**64 + 0.5
-    ids = ids.where(place * F.col("_size") <= SPARE * (per_label + 50))
+    ids = ids.where(place * size <= SPARE * (per_label + 50))
     pick = Window.partitionBy("_label").orderBy("_h", "_id")
     ids = ids.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= per_label).select("_id", "_label", "_n")
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars)
