@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from marginscope.plans import ORACLE, QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
@@ -30,15 +31,29 @@ def _norm(cols, rows):
     return sorted(out)
 
 
-def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_report_has_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+# Reports sorted by a unique key: their order is compared as well.
+ORDERED = ("discount_tiers", "discount_buckets", "by_discount_level", "monthly_running_total", "mom_growth", "moving_avg_3m",
+           "monthly_margin", "monthly_summary", "ship_speed_by_year", "domain_counts", "top_customers", "multi_region_accounts")
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_order(spark, con, name):
+    df = QUERIES[name](spark, SF001)
+    res = con.execute(ORACLE[name])
+    place = [[d[0] for d in res.description].index(c) for c in df.columns]
+    assert [_norm(df.columns, [tuple(r)]) for r in df.collect()] == [_norm(df.columns, [[r[i] for i in place]]) for r in res.fetchall()]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_parity(spark, con, name):
-    df = E.queries()[name](spark, SF001)
+    df = QUERIES[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(ORACLE[name])
     ocols = [d[0] for d in res.description]
     otypes = {d[0]: str(d[1]) for d in res.description}
     orows = res.fetchall()

@@ -13,17 +13,17 @@ from marginscope.session import get_spark  # noqa: E402
 from tools.plans import formatted  # noqa: E402
 
 NOTES = {
-    "load_profile": "keys de-duplicated by hash aggregate, then one row per key range; no row sort",
-    "quality_report": "all row rules in one scan; two key-level group-bys with partial counts",
-    "ship_before_order": "filter only (pushed to the scan)",
+    "load_profile": "one-row aggregate of the lines; the keys come from one shared hash aggregate of row_id (materialised as a single row)",
+    "quality_report": "all row rules in one scan; repeated keys from the shared key row, apparent duplicates from a group-by with partial counts",
+    "ship_before_order": "filter of two columns against each other: no shuffle, but nothing a scan could prune by",
     "null_profile": "one-row aggregate of all columns: partial per task, one merge",
     "recoverable_profit": "one-row conditional aggregate: partial per task, one merge",
     "loss_concentration": "one-row conditional aggregate: partial per task, one merge",
-    "by_segment": "reads the order aggregate; exact distinct orders per segment",
+    "by_segment": "reads the order aggregate; distinct orders are a sum of flags, so only groups are shuffled",
     "domain_counts": "7 columns unpivoted in one scan; exact distinct per column",
     "domain_values": "7 columns unpivoted in one scan, partial distinct",
     "apparent_duplicate_rows": "semi-join to the duplicate keys (AQE broadcasts them at runtime when small)",
-    "headline": "reads the materialised order aggregate (one row per order); exact distinct orders",
+    "headline": "reads the order aggregate; distinct orders are a sum of flags",
     "tier_sign_rollup": "second-level rollup over 4 tiers; the share window sees 2 rows",
     "subcat_rank_in_region": "rank over the (region, brand) aggregate: bounded by the catalogue",
     "bottom3_subcats": "rank <= 3 becomes a partial WindowGroupLimit before the shuffle",
@@ -36,18 +36,18 @@ NOTES = {
     "multi_region_accounts": "reads the customer aggregate; per-task top-k then merge (TakeOrderedAndProject)",
     "thin_margin_accounts": "distributed NTILE: ranges checkpointed, per-range offsets broadcast (one row per partition); deciles shared by the 4 decile reports",
     "top_decile_thin_margin": "reuses the checkpointed deciles",
-    "flagged_account_profile": "customer aggregate semi-joined to the flagged keys: groups move, not lines",
-    "flagged_vs_company": "as above; company average is a scalar subquery evaluated once",
+    "flagged_account_profile": "customer aggregate semi-joined to the flagged keys, then grouped",
+    "flagged_vs_company": "as above; company average is a scalar subquery over the customer aggregate",
     "named_account_profile": "IN-list pushed to the scan of the customer aggregate (no line scan)",
     "customer_by_region": "filter pushed to the scan of the customer aggregate (no line scan)",
-    "customer_detail": "equality pushed to the parquet scan; range sort of the matches",
+    "customer_detail": "equality pushed to the parquet scan, where bloom filters skip row groups; range sort of the matches",
     "enriched_export": "range-partitioned global sort by row_id (no single task)",
     "filtered_view": "all dashboard filters pushed to the scan (IN lists, date range)",
     "filtered_subcategory_view": "same filters, pushed to the scan",
     "filtered_monthly_view": "same filters, pushed to the scan",
-    "filtered_trend_view": "same filters, pushed to the scan; algebraic regression aggregates",
-    "discount_trend": "algebraic regression aggregates: partial per task, one merge",
-    "csv_source_tiers": "tier report over the CSV copy: scan of the gated, checkpointed CSV rows",
+    "filtered_trend_view": "same filters, pushed to the scan; five exact sums",
+    "discount_trend": "five exact decimal sums: partial per task, one merge",
+    "csv_source_tiers": "tier report over the table loaded from the CSV copy: three columns of parquet",
     "by_category_subcategory": "group-by with partial aggregation; sorted report",
     "monthly_summary": "group-by on the month bucket (a DATE), partial aggregation",
 }
