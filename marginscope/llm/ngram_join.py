@@ -227,8 +227,8 @@ def _key_counts(sets: DataFrame) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": frame["block"][:1], "counts": [np.sum(np.stack(frame["counts"]), axis=0)]})
 
-    rows = sets.where("block is not null").select("block", "counts").withColumn("salt", F.spark_partition_id() % 8)
-    # first within salts, so that no task adds up the counters of more than a part of all tasks
+    rows = sets.where("block is not null").select("block", "counts").withColumn("salt", F.floor(F.spark_partition_id() / 256))
+    # first 256 partitions at a time, so that no task holds the counters of all of them
     part = rows.groupBy("block", "salt").applyInPandas(lambda f: add(f), "block int, counts array<long>")
     out = np.zeros(COUNTERS, dtype=np.int64)
     for r in part.groupBy("block").applyInPandas(lambda f: add(f), "block int, counts array<long>").collect():
