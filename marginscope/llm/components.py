@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what these edges connect, one for each node but the least of its component."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    first = np.arange(len(node))
+    while True:
+        least = first.copy()
+        np.minimum.at(least, i, first[j])
+        np.minimum.at(least, j, first[i])
+        least = least[least]
+        if (least == first).all():
+            break
+        first = least
+    far = np.flatnonzero(first != np.arange(len(node)))
+    return node[first[far]], node[far]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with an edge.
 

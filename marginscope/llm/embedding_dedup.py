@@ -21,9 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, materialize
-from .components import connected_components
+from .components import connected_components, spanning_edges
 
 #: Least cosine of a link.
 COSINE = 0.93
@@ -34,9 +35,9 @@ BLOCK = 512
 SEED = 11
 
 
-def _units(packed: pd.Series) -> np.ndarray:
-    """Unit vectors in double precision from packed 64-bit floats."""
-    x = np.frombuffer(b"".join(packed), dtype="<f8").reshape(len(packed), -1)
+def _units(packed: pd.Series, kind: str) -> np.ndarray:
+    """Unit vectors in double precision from packed floats."""
+    x = np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -47,9 +48,9 @@ def _by_width(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part.reset_index(drop=True)
 
 
-def _window_links(frame: pd.DataFrame, window: int, cosine: float) -> pd.DataFrame:
-    """Links between each row of one pass and label and the next ``window`` rows."""
-    x = _units(frame["packed"])
+def _window_links(frame: pd.DataFrame, window: int, cosine: float, kind: str) -> pd.DataFrame:
+    """What links each row of one pass and label with the next ``window`` rows, as few edges that connect the same."""
+    x = _units(frame["packed"], kind)
     group = frame["pass"].to_numpy(dtype=np.int64) * (1 << 32) + frame["label"].to_numpy(dtype=np.int64) % (1 << 32)
     node = frame["node"].to_numpy(dtype=np.int64)
     a, b = [], []
@@ -58,11 +59,12 @@ def _window_links(frame: pd.DataFrame, window: int, cosine: float) -> pd.DataFra
         a.append(node[:-off][hit])
         b.append(node[off:][hit])
     a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    a, b = spanning_edges(a, b)
+    return pd.DataFrame({"a": a, "b": b})
 
 
-def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, packed): vectors as packed doubles; packed is null for those that link with nothing."""
+def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, kind: str) -> DataFrame:
+    """(id, label, packed): vectors as packed floats; packed is null for those that link with nothing."""
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -73,7 +75,7 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataF
                 # the norm must be finite too; equal vectors have equal bytes, whatever the sign of a zero
                 with np.errstate(over="ignore", invalid="ignore"):
                     norm = np.linalg.norm(x) if len(x) else 0.0
-                out.append((x + 0.0).tobytes() if np.isfinite(norm) and norm > 0 else None)
+                out.append((x + 0.0).astype(kind).tobytes() if np.isfinite(norm) and norm > 0 else None)
             yield pd.Series(out, dtype=object)
 
     return vectors.select(
@@ -83,15 +85,15 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataF
     )
 
 
-def pass_links(classes: DataFrame, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
-    """(a, b): pairs of classes (node, label, packed) that some pass found, verified."""
+def pass_links(classes: DataFrame, kind: str, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
+    """(a, b): edges between classes (node, label, packed) that connect what the passes found linked; every link is verified."""
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for frame in batches:
             for part in _by_width(frame):
-                x = _units(part["packed"])
+                x = _units(part["packed"], kind)
                 d = x.shape[1]
                 if d not in planes:
                     planes[d] = np.random.default_rng(SEED).standard_normal((d, passes * bits))
@@ -119,7 +121,7 @@ def pass_links(classes: DataFrame, passes: int = PASSES, bits: int = BITS, windo
             head = frame.iloc[:window] if head is None else pd.concat([head, frame]).iloc[:window]
             both = frame if tail is None else pd.concat([tail, frame], ignore_index=True)
             for part in _by_width(both):
-                found = _window_links(part, window, cosine)
+                found = _window_links(part, window, cosine, kind)
                 if len(found):
                     yield found.assign(part=None, side=None, place=None, **{"pass": None}, label=None, node=None, packed=None)
             tail = both.iloc[-window:]
@@ -132,14 +134,14 @@ def pass_links(classes: DataFrame, passes: int = PASSES, bits: int = BITS, windo
 
     def across(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values(["side", "place"]).reset_index(drop=True)
-        found = [_window_links(part, window, cosine) for part in _by_width(rows) if len(part) > 1]
+        found = [_window_links(part, window, cosine, kind) for part in _by_width(rows) if len(part) > 1]
         return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     edges = slid.where("side is not null").groupBy("part").applyInPandas(across, "a long, b long")
     return slid.where("a is not null").select("a", "b").union(edges).distinct()
 
 
-def link_counts(members: DataFrame, cosine: float = COSINE) -> DataFrame:
+def link_counts(members: DataFrame, kind: str, cosine: float = COSINE) -> DataFrame:
     """(node, others): for (component, node, copies, packed), how many vectors of other classes of its component each links with."""
     size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(size, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -152,7 +154,7 @@ def link_counts(members: DataFrame, cosine: float = COSINE) -> DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         out = []
         for _, part in frame.groupby("component", sort=False):
-            x = _units(part["packed"])
+            x = _units(part["packed"], kind)
             node, copies, own = part["node"].to_numpy(), part["copies"].to_numpy(dtype=np.int64), part["own"].to_numpy()
             left, right = (own == i, own == j)
             near = (x[left] @ x[right].T) >= cosine
@@ -180,13 +182,15 @@ def near_duplicates(
     no id. An empty table gives an empty one. Other columns are not looked at.
     """
     bound_batches(vectors.sparkSession)
-    rows = materialize(pack(vectors, id_col, vec_col, label_col), "vectors")
+    element = getattr(vectors.schema[vec_col].dataType, "elementType", None)
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    rows = materialize(pack(vectors, id_col, vec_col, label_col, kind), "vectors")
     classes = rows.where("packed is not null").groupBy("label", "packed").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     # classes are numbered by their least id; those without any by a hash
     classes = materialize(classes.withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("label", "packed")) - 1)), "classes")
-    part = connected_components(pass_links(classes, passes, bits, window, cosine))
+    part = connected_components(pass_links(classes, kind, passes, bits, window, cosine))
     members = classes.join(part, "node").select("component", "node", "copies", "packed")
-    counts = link_counts(members, cosine)
+    counts = link_counts(members, kind, cosine)
     # the least real id of each component
     of = classes.join(part, "node", "left").select("label", "packed", "node", "least", "copies", F.coalesce("component", "node").alias("c"))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))

@@ -36,3 +36,18 @@ def test_equal_to_propagation(spark, kind):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spanning_edges_connect_the_same():
+    import numpy as np
+
+    from marginscope.llm.components import spanning_edges
+
+    rnd = random.Random(2)
+    for n in (0, 1, 5, 40):
+        edges = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(n)]
+        a, b = spanning_edges(np.array([x for x, _ in edges], dtype=np.int64), np.array([y for _, y in edges], dtype=np.int64))
+        few = list(zip(a.tolist(), b.tolist()))
+        whole = slow(edges)
+        assert {k: v for k, v in slow(few).items()} == {k: v for k, v in whole.items() if k in slow(few)}
+        assert len(few) == len(whole) - len(set(whole.values()))

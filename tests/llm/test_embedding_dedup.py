@@ -87,3 +87,10 @@ def test_odd_rows(spark):
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in E.near_duplicates(twice).collect())
     assert got == [("1", 2, 1), ("1", 2, 1), ("None", 0, None), ("None", 2, 1)]
     assert E.near_duplicates(df.where("false")).count() == 0
+
+
+def test_doubles_are_compared_in_full(spark):
+    """Vectors that differ only beyond single precision are different classes, and link."""
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0 + 1e-12], 0), (3, [1.0, 2.0], 0), (4, [-2.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert result(E.near_duplicates(df)) == brute(rows) == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
