@@ -30,7 +30,7 @@ from . import common
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces of text whose ids a task keeps between blocks.
-CACHE = 800_000
+CACHE = 300_000
 #: Characters of a text whose pieces aren't kept while its block is encoded.
 LONG = 1 << 20
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Upper bound of one Arrow batch sent to a Python worker, unless the session sets its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: How many more ids than wanted are ranked when a sample is drawn.
 SPARE = 1.5
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -72,7 +72,7 @@ class _WordHash(dict):
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes."""
 
-    KNOWN = 1_000_000
+    KNOWN = 300_000
 
     def __init__(self, words: int = WORDS):
         self.words, self.known = words, _WordHash()

@@ -30,7 +30,7 @@ MARK = "▁"
 #: How far below the least score an unknown character is.
 UNKNOWN_PENALTY = 10.0
 #: Stretches of text whose counts a task keeps between blocks.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def load_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:

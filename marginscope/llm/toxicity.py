@@ -217,7 +217,7 @@ def learn_misspelling(terms: dict[str, float], clean: list[list[str]]) -> tuple[
 class Matcher:
     """Finds lexicon words in blocks of texts; forgets words once it knows too many."""
 
-    KNOWN = 500_000
+    KNOWN = 300_000
 
     def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
         self.trie = Trie(terms, fuzzy, harmless)
