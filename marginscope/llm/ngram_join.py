@@ -40,8 +40,8 @@ PERCENT = 80
 COUNTERS = 1 << 18
 #: Counters are summed in shares of 2 ** SHARE_BITS.
 SHARE_BITS = 14
-#: Segments of every band that are also indexed with one element deleted.
-DELETIONS = 2
+#: The first segments of every band, so many, are also indexed with one element deleted.
+DELETIONS = 1
 #: Members of a family that a task compares with as many others, and tokens it counts at once.
 BLOCK, COLUMNS = 256, 8192
 #: A counter is crowded when it holds so many times the mean.
@@ -104,8 +104,7 @@ class Scheme:
         a = 1
         while a <= largest:
             first.append(a)
-            # two similarity steps wide: only sets of a band's lower half have partners in the band below
-            last.append(a * 10_000 // (percent * percent))
+            last.append(a * 100 // percent)
             a = last[-1] + 1
         self.first, self.last = np.array(first), np.array(last)
 
@@ -336,11 +335,12 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def link_nodes(texts: DataFrame, every: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def link_nodes(texts: DataFrame, every: DataFrame, sizes: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the rows (node, text) that have a link; rows have different sets.
 
     ``every`` holds the same rows and may hold more; the few texts that are compared are
-    taken from it, so that not all are shuffled again.
+    taken from it, so that not all are shuffled again. ``sizes`` has the least and
+    largest set size of each node.
     """
     keys = _keys(texts, Scheme(percent), counts)
     # keys of more than one node, one of which looks; a counter that isn't crowded bounds the
@@ -378,10 +378,12 @@ def link_nodes(texts: DataFrame, every: DataFrame, counts: np.ndarray, percent:
     place = family.join(part, "node", "full").select("node", F.coalesce("component", "node").alias("c"), "family")
     whole = met.join(place, "node", "left").select("key", "node", "role", F.coalesce("c", "node").alias("c"), F.coalesce("family", -1 - F.col("node")).alias("f"))
     mixed = whole.groupBy("key").agg(F.min("f").alias("_l"), F.max("f").alias("_h")).where("_l < _h").select("key")
-    rest = common.materialize(whole.join(mixed, "key"), "rest")
-    looks = rest.where("role > 1").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("f").alias("fx"), F.shiftright("role", 1).alias("times"))
-    found = rest.where(F.col("role").bitwiseAND(1) == 1).select("key", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("f").alias("fy"))
-    apart = looks.join(found, (looks["key"] == found["key"]) & (looks["cx"] != found["cy"]) & (looks["fx"] != found["fy"]))
+    rest = common.materialize(whole.join(mixed, "key").join(sizes, "node"), "rest")
+    looks = rest.where("role > 1").selectExpr("key", "node x", "c cx", "f fx", "least lx", "most mx", "shiftright(role, 1) times")
+    found = rest.where(F.col("role").bitwiseAND(1) == 1).selectExpr("key", "node y", "c cy", "f fy", "least ly", "most my")
+    # a set looks for sets no larger than itself, and no smaller than a link allows
+    fits = (found["ly"] <= looks["mx"]) & (100 * found["my"] >= percent * looks["lx"])
+    apart = looks.join(found, (looks["key"] == found["key"]) & (looks["cx"] != found["cy"]) & (looks["fx"] != found["fy"]) & fits)
     met_often = apart.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times")).where("n >= times")
     pairs = common.materialize(met_often.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     return connected_components(first.union(_verified(pairs, every, percent)))
@@ -399,13 +401,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     both = common.materialize(shingle_sets(base, Scheme(percent), "_id", "text"), "sets")
     sets = both.where("block is null").select(F.col("id").alias("_id"), "n_shingles", "set_key")
-    nodes = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("_id").alias("node"))
+    nodes = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"))
     # the text of one member of each class of equal sets
     ids = nodes.where("node is not null").select("node").distinct()
     texts = base.join(ids.hint("shuffle_hash"), base["_id"] == ids["node"], "left_semi").select(F.col("_id").alias("node"), "text")
-    part = link_nodes(texts, base.select(F.col("_id").alias("node"), "text"), _key_counts(both), percent)
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    part = link_nodes(texts, base.select(F.col("_id").alias("node"), "text"), sizes, _key_counts(both), percent)
     return (
-        sets.join(nodes, "set_key", "left")
+        sets.join(nodes.drop("n"), "set_key", "left")
         .join(part, "node", "left")
         .select(
             F.col("_id").alias(id_col),
