@@ -37,7 +37,7 @@ from .components import connected_components
 WORDS = 5
 PERCENT = 80
 #: Counters of the key statistics (fixed, whatever the size of the corpus).
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 #: Counters are summed in shares of 2 ** SHARE_BITS.
 SHARE_BITS = 14
 #: The first segments of every band, so many, are also indexed with one element deleted.
@@ -383,7 +383,15 @@ def link_nodes(texts: DataFrame, every: DataFrame, sizes: DataFrame, counts: np.
     found = rest.where(F.col("role").bitwiseAND(1) == 1).selectExpr("key", "node y", "c cy", "f fy", "least ly", "most my")
     # a set looks for sets no larger than itself, and no smaller than a link allows
     fits = (found["ly"] <= looks["mx"]) & (100 * found["my"] >= percent * looks["lx"])
-    apart = looks.join(found, (looks["key"] == found["key"]) & (looks["cx"] != found["cy"]) & (looks["fx"] != found["fy"]) & fits)
+    # a node shares no more keys with a member than with the member's family: one row for a family first
+    held = found.groupBy("key", F.col("fy").alias("fz")).agg(F.min("ly").alias("lz"), F.max("my").alias("mz"))
+    may = (held["lz"] <= looks["mx"]) & (100 * held["mz"] >= percent * looks["lx"])
+    close = looks.join(held, (looks["key"] == held["key"]) & (looks["fx"] != held["fz"]) & may).groupBy("x", "fz").agg(
+        F.count("*").alias("n"), F.min("times").alias("least_times")
+    )
+    close = common.materialize(close.where("n >= least_times").select(F.col("x").alias("xz"), "fz"), "close")
+    looks = looks.join(close, looks["x"] == close["xz"])
+    apart = looks.join(found, (looks["key"] == found["key"]) & (looks["fz"] == found["fy"]) & (looks["cx"] != found["cy"]) & fits)
     met_often = apart.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times")).where("n >= times")
     pairs = common.materialize(met_often.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     return connected_components(first.union(_verified(pairs, every, percent)))
