@@ -3,18 +3,22 @@
 In each pass every vector gets a key of concatenated random hashes (signs of random
 projections). Vectors are ordered by label and key over the whole cluster, and each
 is compared with the WINDOW that follow it; pairs whose cosine is high enough are
-links, and links of all passes are united into components. A range partition's
+near, and near pairs of all passes are united into neighbourhoods. A range partition's
 last vectors are compared with the first ones of the next in a second, small step.
 
 Equal vectors are one class from the start, with a weight. A window cannot show
-all links of a large group, so links are counted inside each component at last,
-block by block: exact counts for every component, without a table of its pairs.
+all links of a large group, so neighbourhoods are drawn at a looser cosine than that
+of a link: a loose group, whose links are few among its many near pairs, hangs
+together in any of its windows, whatever its size. Inside each neighbourhood
+all pairs are then compared, block by block: links are counted exactly and
+united into components, without a table of the pairs.
 The work of that step grows with the square of the number of different vectors in
-a component, in tasks of bounded size.
+a neighbourhood, in tasks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ from .components import connected_components, spanning_edges
 
 #: Least cosine of a link.
 COSINE = 0.93
+#: Vectors within so many times a link's angle are near: cosine 0.80 where a link has 0.93.
+LOOSE = 1.7
 #: Passes, bits of a key, and vectors that each is compared with in a pass.
 PASSES, BITS, WINDOW = 24, 48, 24
 #: Vectors of a component that a task compares with as many others.
@@ -86,7 +92,7 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, kind: st
 
 
 def pass_links(classes: DataFrame, kind: str, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
-    """(a, b): edges between classes (node, label, packed) that connect what the passes found linked; every link is verified."""
+    """(a, b): edges between classes (node, label, packed) that connect what the passes found within ``cosine``; every pair is verified."""
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -141,8 +147,12 @@ def pass_links(classes: DataFrame, kind: str, passes: int = PASSES, bits: int =
     return slid.where("a is not null").select("a", "b").union(edges).distinct()
 
 
-def link_counts(members: DataFrame, kind: str, cosine: float = COSINE) -> DataFrame:
-    """(node, others): for (component, node, copies, packed), how many vectors of other classes of its component each links with."""
+def links_within(members: DataFrame, kind: str, cosine: float = COSINE) -> DataFrame:
+    """(node, n, a, b) from (component, node, copies, packed), all pairs of each component compared.
+
+    Rows with a node: parts of the number of vectors of other classes that it links with.
+    The others: edges that connect the same as all links.
+    """
     size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(size, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -152,20 +162,27 @@ def link_counts(members: DataFrame, kind: str, cosine: float = COSINE) -> DataFr
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        out = []
-        for _, part in frame.groupby("component", sort=False):
-            x = _units(part["packed"], kind)
-            node, copies, own = part["node"].to_numpy(), part["copies"].to_numpy(dtype=np.int64), part["own"].to_numpy()
-            left, right = (own == i, own == j)
-            near = (x[left] @ x[right].T) >= cosine
-            if i == j:
-                np.fill_diagonal(near, False)
-            out.append(pd.DataFrame({"node": node[left], "n": near @ copies[right]}))
-            if i != j:
-                out.append(pd.DataFrame({"node": node[right], "n": near.T @ copies[left]}))
-        return pd.concat(out)
-
-    return dealt.groupBy("task", "i", "j").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("others"))
+        out, ends = [], []
+        for _, whole in frame.groupby("component", sort=False):
+            for part in _by_width(whole):
+                x = _units(part["packed"], kind)
+                node, copies, own = part["node"].to_numpy(), part["copies"].to_numpy(dtype=np.int64), part["own"].to_numpy()
+                left, right = (own == i, own == j)
+                near = (x[left] @ x[right].T) >= cosine
+                if i == j:
+                    np.fill_diagonal(near, False)
+                out.append(pd.DataFrame({"node": node[left], "n": near @ copies[right]}))
+                if i != j:
+                    out.append(pd.DataFrame({"node": node[right], "n": near.T @ copies[left]}))
+                at, to = np.nonzero(near)
+                ends.append(np.stack(spanning_edges(node[left][at], node[right][to])))
+        counts = pd.concat(out)
+        edges = np.concatenate(ends, axis=1)
+        return pd.concat([
+            counts[counts["n"] > 0].assign(a=None, b=None), pd.DataFrame({"node": None, "n": None, "a": edges[0], "b": edges[1]})
+        ]).astype("Int64")
+
+    return dealt.groupBy("task", "i", "j").applyInPandas(count, "node long, n long, a long, b long")
 
 
 def near_duplicates(
@@ -188,9 +205,12 @@ def near_duplicates(
     classes = rows.where("packed is not null").groupBy("label", "packed").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     # classes are numbered by their least id; those without any by a hash
     classes = materialize(classes.withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("label", "packed")) - 1)), "classes")
-    part = connected_components(pass_links(classes, kind, passes, bits, window, cosine))
-    members = classes.join(part, "node").select("component", "node", "copies", "packed")
-    counts = link_counts(members, kind, cosine)
+    loose = math.cos(min(math.pi, LOOSE * math.acos(max(-1.0, min(1.0, cosine)))))
+    around = connected_components(pass_links(classes, kind, passes, bits, window, loose))
+    members = classes.join(around, "node").select("component", "node", "copies", "packed")
+    found = materialize(links_within(members, kind, cosine), "links")
+    counts = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("others"))
+    part = connected_components(found.where("a is not null").select("a", "b"))
     # the least real id of each component
     of = classes.join(part, "node", "left").select("label", "packed", "node", "least", "copies", F.coalesce("component", "node").alias("c"))
     least = of.groupBy("c").agg(F.min("least").alias("component_id"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from marginscope.llm import embedding_dedup as E
@@ -94,3 +95,41 @@ def test_doubles_are_compared_in_full(spark):
     rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0 + 1e-12], 0), (3, [1.0, 2.0], 0), (4, [-2.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert result(E.near_duplicates(df)) == brute(rows) == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def loose_rows(n, mean, seed, dim=64):
+    """One group around a centre: cosines of pairs are ``mean`` on average, few of them links."""
+    rnd = np.random.default_rng(seed)
+    centre = rnd.normal(size=dim)
+    x = np.sqrt(mean) * centre / np.linalg.norm(centre) + np.sqrt((1 - mean) / dim) * rnd.normal(size=(n, dim))
+    return x.astype(np.float32)
+
+
+def all_pairs(x, cosine=E.COSINE):
+    """(links, component) of each vector, all pairs compared."""
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links, a, b = np.zeros(len(u), dtype=np.int64), [], []
+    for k in range(0, len(u), 2000):
+        near = u[k : k + 2000] @ u.T >= cosine
+        links[k : k + 2000] = near.sum(axis=1) - 1
+        i, j = E.spanning_edges(np.nonzero(near)[0] + k, np.nonzero(near)[1])
+        a.append(i)
+        b.append(j)
+    component = np.arange(len(u))
+    root, node = E.spanning_edges(np.concatenate(a), np.concatenate(b))
+    component[node] = root
+    return links, component
+
+
+@pytest.mark.parametrize("mean", [0.86, 0.88])
+def test_large_loose_group(spark, mean):
+    """A group whose links are few among its near pairs loses none, however many times a window it has."""
+    x = loose_rows(20_000, mean, 3)
+    links, component = all_pairs(x)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0}), SCHEMA).repartition(8)
+    got = E.near_duplicates(df).toPandas().sort_values("vec_id")
+    right = got["component_id"].to_numpy() == component
+    print(f"mean {mean}: links {got['n_links'].sum()} of {links.sum()}, kept {got['kept'].sum()} of {len(set(component.tolist()))}, right component_id {right.mean():.4f}")
+    assert got["n_links"].sum() >= 0.999 * links.sum() and (got["n_links"].to_numpy() <= links).all()
+    assert right.mean() >= 0.999
