@@ -4,8 +4,10 @@ The lexicon is learned from labelled documents: words and word beginnings
 ("stem*") that stand in many more toxic documents than others. It is kept as a
 trie. Each distinct word of a block is made into a Levenshtein automaton
 of distance 1 (two bit masks of reachable positions, without and with an
-error) and intersected with the trie; words that could not match by the
-pigeonhole rule (with one error, one half of the term is intact) are passed over.
+error; two swapped letters are one) and intersected with the trie; words that could not match by the
+pigeonhole rule (with one error, one half of the term is intact, or the swap is in the
+middle) are passed over. Runs of other characters than blanks are such words too where letters
+stand with digits or symbols ("idi0t"), if their letters alone match nothing.
 
 Every hit gets a context score from the words around it: quotation marks, words
 that report or define ("said", "the word", ...) speak for a quotation,
@@ -35,11 +37,13 @@ SAMPLE_PER_LABEL = 3000
 SAMPLE_CHARS = 6_000_000
 #: At most so many terms, lengths of a term, and the shortest term that may be misspelled.
 MAX_TERMS = 200
-SHORTEST, LONGEST, FUZZY_FROM = 4, 10, 5
-#: The shortest word beginning that may be misspelled (it meets more words by chance).
-FUZZY_OPEN_FROM = 6
+SHORTEST, LONGEST, FUZZY_FROM = 4, 10, 4
+#: The shortest word beginning that may be misspelled (it meets more words by chance, which its weight tells).
+FUZZY_OPEN_FROM = 4
+#: A word near a term is no misspelling if this share of clean documents holds it.
+HARMLESS_SHARE = 0.005
 #: A misspelled term counts so much of a right one, less the oftener it is met by chance in clean
-#: documents, nothing from this share of them on.
+#: documents, half at this share of them.
 FUZZY_SHARE, FUZZY_CHANCE = 0.8, 0.02
 #: Words on each side of a hit that its context score looks at.
 WINDOW = 8
@@ -62,14 +66,31 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+#: What stands around a run of characters and not for a letter of it.
+_ENDS = ".,;:!?()[]{}<>…'`" + QUOTES
+
+
+def noisy_of(run: str) -> str | None:
+    """A run of characters in lower case without punctuation around it, if letters stand in it with digits or symbols."""
+    if run.isalpha():
+        return None
+    core = run.strip(_ENDS)
+    return core if SHORTEST <= len(core) + 1 and not core.isalpha() and regex.search(r"\p{L}", core) and not _WORDS.fullmatch(core) else None
+
+
+def noisy_words(text: str | None) -> list[str]:
+    return [core for run in set((text or "").lower().split()) if (core := noisy_of(run))]
+
+
 class Trie:
     """Terms as nested dicts; "" holds (term, open): an open term matches every word that begins with it.
 
     ``fuzzy`` has the weights of misspelled terms (those of right ones if not
-    given), ``harmless`` words that aren't misspellings.
+    given), ``harmless`` words that aren't misspellings. With ``swaps``, two swapped neighbours are one error.
     """
 
-    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset(), swaps: bool = False):
+        self.swaps = swaps
         self.terms, self.fuzzy, self.harmless = terms, terms if fuzzy is None else fuzzy, harmless
         self.root: dict = {}
         self.whole = {t for t in terms if not t.endswith("*")}
@@ -90,6 +111,8 @@ class Trie:
                 node.setdefault("", []).append((t, is_open))
                 h = len(stem) // 2
                 self.heads.add(stem[:h])
+                if swaps:
+                    self.heads.add(stem[: h - 1] + stem[h] + stem[h - 1])
                 self.tails.add(stem[h:])
                 tail_at |= {(h + d, len(stem) - h) for d in (-1, 0, 1)}
         self.head_lengths = sorted({len(h) for h in self.heads})
@@ -118,7 +141,8 @@ class Trie:
 
         The automaton's state after some letters of a term: bit i of ``none``
         (of ``one``) says that the first i letters of the word can have been
-        read without (with one) error.
+        read without (with one) error, bit i of ``swap`` that the term's last letter is the word's
+        letter after the next.
         """
         mask: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -126,9 +150,9 @@ class Trie:
         full = (1 << len(word) + 1) - 1
         end = 1 << len(word)
         met = set()
-        stack = [(self.root, 1, 2 & full)]
+        stack = [(self.root, 1, 2 & full, 0)]
         while stack:
-            node, none, one = stack.pop()
+            node, none, one, swap = stack.pop()
             for t, is_open in node.get("", ()):
                 if (none | one) if is_open else (none | one) & end:
                     met.add(t)
@@ -136,9 +160,10 @@ class Trie:
                 if c:
                     m = mask.get(c, 0)
                     after_none = (none & m) << 1
-                    after_one = ((one & m) << 1 | none | none << 1 | after_none << 1) & full
-                    if after_none | after_one:
-                        stack.append((child, after_none, after_one))
+                    after_one = ((one & m) << 1 | none | none << 1 | after_none << 1 | (swap & m) << 2) & full
+                    after_swap = none & m >> 1 if self.swaps else 0
+                    if after_none | after_one | after_swap:
+                        stack.append((child, after_none, after_one, after_swap))
         return met
 
 
@@ -198,20 +223,28 @@ def learn_terms(sample: list[tuple[list[str], int]], max_terms: int = MAX_TERMS)
 
 def learn_misspelling(terms: dict[str, float], clean: list[list[str]]) -> tuple[dict[str, float], frozenset[str]]:
     """Weights of misspelled terms, and words near a term that clean documents use."""
-    trie = Trie(terms)
-    chance: Counter = Counter()
+    trie = Trie(terms, swaps=True)
+    held: Counter = Counter()
     near: dict[str, set[str]] = {}
+    met: list[set[str]] = []
     for words in clean:
-        met: set[str] = set()
+        here: set[str] = set()
         for w in set(words):
             found = near.get(w)
             if found is None:
                 found = near[w] = trie.near_terms(w) if trie.may_be_near(w) and not trie.exact(w) else set()
-            met |= found
-        chance.update(met)
-    harmless = {w for w, found in near.items() if found}
+            if found:
+                here.add(w)
+        held.update(here)
+        met.append(here)
     n = max(1, len(clean))
-    return {t: w * FUZZY_SHARE * max(0.0, 1 - chance[t] / n / FUZZY_CHANCE) for t, w in terms.items()}, frozenset(harmless)
+    harmless = frozenset(w for w, k in held.items() if k >= HARMLESS_SHARE * n)
+    # harmless words are passed over one by one: a term that they are near to loses little by them
+    chance, rest = Counter(), Counter()
+    for here in met:
+        chance.update(set().union(*(near[w] for w in here)))
+        rest.update(set().union(*(near[w] for w in here - harmless)))
+    return {t: w * FUZZY_SHARE * (1 - chance[t] / n) / (1 + rest[t] / n / FUZZY_CHANCE) for t, w in terms.items()}, harmless
 
 
 class Matcher:
@@ -220,9 +253,41 @@ class Matcher:
     KNOWN = 300_000
 
     def __init__(self, terms: dict[str, float], fuzzy: dict[str, float] | None = None, harmless: frozenset[str] = frozenset()):
-        self.trie = Trie(terms, fuzzy, harmless)
+        self.trie = Trie(terms, fuzzy, harmless, swaps=True)
         self.hits: dict[str, tuple[float, bool]] = {}
         self.seen: set[str] = set()
+        self.runs: dict[str, str] = {}
+        self.seen_runs: set[str] = set()
+
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """Words of each text, all looked up; a run of characters that is a misspelled term only as a whole is one word."""
+        lower = [(t or "").lower() for t in texts]
+        words = [words_of(t) for t in lower]
+        self.look_up(set().union(*words))
+        runs = [set(t.split()) for t in lower]
+        if len(self.seen_runs) > self.KNOWN:
+            self.runs, self.seen_runs = {}, set()
+        new = set().union(*runs) - self.seen_runs
+        noisy = {run: core for run in new if (core := noisy_of(run))}
+        parts = {run: words_of(core) for run, core in noisy.items()}
+        self.look_up({w for found in parts.values() for w in found})
+        for run, core in noisy.items():
+            if self.hits.keys().isdisjoint(parts[run]) and self.trie.may_be_near(core) and self.trie.near(core):
+                self.runs[run] = core
+        self.seen_runs |= new
+        for k, held in enumerate(runs):
+            if not self.runs.keys().isdisjoint(held):
+                words[k] = [w for run in lower[k].split() for w in self._pieces(run)]
+        # forgotten words are looked up again
+        self.look_up({self.runs[run] for held in runs for run in held if run in self.runs})
+        return words
+
+    def _pieces(self, run: str) -> list[str]:
+        core = self.runs.get(run)
+        if core is None:
+            return words_of(run)
+        at = run.index(core)
+        return [c for c in run[:at] if c in QUOTES] + [core] + [c for c in run[at + len(core) :] if c in QUOTES]
 
     def look_up(self, words: set[str]) -> None:
         if len(self.seen) > self.KNOWN:
@@ -253,8 +318,7 @@ class Matcher:
         return found
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        split = [words_of(t) for t in texts]
-        self.look_up(set().union(*split))
+        split = self.split(texts)
         out = np.zeros((len(texts), FEATURES))
         for row, words in zip(out, split):
             found = self.spans(words)
@@ -296,22 +360,23 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         return Model({}, np.array([0.0] * FEATURES + [5.0 if len(y) and y.all() else -5.0]))
     texts = [t for t, _ in sample]
     words = [list(map(sys.intern, words_of(t))) for t in texts]  # one copy of each word
+    noisy = [[] if label else noisy_words(t) for t, label in zip(texts, y)]
     half = np.zeros(len(y), dtype=int)
     for label in (0, 1):
         at = np.flatnonzero(y == label)
         half[at] = np.arange(len(at)) % 2
     x = np.zeros((len(y), FEATURES))
     for k in (0, 1):
-        other = [(words[i], int(y[i])) for i in np.flatnonzero(half != k)]
+        other = [(words[i], int(y[i]), noisy[i]) for i in np.flatnonzero(half != k)]
         at = np.flatnonzero(half == k)
         x[at] = Matcher(*_lexicon(other)).features([texts[i] for i in at])
-    terms, fuzzy, harmless = _lexicon([(w, int(v)) for w, v in zip(words, y)])
+    terms, fuzzy, harmless = _lexicon([(w, int(v), z) for w, v, z in zip(words, y, noisy)])
     return Model(terms, fit_logistic(x, y, l2=0.3), fuzzy, harmless)
 
 
-def _lexicon(sample: list[tuple[list[str], int]]) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    terms = learn_terms(sample)
-    return terms, *learn_misspelling(terms, [w for w, label in sample if not label])
+def _lexicon(sample: list[tuple[list[str], int, list[str]]]) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    terms = learn_terms([(w, label) for w, label, _ in sample])
+    return terms, *learn_misspelling(terms, [w + noisy for w, label, noisy in sample if not label])
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_chars: int = SAMPLE_CHARS) -> Model:
@@ -338,8 +403,7 @@ def span_finder(model: Model):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = model.matcher()
         for s in batches:
-            split = [words_of(t) for t in s]
-            matcher.look_up(set().union(*split))
+            split = matcher.split(s.tolist())
             names = ("word_index", "word", "weight", "exact", "context")
             yield pd.Series([[dict(zip(names, h)) for h in matcher.spans(w)] for w in split], dtype=object)
 

@@ -128,3 +128,76 @@ def test_odd_rows(spark):
     rows = docs.select(X.toxicity(docs, model).alias("s"), X.span_finder(model)("text").alias("h")).collect()
     assert len(rows) == len(ODD_TEXTS) and all(0 <= r["s"] <= 1 for r in rows)
     assert docs_frame(spark, []).select(X.toxicity(docs, model)).count() == 0
+
+
+def swapped(a, b):
+    """Whether two neighbours swapped in one word give the other."""
+    return any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+
+
+def test_a_swap_is_one_error():
+    rnd = random.Random(3)
+    word = lambda a, b: "".join(rnd.choice("abcd") for _ in range(rnd.randint(a, b)))
+    terms = {word(4, 9) + rnd.choice(("", "*")): 1.0 for _ in range(30)}
+    trie = X.Trie(terms, swaps=True)
+    met = 0
+    for k in range(4000):
+        w = word(2, 11)
+        if k % 2:
+            w = rnd.choice(list(terms)).rstrip("*")
+            i = rnd.randrange(len(w) - 1)
+            w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+        want = set()
+        for t in terms:
+            heads = [w[:j] for j in range(len(w) + 1)] if t.endswith("*") else [w]
+            if any(distance(t.rstrip("*"), h) <= 1 or swapped(t.rstrip("*"), h) for h in heads):
+                want.add(t)
+        assert trie.near_terms(w) == want
+        assert not want or trie.may_be_near(w)
+        met += bool(want)
+    assert met > 1000
+
+
+def test_digits_symbols_and_swaps_are_errors():
+    m = X.Matcher({"idiot": 5.0, "stupid": 4.0, "scum": 4.0, "moro*": 3.0})
+    for w in ("idi0t", "st*pid", "id1ot", "(st*pid),", "1diot", "$cum", "sc*m", "scvm", "scmu", "idoit", "m0ronic", "\"idi0t!\""):
+        assert m.features([f"you are {w} and him"])[0, 0] > 0, w
+    for w in ("id10ts", "3.14", "s2", "and/or", "x86", "e.g."):
+        assert m.features([f"you are {w} and him"])[0, 0] == 0, w
+    (words,) = m.split(["he said \"idi0t!\" idiot/scum e.g."])
+    assert words == ["he", "said", '"', "idi0t", '"', "idiot", "scum", "e", "g"]
+
+
+def test_one_clean_document_does_not_make_a_word_harmless():
+    terms = {"trash": 4.0}
+    one = [["thrash"]] + [["plain"]] * 999
+    assert X.Trie(terms, *X.learn_misspelling(terms, one)).near("thrash") > 0
+    # a harmless word does not cost the term its other misspellings
+    often = [["thrash"]] * 50 + [["plain"]] * 950
+    trie = X.Trie(terms, *X.learn_misspelling(terms, often))
+    assert trie.near("thrash") == 0 and trie.near("trashh") > 0
+
+
+def test_every_learned_term_is_found_misspelled(spark):
+    """Each learned term with a digit, a symbol, a swap or another letter in it."""
+    from marginscope.llm import common
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    model = X.fit_documents(docs, labels)
+    terms = sorted(t for t in model.terms if t.rstrip("*").isalpha())
+    missed, planted = [], 0
+    for t in terms:
+        w = t.rstrip("*")
+        for k in range(1, len(w) - 1):
+            forms = {w[:k] + c + w[k + 1 :] for c in "0*x"} | {w[:k] + w[k + 1] + w[k] + w[k + 2 :]}
+            for f in forms - {w}:
+                planted += 1
+                if not model.matcher().features([f"you {f} there"])[0, 0]:
+                    missed.append((t, f))
+    held_out = [r for r in docs.join(labels, "doc_id").collect() if crc(r["doc_id"], 5) == 0]
+    clean, toxic = ([r["text"] for r in held_out if r["toxic"] == k] for k in (0, 1))
+    caught = (model.score(model.matcher(), toxic) >= X.TOXIC).mean()
+    wrong = (model.score(model.matcher(), clean) >= X.TOXIC).mean()
+    print(f"{len(terms)} terms, {planted - len(missed)} of {planted} misspellings found; {wrong:.4f} of {len(clean)} clean and {caught:.4f} of {len(toxic)} toxic held-out documents called toxic; missed {missed[:20]}")
+    assert len(missed) <= 0.05 * planted and wrong < 0.03
