@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, embedding_dedup, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
+from . import bpe, chat, common, conversation_repair, decontaminate, embedding_dedup, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -78,6 +78,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL}
