@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, conversation_repair, decontaminate, embedding_dedup, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
+from . import bpe, chat, common, conversation_repair, decontaminate, embedding_dedup, embedding_whitening, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -83,6 +83,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damage(rows), rows)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_token_counts": op2_token_counts,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL}
