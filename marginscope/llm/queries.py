@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, conversation_repair, decontaminate, embedding_dedup, embedding_whitening, language_id, licenses, ngram_join, quality_crf, token_counts, toxicity
+from . import bpe, chat, common, conversation_repair, decontaminate, embedding_dedup, embedding_whitening, language_id, licenses, ngram_join, quality_crf, repeated_text, token_counts, toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 UNIGRAM_PIECES = "piece_bpe_32k.model"
@@ -87,6 +87,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whiten(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.digests(repeated_text.remove_repeats(common.table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_token_counts": op2_token_counts,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL}
