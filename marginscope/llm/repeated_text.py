@@ -9,12 +9,14 @@ smaller id, or earlier in the same one. Three steps, whose work is linear in the
    bytes) collapse to the earliest, first in each batch, then over the cluster; the
    starts of the others are repeats. No text is shuffled for this. An anchor with one distinct stretch
    is settled by it.
-2. Suffix sorting. The distinct stretches that share an anchor are sorted in blocks of
-   bounded size: only suffixes smaller than their successors are sorted directly, the
-   others are induced by scanning the buckets of first bytes in order, and common prefixes of neighbours
-   in that order give the equal strings, of which all but the earliest are repeats.
-   An anchor with more than CROWDED stretches (a short line in ever new surroundings) is dealt by
-   strings instead, salted first, so that no task gets a group that grows with the corpus.
+2. Suffix sorting. Distinct stretches that share an anchor are cut by how far a start lies from
+   the anchor, which gives each part bytes that all its strings hold; parts whose bytes are met
+   once are dropped. The rest are sorted in blocks of bounded size: only suffixes smaller than their
+   successors are sorted directly, the others are induced by scanning the buckets of first bytes in
+   order, and common prefixes of neighbours in that order give the equal strings, of which all but the
+   earliest are repeats. More than CROWDED parts with the same bytes (an end of a passage in
+   ever new surroundings) are dealt by salt, and what their blocks leave by strings, so that no
+   task gets a group that grows with the corpus.
 3. Cutting. The repeats of a document meet its text, which is written without them.
 
 Rows of step 1 carry hashes and places only, some 40 bytes of text each. Digests have
@@ -39,14 +41,16 @@ LENGTH = 100
 GRAM = 24
 #: Starts that are hashed at once; a power of two, as places share 64 bits with hashes.
 PIECE = 1 << 16
-#: Bytes that are suffix-sorted at once, and distinct stretches of an anchor from which it is dealt by strings.
+#: Starts by whose distance from the anchor a stretch is cut.
+REACH = 26
+#: Bytes that are suffix-sorted at once, and parts with one key from which they are dealt by salt.
 BLOCK_BYTES = 1 << 20
 CROWDED = 2048
-#: Tasks among which equal strings of a crowded anchor are dealt at first.
+#: Groups among which the parts of a crowded key are dealt.
 SALTS = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD6E8FEB86659FD93
-_PLACE = np.uint64(PIECE * 2 - 1)
+_PLACE_BITS = np.uint64(PIECE * 2 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,17 +91,17 @@ class Hasher:
         return _mix(out)
 
     def stretches(self, raw: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, number of starts, anchor, digest) of the valid starts of at most PIECE bytes and LENGTH - 1 more."""
+        """(start, number of starts, place of the anchor from the start, anchor, digest) of the valid starts of at most PIECE bytes and LENGTH - 1 more."""
         hashes = self.grams(raw)
         inside = LENGTH - GRAM + 1
         starts = len(hashes) - inside + 1
-        key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        key = (hashes & ~_PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
         least, width = key, 1
         while width * 2 <= inside:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[:starts], least[inside - width : inside - width + starts])
-        place = (least & _PLACE).astype(np.int64)
+        place = (least & _PLACE_BITS).astype(np.int64)
         new = np.empty(starts, dtype=bool)
         new[0] = True
         new[1:] = (place[1:] != place[:-1]) | (valid[1:] != valid[:-1])
@@ -107,7 +111,7 @@ class Hasher:
         first, count = first[real], count[real]
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * self.up[: len(hashes)], dtype=np.uint64)])
         digest = (total[first + count - 1 + inside] - total[first]) * self.down[first]
-        return first, count, hashes[place[first]], _mix(digest + count.astype(np.uint64))
+        return first, count, place[first] - first, hashes[place[first]], _mix(digest + count.astype(np.uint64))
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -154,14 +158,13 @@ def document_key(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
     return F.col(id_col).cast("long"), F.lit(0).cast("long") if repeated else F.xxhash64("_bytes")
 
 
-_ROWS = "repeat boolean, h long, g long, id long, tie long, off int, n int"
-_ROW_TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-_ROW_NAMES = ["repeat", "h", "g", "id", "tie", "off", "n"]
+_ROWS = "repeat boolean, h long, g long, id long, tie long, off int, n int, a int"
+_ROW_NAMES = ["repeat", "h", "g", "id", "tie", "off", "n", "a"]
 
 
-def _rows(repeat: bool, h, g, ids: pa.Array, ties: pa.Array, doc: np.ndarray, off, n) -> pa.RecordBatch:
+def _rows(repeat: bool, h, g, ids: pa.Array, ties: pa.Array, doc: np.ndarray, off, n, a) -> pa.RecordBatch:
     at = pa.array(doc)
-    columns = [pa.array(np.full(len(doc), repeat)), h.view(np.int64), g.view(np.int64), ids.take(at), ties.take(at), off.astype(np.int32), n.astype(np.int32)]
+    columns = [pa.array(np.full(len(doc), repeat)), h.view(np.int64), g.view(np.int64), ids.take(at), ties.take(at), *(x.astype(np.int32) for x in (off, n, a))]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=_ROW_NAMES)
 
 
@@ -185,19 +188,19 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.arange(at, at + len(part) - LENGTH + 1)
             doc = np.searchsorted(offsets, places, side="right") - 1
             # a document's last starts have no LENGTH bytes; their mark changes where documents meet
-            first, count, h, g = hasher.stretches(part, places + LENGTH <= offsets[doc + 1])
-            found.append((doc[first], first + at - offsets[doc[first]], count, h, g))
+            first, count, a, h, g = hasher.stretches(part, places + LENGTH <= offsets[doc + 1])
+            found.append((doc[first], first + at - offsets[doc[first]], count, a, h, g))
         if not found:
             continue
-        doc, off, count, h, g = map(np.concatenate, zip(*found))
+        doc, off, count, a, h, g = map(np.concatenate, zip(*found))
         firsts, later = _earliest(h, g, rank[doc], off)
-        yield _rows(False, h[firsts], g[firsts], ids, ties, doc[firsts], off[firsts], count[firsts])
+        yield _rows(False, h[firsts], g[firsts], ids, ties, doc[firsts], off[firsts], count[firsts], a[firsts])
         doc, off, count = _joined(doc[later], off[later], count[later])
         spread = _mix(off.astype(np.uint64) * np.uint64(1 << 20) + doc.astype(np.uint64))
-        yield _rows(True, spread, spread, ids, ties, doc, off, count)
+        yield _rows(True, spread, spread, ids, ties, doc, off, count, off)
 
 
-_SETTLED = "need boolean, h long, id long, tie long, off int, n int"
+_SETTLED = "need boolean, id long, tie long, off int, n int, a int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +208,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Looks one row back and one first row ahead, so a group of any size streams through.
     """
-    names = ["need", "h", "id", "tie", "off", "n"]
+    names = ["need", "id", "tie", "off", "n", "a"]
 
     def put(need: bool, b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, need)), *(b.column(c) for c in names[1:])], names=names)
@@ -337,61 +340,64 @@ def _repeats(parts: list[bytes], counts: list[int], length: int) -> np.ndarray:
     return again[starts]
 
 
-def _sorter(length: int, block: int, survivors: bool):
-    """Rows (h, id, tie, off, n, part) sorted by h and place, to repeats and, if asked for, rows with starts that are none."""
+def _sorter(length: int, block: int):
+    """Rows (h, hot, id, tie, off, n, part) sorted by h and place, to runs of starts that are repeats.
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+    Equal strings have one h. Groups that are not hot are compared whole: what a block leaves of an open group
+    is compared with the group's rest. Runs of hot rows that are the first of their
+    block and group come out too, with their bytes, and are yet to be compared.
+    """
 
-        def flush(rows: list[tuple]) -> tuple[pa.RecordBatch, list[bool]]:
-            again = _repeats([r[5] for r in rows], [r[4] for r in rows], length)
-            counts = np.array([r[4] for r in rows])
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple], left: list[tuple]) -> pa.RecordBatch:
+            """Runs of repeats; ``left`` gets the rows that have other starts, and are not hot."""
+            again = _repeats([r[6] for r in rows], [r[5] for r in rows], length)
+            counts = np.array([r[5] for r in rows])
             row = np.repeat(np.arange(len(rows)), counts)
             first = np.cumsum(counts) - counts
-            inner = np.arange(len(again)) - first[row]
-            hit = np.flatnonzero(again)
-            new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1])]) if len(hit) else again[:0]
-            head = hit[new]
-            runs = np.diff(np.append(np.flatnonzero(new), len(hit)))
-            out = [(rows[r][1], rows[r][2], rows[r][3] + int(i), int(n)) for r, i, n in zip(row[head].tolist(), inner[head], runs)]
-            open_ = np.add.reduceat(~again, first) > 0
-            return out, open_.tolist()
-
-        def give(out: list[tuple], kept: list[tuple]) -> pa.RecordBatch:
-            rows = [(True, None, *r, None) for r in out] + [(False, r[0], *r[1:6]) for r in kept]
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["repeat", "h", "id", "tie", "off", "n", "part"])
+            hot = np.array([r[1] for r in rows])
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (again[1:] != again[:-1])])
+            head = np.flatnonzero(new)
+            size = np.diff(np.append(head, len(again)))
+            shown = again[head] | hot[row[head]]
+            out = []
+            for k, n in zip(head[shown].tolist(), size[shown].tolist()):
+                _, _, i, tie, off, _, part = rows[row[k]]
+                at = k - int(first[row[k]])
+                out.append((True, i, tie, off + at, n, None) if again[k] else (False, i, tie, off + at, n, part[at : at + n + length - 1]))
+            alive = (np.add.reduceat(~again, first) > 0) & ~hot
+            left.extend(rows[k] for k in np.flatnonzero(alive))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["repeat", *_PLACE, "n", "part"])
 
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if size >= block:
-                    whole = row[0] != held[-1][0]
-                    out, open_ = flush(held)
-                    kept = [r for r, o in zip(held, open_) if o]
-                    group = [] if whole else [r for r in kept if r[0] == row[0]]
-                    yield give(out, [r for r in kept if whole or r[0] != row[0]] if survivors else [])
-                    held, size = group, sum(len(r[5]) for r in group)
-                    if size >= block:  # different strings only: they stay until their group ends
-                        size = 0
+                    left: list[tuple] = []
+                    yield flush(held, left)
+                    held = [r for r in left if r[0] == row[0]]
+                    # what is left of an open group is at most CROWDED different stretches
+                    size = 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
-            out, open_ = flush(held)
-            yield give(out, [r for r, o in zip(held, open_) if o] if survivors else [])
+            yield flush(held, [])
 
     return sort
 
 
-_SORTED = "repeat boolean, h long, id long, tie long, off int, n int, part binary"
-_PARTS = ["h", "id", "tie", "off", "n", "part"]
+_SORTED = "repeat boolean, id long, tie long, off int, n int, part binary"
+_PLACE = ["id", "tie", "off"]
 
 
-def _sort_parts(parts: DataFrame, length: int, block: int, survivors: bool, *salt: Column) -> DataFrame:
-    place = [F.col("id").asc_nulls_first(), "tie", "off"]
-    rows = parts.select(*_PARTS, *[s.alias("salt") for s in salt])
-    # a partition's rows of one anchor are in order of place, whatever their salt
-    return rows.repartition(*(["salt", "h"] if salt else ["h"])).sortWithinPartitions("h", *place).select(_PARTS).mapInArrow(_sorter(length, block, survivors), _SORTED)
+def _sort_parts(parts: DataFrame, *salt: Column) -> DataFrame:
+    """``parts`` (h, hot, id, tie, off, n, part) through the sorter."""
+    order = ["h", F.col("id").asc_nulls_first(), "tie", "off"]
+    # a partition's rows of one h are in order of place, whatever their salt
+    dealt = parts.repartition("h", *salt).sortWithinPartitions(*order)
+    return dealt.select("h", "hot", *_PLACE, "n", "part").mapInArrow(_sorter(LENGTH, BLOCK_BYTES), _SORTED)
 
 
 def _same(left: str = "id", right: str = "_id") -> Column:
@@ -418,6 +424,24 @@ def _maybe(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("maybe", F.coalesce(F.col("_bits").bitwiseAND(bit("_s")) != 0, F.lit(False))).drop("_s", "_w", "_bits")
 
 
+def _by_reach(needs: DataFrame) -> DataFrame:
+    """Stretches (id, tie, off, n, a, text) cut by how far a start lies from the anchor, in steps of REACH.
+
+    Strings of one such part share LENGTH - REACH + 1 bytes, whose hash is their key ``h``:
+    equal strings lie equally far from their anchor and get the same key.
+    """
+    last = F.floor(F.col("a") / REACH).cast("int")
+    least = F.floor((F.col("a") - F.col("n") + 1) / REACH).cast("int")
+    each = needs.withColumn("step", F.explode(F.sequence(least, last)))
+    near = F.col("a") - F.col("step") * REACH
+    each = each.withColumn("from", F.greatest(F.lit(0), near - (REACH - 1))).withColumn("to", F.least(F.col("n") - 1, near))
+    shared = F.substring(F.col("_bytes"), F.col("off") + near + 1, F.lit(LENGTH - REACH + 1))
+    n = F.col("to") - F.col("from") + 1
+    off = F.col("off") + F.col("from")
+    part = F.substring(F.col("_bytes"), off + 1, n + LENGTH - 1)
+    return each.select(F.xxhash64("step", shared).alias("h"), "id", "tie", off.alias("off"), n.alias("n"), part.alias("part"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, tie, off, n): runs of starts of strings that start earlier, from documents (id, tie, _bytes)."""
     rows = docs.where(F.octet_length("_bytes") >= LENGTH).mapInArrow(_anchors, _ROWS)
@@ -425,22 +449,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     settled = rows.repartition("h").sortWithinPartitions("h", "g", *place).mapInArrow(_settle, _SETTLED)
     settled = materialize(settled, "stretches")
     needs = settled.where("need").drop("need")
-    crowded = needs.groupBy("h").count().where(F.col("count") > CROWDED).select(F.col("h").alias("_h"))
     asked = _maybe(docs, needs).where("maybe").select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_bytes").dropDuplicates(["_id", "_tie"])
-    part = F.substring(F.col("_bytes"), F.col("off") + 1, F.col("n") + LENGTH - 1).alias("part")
-    parts = needs.join(asked, _same()).select("h", "id", "tie", "off", "n", part)
-    known = settled.where("not need").select("id", "tie", "off", "n")
-    if not crowded.isEmpty():
-        parts = materialize(parts, "parts").join(crowded, F.col("h") == F.col("_h"), "left")
-        few = parts.where("_h is null").select(_PARTS)
-        each = parts.where("_h is not null").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        string = F.substring(F.col("part"), F.col("i") + 1, F.lit(LENGTH))
-        many = each.select(F.xxhash64(string).alias("h"), "id", "tie", (F.col("off") + F.col("i")).alias("off"), F.lit(1).alias("n"), string.alias("part"))
-        salted = materialize(_sort_parts(many, LENGTH, BLOCK_BYTES, True, F.pmod(F.xxhash64("id", "off"), F.lit(SALTS))), "strings")
-        known = known.union(salted.where("repeat").select("id", "tie", "off", "n"))
-        parts = few.union(salted.where("not repeat").select(_PARTS))
-    found = _sort_parts(parts, LENGTH, BLOCK_BYTES, False).select("id", "tie", "off", "n")
-    return known.union(found)
+    parts = _by_reach(needs.join(asked, _same()))
+    # a part alone with its key has no equal string
+    sizes = parts.groupBy("h").count().where("count > 1").select(F.col("h").alias("_h"), (F.col("count") > CROWDED).alias("hot"))
+    parts = parts.join(sizes, F.col("h") == F.col("_h"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "off"), F.lit(SALTS))).otherwise(0)
+    found = materialize(_sort_parts(parts, salt), "repeats")
+    # what blocks of hot groups leave meets string by string
+    each = found.where("not repeat").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    string = F.substring(F.col("part"), F.col("i") + 1, F.lit(LENGTH))
+    strings = each.select(F.xxhash64(string).alias("h"), F.lit(False).alias("hot"), "id", "tie", (F.col("off") + F.col("i")).alias("off"), F.lit(1).alias("n"), string.alias("part"))
+    runs = [settled.where("not need"), found.where("repeat"), _sort_parts(strings).where("repeat")]
+    return runs[0].select(*_PLACE, "n").union(runs[1].select(*_PLACE, "n")).union(runs[2].select(*_PLACE, "n"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

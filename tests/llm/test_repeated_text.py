@@ -106,7 +106,7 @@ def test_rows_of_one_id(spark):
 def test_long_texts_and_a_hot_passage(spark, monkeypatch):
     monkeypatch.setattr(rt, "CROWDED", 50)
     monkeypatch.setattr(rt, "PIECE", 1 << 11)
-    monkeypatch.setattr(rt, "_PLACE", np.uint64((1 << 12) - 1))
+    monkeypatch.setattr(rt, "_PLACE_BITS", np.uint64((1 << 12) - 1))
     rng = random.Random(9)
     line = "This very common line stands in nearly every document of the corpus, with 99 bytes or a little less"
     rows = [(i, f"{rng.random()} {prose(rng, 10)} {line[: rng.choice([60, 85, 99])]} {rng.random()} {prose(rng, 10)}") for i in range(300)]
@@ -138,7 +138,7 @@ def test_equal_strings_share_an_anchor():
     seen = {}
     for lead in (0, 1, 57, 300):
         text = np.concatenate([rng.integers(97, 123, lead).astype(np.uint8), passage, rng.integers(97, 123, 150).astype(np.uint8)])
-        first, count, h, _ = hasher.stretches(text, np.ones(len(text) - rt.LENGTH + 1, dtype=bool))
+        first, count, _, h, _ = hasher.stretches(text, np.ones(len(text) - rt.LENGTH + 1, dtype=bool))
         assert count.sum() == len(text) - rt.LENGTH + 1
         for f, c, x in zip(first, count, h):
             for k in range(f, f + c):
