@@ -2,7 +2,8 @@
 
 Reports that the source system expresses as two scans or scalar
 subqueries (loss concentration, recoverable profit, hidden losses) are
-written here as one scan with conditional aggregates.
+written here as one scan with conditional aggregates. All but the detail
+rows take line items or the cells of a cuboid that keeps their dimensions.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from ..functions import (
     DEFAULT_THRESHOLD,
     TIER_BOUNDS,
     TIER_LABELS,
-    count_rows,
     dec,
-    mean,
     pct,
     share_pct,
     tier_expr,
 )
+from ..functions.additive import Additive
 from .rollup import margin_rollup
 
 TIER_MEASURES = ("num_orders", "total_sales", "total_profit", "avg_profit_per_order", "profit_margin_pct")
@@ -63,10 +63,11 @@ def tier_sign_rollup(df: DataFrame, bounds: Sequence = TIER_BOUNDS, labels: Sequ
     Tiers are few (one row per label), so the share over all tiers is an
     un-partitioned window over at most two rows.
     """
+    of = Additive(df)
     tiers = (
         with_discount_tier(df, bounds, labels)
         .groupBy("discount_tier")
-        .agg(count_rows().alias("n"), F.sum("profit").alias("p"))
+        .agg(of.count().alias("n"), of.total("profit").alias("p"))
     )
     side = F.when(F.col("p") >= 0, F.lit("profitable")).otherwise(F.lit("loss-making"))
     signs = tiers.groupBy(side.alias("tier_result")).agg(
@@ -96,24 +97,26 @@ def above_threshold(
 
 
 def high_discount_impact(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
+    of = Additive(df)
     return above_threshold(
         df, threshold, ["category", "sub_category"],
         [
-            F.count(F.lit(1)).alias("num_high_discount_orders"),
-            F.sum("sales").cast("double").alias("total_sales"),
-            F.sum("profit").cast("double").alias("total_profit_impact"),
-            mean("discount", 4).alias("avg_discount"),
+            of.count().alias("num_high_discount_orders"),
+            of.total("sales").cast("double").alias("total_sales"),
+            of.total("profit").cast("double").alias("total_profit_impact"),
+            of.mean("discount", 4).alias("avg_discount"),
         ],
         order=[F.col("total_profit_impact").asc_nulls_last()],
     )
 
 
 def high_discount_detail(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
+    of = Additive(df)
     out = above_threshold(
         df, threshold, ["category", "sub_category", "discount"],
         [
-            F.count(F.lit(1)).alias("num_high_discount_orders"),
-            F.sum("profit").cast("double").alias("total_profit_impact"),
+            of.count().alias("num_high_discount_orders"),
+            of.total("profit").cast("double").alias("total_profit_impact"),
         ],
         order=[F.col("total_profit_impact").asc_nulls_last()],
     )
@@ -133,14 +136,14 @@ def threshold_split(df: DataFrame, threshold=DEFAULT_THRESHOLD, dims: Sequence[s
     t = dec(threshold)
     lab = _pct_label(threshold)
     below, above = F.col("discount") <= t, F.col("discount") > t
-    zero = F.lit(Decimal("0.00"))
+    zero, of = F.lit(Decimal("0.00")), Additive(df)
     out = df.groupBy(*dims).agg(
-        F.sum(F.when(below, F.col("profit")).otherwise(zero)).alias("b"),
-        F.sum(F.when(above, F.col("profit")).otherwise(zero)).alias("a"),
-        F.count_if(below).alias(f"orders_at_or_below_{lab}"),
-        F.count_if(above).alias(f"orders_above_{lab}"),
-        F.sum("profit").alias("t"),
-        count_rows().alias("n"),
+        of.total("profit", below, zero).alias("b"),
+        of.total("profit", above, zero).alias("a"),
+        of.count_if(below).alias(f"orders_at_or_below_{lab}"),
+        of.count_if(above).alias(f"orders_above_{lab}"),
+        of.total("profit").alias("t"),
+        of.count().alias("n"),
     )
     return out.select(
         *dims,
@@ -163,12 +166,12 @@ def recoverable_profit(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
     """Loss above the threshold and the profit if it were eliminated (one pass)."""
     t = dec(threshold)
     lab = _pct_label(threshold)
-    above = F.col("discount") > t
+    above, of = F.col("discount") > t, Additive(df)
     agg = df.agg(
-        F.sum(F.when(above, F.col("profit"))).alias("loss"),
-        F.count_if(above).alias("orders_affected"),
-        count_rows().alias("n"),
-        F.sum("profit").alias("total"),
+        of.total("profit", above).alias("loss"),
+        of.count_if(above).alias("orders_affected"),
+        of.count().alias("n"),
+        of.total("profit").alias("total"),
     )
     return agg.select(
         F.col("loss").cast("double").alias(f"loss_above_{lab}_discount"),
@@ -182,12 +185,13 @@ def recoverable_profit(df: DataFrame, threshold=DEFAULT_THRESHOLD) -> DataFrame:
 
 def loss_concentration(df: DataFrame) -> DataFrame:
     """Loss-making lines: count, share of all lines, total loss, their average discount."""
-    loss = F.col("profit") < 0
+    of = Additive(df)
+    loss = of.loss()
     agg = df.agg(
-        F.count_if(loss).alias("loss_making_line_items"),
-        count_rows().alias("n"),
-        F.sum(F.when(loss, F.col("profit"))).alias("total_loss"),
-        mean(F.when(loss, F.col("discount")), 4).alias("avg_discount_on_losses"),
+        of.count_if(loss).alias("loss_making_line_items"),
+        of.count().alias("n"),
+        of.total("profit", loss).alias("total_loss"),
+        of.mean("discount", 4, loss).alias("avg_discount_on_losses"),
     )
     return agg.select(
         "loss_making_line_items",
@@ -199,11 +203,12 @@ def loss_concentration(df: DataFrame) -> DataFrame:
 
 def hidden_losses(df: DataFrame, dim: str = "sub_category") -> DataFrame:
     """Profitable groups that still contain loss-making lines, by loss share of profit."""
-    loss = F.col("profit") < 0
+    of = Additive(df)
+    loss = of.loss()
     g = df.groupBy(dim).agg(
-        F.sum("profit").alias("tp"),
-        F.count_if(loss).alias("loss_orders"),
-        F.sum(F.when(loss, F.col("profit"))).alias("la"),
+        of.total("profit").alias("tp"),
+        of.count_if(loss).alias("loss_orders"),
+        of.total("profit", loss).alias("la"),
     )
     return (
         g.where((F.col("tp") > 0) & (F.col("loss_orders") > 0))
@@ -225,19 +230,10 @@ def discount_trend(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     does not depend on the order in which tasks are merged; the ratios are
     taken from them at last. ``points`` counts all lines.
     """
-    both = F.col("discount").isNotNull() & F.col("profit").isNotNull()
-    x, y = F.when(both, F.col("discount")), F.when(both, F.col("profit"))
-    sums = [
-        count_rows().alias("points"),
-        F.count_if(both).alias("_n"),
-        F.sum(x).alias("_x"),
-        F.sum(y).alias("_y"),
-        F.sum(x * y).alias("_xy"),
-        F.sum(x * x).alias("_xx"),
-        F.sum(y * y).alias("_yy"),
-    ]
+    of = Additive(df)
+    sums = [of.count().alias("points"), *of.pairs()]
     g = df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
-    n, sx, sy, sxy, sxx, syy = (F.col(c).cast("double") for c in ("_n", "_x", "_y", "_xy", "_xx", "_yy"))
+    n, sx, sy, sxy, sxx, syy = (F.col(c).cast("double") for c in ("_bn", "_bx", "_by", "_bxy", "_bxx", "_byy"))
     cov, vx, vy = sxy - sx * sy / F.nullif(n, F.lit(0.0)), sxx - sx * sx / F.nullif(n, F.lit(0.0)), syy - sy * sy / F.nullif(n, F.lit(0.0))
     slope = cov / F.nullif(vx, F.lit(0.0))
     return g.select(

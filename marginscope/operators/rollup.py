@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_rows, margin_pct, mean, pct
+from ..functions.additive import Additive, is_cells
 
 # Output name -> aggregate. Names follow the reports they come from;
 # "num_orders" in the line-level reports counts line items, while
@@ -92,6 +93,19 @@ AGG_MEASURES: dict[str, Callable[[], Column]] = {
     ).cast("double"),
 }
 
+# The same measures over the cells of a cuboid (``operators.cuboids``); distinct orders are not additive.
+CELL_MEASURES: dict[str, Callable[[Additive], Column]] = {
+    "num_orders": lambda a: a.count(),
+    "line_items": lambda a: a.count(),
+    "total_line_items": lambda a: a.count(),
+    "total_sales": lambda a: a.total("sales").cast("double"),
+    "total_profit": lambda a: a.total("profit").cast("double"),
+    "profit_margin_pct": lambda a: a.margin_pct(),
+    "margin_pct": lambda a: a.margin_pct(),
+    "avg_discount": lambda a: a.mean("discount", 4),
+    "avg_profit_per_order": lambda a: a.mean("profit", 2),
+}
+
 
 def measure(name: str) -> Column:
     return MEASURES[name]().alias(name)
@@ -111,6 +125,7 @@ def margin_rollup(
     source reports' SQL default); pass Columns for any other order.
     ``orders`` (``order_aggregate`` of ``df``) is used instead of the lines
     when the dims are among its keys and every measure is a named one.
+    ``df`` may also be the cells of a cuboid that keeps the dims.
     """
     use_orders = (
         orders is not None
@@ -120,6 +135,9 @@ def margin_rollup(
     if use_orders:
         df = orders
         aggs = [(distinct_orders(dims) if m == "total_orders" else AGG_MEASURES[m]()).alias(m) for m in measures]
+    elif is_cells(df):
+        of = Additive(df)
+        aggs = [CELL_MEASURES[m](of).alias(m) if isinstance(m, str) else m for m in measures]
     else:
         aggs = [measure(m) if isinstance(m, str) else m for m in measures]
     out = df.groupBy(*dims).agg(*aggs) if dims else df.agg(*aggs)

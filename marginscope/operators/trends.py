@@ -3,7 +3,8 @@
 The windows (running total, LAG, moving average) have no partition key,
 but they run only after the period rollup: one row per calendar month, so
 the single window task sees a few hundred rows whatever the fact size.
-Calendar gaps are not filled: LAG and the moving average use the previous
+Rollups take line items, or cells of a cuboid by month of ``order_date``
+(for periods of a month and longer). Calendar gaps are not filled: LAG and the moving average use the previous
 *existing* month, as in the source reports.
 """
 
@@ -14,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import margin_pct, mean, pct
+from ..functions import pct
+from ..functions.additive import Additive
 
 PERIOD_FORMATS = {"month": "MM", "quarter": "quarter", "year": "year"}
 
@@ -33,8 +35,9 @@ def period_rollup(
 ) -> DataFrame:
     """Sales, profit and margin per period (``period`` column is a DATE)."""
     s, p, m = names
+    of = Additive(df)
     out = df.groupBy(period_col(date, period).alias(period)).agg(
-        F.sum("sales").alias(s), F.sum("profit").alias(p), margin_pct().alias(m)
+        of.total("sales").alias(s), of.total("profit").alias(p), of.margin_pct().alias(m)
     )
     if not keep_decimal:
         out = out.select(period, F.col(s).cast("double").alias(s), F.col(p).cast("double").alias(p), m)
@@ -43,7 +46,7 @@ def period_rollup(
 
 def period_sales(df: DataFrame, period: str = "month", date: str = "order_date", name: str = "total_sales") -> DataFrame:
     """Exact (decimal) sales per period: the input of the series windows."""
-    return df.groupBy(period_col(date, period).alias(period)).agg(F.sum("sales").alias(name))
+    return df.groupBy(period_col(date, period).alias(period)).agg(Additive(df).total("sales").alias(name))
 
 
 def _series_window(period: str):
@@ -87,26 +90,24 @@ def moving_average(series: DataFrame, value: str = "total_sales", n: int = 3, pe
 
 def seasonality(df: DataFrame, date: str = "order_date") -> DataFrame:
     """Calendar month over all years, by sales descending."""
+    of = Additive(df)
     out = df.groupBy(
         F.month(date).cast("bigint").alias("month_num"),
         F.date_format(date, "MMMM").alias("month_name"),
     ).agg(
-        F.sum("sales").cast("double").alias("total_sales"),
-        F.sum("profit").cast("double").alias("total_profit"),
-        margin_pct().alias("profit_margin_pct"),
+        of.total("sales").cast("double").alias("total_sales"),
+        of.total("profit").cast("double").alias("total_profit"),
+        of.margin_pct().alias("profit_margin_pct"),
     )
     return out.orderBy(F.col("total_sales").desc_nulls_first(), "month_num")
 
 
-def days_to_ship():
-    return F.datediff(F.col("ship_date"), F.col("order_date"))
-
-
 def fulfilment(df: DataFrame, by: str = "ship_mode", with_count: bool = True) -> DataFrame:
     """Average days from order to shipment per ``by`` ('ship_mode' or 'order_year')."""
     key = F.year("order_date").cast("bigint").alias("order_year") if by == "order_year" else F.col(by)
-    aggs = [mean(days_to_ship().cast("decimal(10,0)"), 2).alias("avg_days_to_ship")]
+    of = Additive(df)
+    aggs = [of.mean("days_to_ship", 2).alias("avg_days_to_ship")]
     if with_count:
-        aggs.append(F.count(F.lit(1)).alias("line_items"))
+        aggs.append(of.count().alias("line_items"))
     out = df.groupBy(key).agg(*aggs)
     return out.orderBy("order_year") if by == "order_year" else out.orderBy("avg_days_to_ship", by)

@@ -15,12 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.additive import is_cells
 from ..operators import customers as K
 from ..operators import discount as D
 from ..operators import export as X
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import trends as T
+from ..operators.cuboids import Lattice, wanted_by
 from ..operators.rollup import margin_rollup, order_aggregate
 from ..session import scratch_path
 from ..sources.defects import with_defects
@@ -75,6 +77,55 @@ def _orders(df: DataFrame) -> DataFrame:
     return _shared("orders", df, lambda: materialize(order_aggregate(df), "order_aggregate"))
 
 
+# Dimensions of the reports that count and sum lines: what the lattice of cuboids is chosen for.
+CUBOID_DIMS: dict[str, tuple[str, ...]] = {
+    "by_region": ("region",),
+    "by_category": ("category",),
+    "by_subcategory": ("category", "sub_category"),
+    "by_category_subcategory": ("category", "sub_category"),
+    "by_state": ("state",),
+    "discount_tiers": ("discount",),
+    "discount_buckets": ("discount",),
+    "by_discount_level": ("discount",),
+    "tier_sign_rollup": ("discount",),
+    "high_discount_detail": ("category", "sub_category", "discount"),
+    "high_discount_impact": ("category", "sub_category", "discount"),
+    "threshold_split": ("sub_category", "discount"),
+    "structural_losses_by_subcategory": ("sub_category", "discount"),
+    "recoverable_profit": ("discount",),
+    "loss_concentration": ("loss",),
+    "hidden_losses": ("sub_category", "loss"),
+    "discount_trend": (),
+    "subcat_rank_in_region": ("region", "sub_category"),
+    "bottom3_subcats": ("region", "sub_category"),
+    "monthly_running_total": ("order_date",),
+    "mom_growth": ("order_date",),
+    "moving_avg_3m": ("order_date",),
+    "seasonality": ("order_date",),
+    "monthly_margin": ("order_date",),
+    "monthly_summary": ("order_date",),
+    "ship_speed_by_mode": ("ship_mode",),
+    "ship_speed_by_year": ("order_date",),
+}
+
+
+def _keep_cells(cells: DataFrame) -> DataFrame:
+    return materialize(cells, "cuboids", by="cuboid")
+
+
+def _lattice(df: DataFrame) -> Lattice:
+    return _shared("lattice", df, lambda: Lattice.of(df, wanted_by(CUBOID_DIMS.values()), _keep_cells))
+
+
+def _cells(df: DataFrame, report: str) -> DataFrame:
+    return _lattice(df).rows(*CUBOID_DIMS[report])
+
+
+def _over_cells(reports: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Reports of ``CUBOID_DIMS`` read the lattice's cells instead of the lines."""
+    return {k: (lambda df, k=k, f=f: f(_cells(df, k))) if k in CUBOID_DIMS else f for k, f in reports.items()}
+
+
 def _deciles(df: DataFrame) -> DataFrame:
     return _shared("deciles", df, lambda: K.sales_deciles(df, cube=_cube(df)))
 
@@ -83,6 +134,10 @@ def _flagged_profile(df: DataFrame) -> DataFrame:
     return K.account_profile(df, K.flagged_accounts(df, deciles=_deciles(df)), cube=_cube(df))
 
 
+def _profit(df: DataFrame) -> str:
+    return "_p" if is_cells(df) else "profit"
+
+
 def build_reports(
     threshold: str = "0.2",
     structural_dims=("sub_category",),
@@ -172,10 +227,10 @@ def build_reports(
         # --- regional ranks and trends ---------------------------------------------
         # T1 A5
         "subcat_rank_in_region": (lambda df: R.rank_within(
-            df, "region", "sub_category", rank_name="profit_rank_in_region", distributed=False)),
+            df, "region", "sub_category", measure=_profit(df), rank_name="profit_rank_in_region", distributed=False)),
         # T2
         "bottom3_subcats": (lambda df: R.rank_within(
-            df, "region", "sub_category", ascending=True, n=3, rank_name="worst_rank")),
+            df, "region", "sub_category", measure=_profit(df), ascending=True, n=3, rank_name="worst_rank")),
         # T3
         "top5_customers_in_region": (lambda df: R.rank_within(
             _cube(df), "region", "customer_name", measure="_p", n=5, rank_name="rank_in_region")),
@@ -234,7 +289,7 @@ def build_reports(
         del reports["named_account_profile"]
     if named_customer is None:
         del reports["customer_by_region"], reports["customer_detail"]
-    return reports
+    return _over_cells(reports)
 
 
 # The registered reports, with the parameters of the test tables.

@@ -140,17 +140,19 @@ def line_items(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write a derived table as parquet into the session's checkpoint folder and read it back.
 
     Used for intermediates several reports share (the customer and order
     aggregates): unlike an RDD checkpoint, the parquet copy is read
     column-pruned and vectorised, with filters pushed down. Each call writes a
-    new folder, so two builds never share files.
+    new folder, so two builds never share files. ``by`` gives each value of
+    a column of few values a folder of its own, for readers of one value.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, "derived", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    # rows of one value come together, so that a folder has few files
+    (df.repartition(by) if by else df).write.partitionBy(*[by] if by else []).parquet(path)
     return spark.read.parquet(path)

@@ -1,0 +1,165 @@
+"""The lattice of cuboids: same reports as from the lines, greedy choice, one scan."""
+
+from __future__ import annotations
+
+import itertools
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginscope.functions.additive import CELLS, Additive
+from marginscope.operators import cuboids as C
+from marginscope.operators import discount as D
+from marginscope.operators import trends as T
+from marginscope.operators.rollup import margin_rollup
+from marginscope.plans import catalog
+from marginscope.sources.schema import LINE_ITEM_SCHEMA
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def odd_lines(spark):
+    """Lines with NULLs in every dimension and measure."""
+    rng = random.Random(4)
+    base = {f.name: None for f in LINE_ITEM_SCHEMA.fields}
+    rows = []
+    import datetime
+
+    for k in range(400):
+        maybe = lambda x: None if rng.random() < 0.1 else x
+        day = datetime.date(2020, 1, 1) + datetime.timedelta(days=rng.randrange(500))
+        rows.append({
+            **base, "region": maybe(rng.choice("NESW")), "state": maybe(rng.choice("abcdef")), "category": maybe(rng.choice("XY")),
+            "sub_category": maybe(rng.choice("pqrst")), "ship_mode": maybe(rng.choice("mn")), "segment": "s", "order_date": maybe(day),
+            "ship_date": maybe(day + datetime.timedelta(days=rng.randrange(9))), "sales": maybe(Decimal(rng.randrange(1, 99999)) / 100),
+            "profit": maybe(Decimal(rng.randrange(-9999, 9999)) / 100), "discount": maybe(Decimal(rng.choice([0, 10, 20, 30, 50])) / 100),
+        })
+    names = [f.name for f in LINE_ITEM_SCHEMA.fields]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], _nullable())
+
+
+def _nullable():
+    from pyspark.sql import types as T_
+
+    return T_.StructType([T_.StructField(f.name, f.dataType) for f in LINE_ITEM_SCHEMA.fields])
+
+
+REPORTS = {
+    "region": (("region",), lambda df: margin_rollup(df, ["region"], ["num_orders", "total_sales", "total_profit", "profit_margin_pct", "avg_discount", "avg_profit_per_order"])),
+    "global": ((), lambda df: margin_rollup(df, [], ["line_items", "total_sales", "margin_pct", "avg_discount"])),
+    "tiers": (("discount",), D.discount_tiers),
+    "levels": (("discount",), D.by_discount_level),
+    "signs": (("discount",), D.tier_sign_rollup),
+    "detail": (("category", "sub_category", "discount"), D.high_discount_detail),
+    "impact": (("category", "sub_category", "discount"), D.high_discount_impact),
+    "split": (("sub_category", "discount"), D.threshold_split),
+    "structural": (("sub_category", "discount"), D.structural_losses),
+    "recoverable": (("discount",), D.recoverable_profit),
+    "losses": (("loss",), D.loss_concentration),
+    "hidden": (("sub_category", "loss"), D.hidden_losses),
+    "trend": ((), D.discount_trend),
+    "trend by": (("region",), lambda df: D.discount_trend(df, ["region"])),
+    "months": (("order_date",), T.period_rollup),
+    "quarters": (("order_date",), lambda df: T.period_rollup(df, "quarter")),
+    "running": (("order_date",), lambda df: T.running_total(T.period_sales(df, name="monthly_sales"))),
+    "season": (("order_date",), T.seasonality),
+    "modes": (("ship_mode",), lambda df: T.fulfilment(df, "ship_mode")),
+    "years": (("order_date",), lambda df: T.fulfilment(df, "order_year")),
+}
+
+
+def test_reports_from_cells_equal_reports_from_lines(spark, odd_lines):
+    lines = odd_lines.cache()
+    sets = [frozenset(d) for d, _ in REPORTS.values()]
+    chosen = sorted(set(sets), key=sorted)
+    cells = C.build(lines, chosen).cache()
+    lattice = C.Lattice(lines, chosen, {s: len(s) for s in chosen}, cells)
+    big = frozenset().union(*sets)
+    widest = C.Lattice(lines, [big], {big: 400}, C.build(lines, [big]).cache())
+    for name, (dims, report) in REPORTS.items():
+        want = report(lines)
+        for source in (lattice, widest):
+            got = report(source.rows(*dims))
+            assert got.dtypes == want.dtypes, name
+            assert rows_of(got) == rows_of(want), name
+    empty = lines.where("false")
+    nothing = C.Lattice(empty, chosen, {s: 0 for s in chosen}, C.build(empty, chosen))
+    for name in ("tiers", "split", "months"):
+        dims, report = REPORTS[name]
+        assert report(nothing.rows(*dims)).count() == 0
+
+
+def test_registered_reports_read_cells(spark, li001):
+    lattice = catalog._lattice(li001)
+    plain = {k: v for k, v in catalog.REPORTS.items()}
+    for name, dims in catalog.CUBOID_DIMS.items():
+        assert lattice.answers(dims) is not None, name
+        plan = plain[name](li001)._jdf.queryExecution().optimizedPlan().toString()
+        assert "cuboid" in plan and "customer_name" not in plan, name
+    # the wide table is not scanned
+    files = plain["by_region"](li001).inputFiles()
+    assert files and all("cuboids-" in f for f in files)
+
+
+def test_one_scan_of_the_lines(spark, li001):
+    chosen = catalog._lattice(li001).chosen
+    plan = C.build(li001, chosen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" in plan and plan.count("Exchange") == 1
+
+
+def test_cells_of_a_cuboid_add_up(spark, odd_lines):
+    sets = [frozenset(), frozenset({"region"}), frozenset({"region", "state"})]
+    cells = C.build(odd_lines, sets)
+    got = {r["cuboid"]: tuple(r)[1:] for r in cells.groupBy("cuboid").agg(*[F.sum(c) for c in CELLS]).collect()}
+    assert got[0] == got[1] == got[2]
+
+
+def test_sizes_are_near(spark, odd_lines):
+    sets = [frozenset(d) for d, _ in REPORTS.values()]
+    n, size = C.sizes(odd_lines, sets)
+    assert n == 400 and size[frozenset()] == 1
+    for s in set(sets):
+        names = sorted(s)
+        exact = odd_lines.select(*[C._dimension(d) for d in names]).distinct().count() if names else 1
+        assert abs(size[s] - exact) <= 0.1 * exact + 1
+    for a, b in itertools.combinations(set(sets), 2):
+        assert size[a | b] <= 400
+    assert C.sizes(odd_lines.where("false"), sets)[0] == 0
+
+
+def brute(lines, size, wanted, chosen):
+    return sum(n * min([lines, *(size[s] for s in chosen if w <= s)]) for w, n in wanted.items())
+
+
+def test_greedy_choice():
+    f = frozenset
+    wanted = {f("a"): 3, f("b"): 1, f("ab"): 2, f("c"): 1}
+    size = {f("a"): 10, f("b"): 20, f("ab"): 150, f("c"): 900_000, f("ac"): 10**6, f("bc"): 10**6, f("abc"): 10**6}
+    chosen = C.choose(1_000_000, size, wanted, 1000)
+    assert chosen == [f("ab")]  # the others would not save what they cost
+    assert C.choose(1_000_000, size, wanted, 100) == [f("a"), f("b")]  # no room for the larger one
+    assert C.choose(1_000_000, size, wanted, 5) == []
+    assert C.choose(0, {s: 0 for s in size}, wanted, 1000) == []
+    assert sum(size[s] for s in C.choose(1_000_000, size, wanted, 10**7)) <= 10**7
+    rng = random.Random(2)
+    for _ in range(30):  # never worse than the lines, always within the budget
+        dims = "abcd"
+        wanted = {f(rng.sample(dims, rng.randint(0, 3))): rng.randint(1, 3) for _ in range(5)}
+        size = {f(s): rng.randint(1, 10_000) for r in range(5) for s in itertools.combinations(dims, r)}
+        chosen = C.choose(10_000, size, wanted, 6000)
+        assert sum(size[s] for s in chosen) <= 6000 and brute(10_000, size, wanted, chosen) <= brute(10_000, size, wanted, [])
+
+
+def test_the_lines_answer_what_no_cuboid_keeps(spark, odd_lines):
+    lattice = C.Lattice(odd_lines, [frozenset({"region"})], {frozenset({"region"}): 5}, C.build(odd_lines, [frozenset({"region"})]))
+    assert lattice.rows("state") is odd_lines and lattice.answers(["region", "state"]) is None
+    assert Additive(lattice.rows("region")).cells and not Additive(odd_lines).cells
+
+
+def test_wanted_counts_reports():
+    assert C.wanted_by([("a",), ("a",), ("b", "a")]) == {frozenset("a"): 2, frozenset("ab"): 1}

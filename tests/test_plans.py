@@ -25,9 +25,15 @@ def test_threshold_filter_reaches_scan(spark):
     assert "PushedFilters: [IsNotNull(discount), GreaterThan(discount,0.20)]" in txt
 
 
-def test_scan_reads_only_needed_columns(spark):
-    txt = _formatted(E.queries()["by_state"](spark, SF001))
+def test_scan_reads_only_needed_columns(spark, li001):
+    from marginscope.operators.rollup import margin_rollup
+
+    txt = _formatted(margin_rollup(li001, ["state"], order=["total_profit"]))
     assert "ReadSchema: struct<state:string,sales:decimal(10,2),profit:decimal(10,2)>" in txt
+    # the registered report reads the same columns of its cuboid's folder instead
+    txt = _formatted(E.queries()["by_state"](spark, SF001))
+    assert "ReadSchema: struct<state:string,_s:decimal(20,2),_p:decimal(20,2)>" in txt and "/line_items/" not in txt
+    assert "PartitionFilters: [isnotnull(cuboid" in txt
 
 
 def test_top_n_per_group_is_limited_before_shuffle(spark):
