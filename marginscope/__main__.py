@@ -22,7 +22,7 @@ from .plans.catalog import build_reports
 from .session import get_spark
 from .sources.csv import load_csv_table
 from .sources.star import line_items_from_star, star_counts
-from .sources.table import check_conserved, read_line_items, write_line_items
+from .sources.table import read_line_items, reload_line_items
 
 
 def parse_args(argv=None) -> argparse.Namespace:
@@ -66,10 +66,7 @@ def run(args: argparse.Namespace) -> dict:
                             partition_by=parts)
     elif args.star:
         counts = star_counts(spark, args.star)
-        write_line_items(line_items_from_star(spark, args.star, counts), table, rows=counts["lineitem"],
-                         partition_by=parts)
-        check_conserved(spark, table, counts["lineitem"])
-        li = read_line_items(spark, table)
+        li = reload_line_items(spark, line_items_from_star(spark, args.star, counts), table, parts, counts["lineitem"])
     else:
         li = read_line_items(spark, args.parquet)
 

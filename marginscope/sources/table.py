@@ -1,4 +1,4 @@
-"""The line-item table as parquet: idempotent write, read, and one-time build.
+"""The line-item table as parquet: idempotent write, reload under readers, read, and one-time build.
 
 Every query in the catalog scans the same wide table, so it is built from
 its sources once and written as parquet (the load step of the analysis).
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import app_id, fingerprint, scratch_path, size_shuffles
+from . import snapshots
 from .schema import COLUMNS, LINE_ITEM_SCHEMA
 from .star import STAR_TABLES, line_items_from_star, star_counts
 
@@ -75,8 +76,38 @@ def write_line_items(
     return path
 
 
+def reload_line_items(
+    spark: SparkSession,
+    df: DataFrame,
+    table: str,
+    partition_by: list[str] | None = None,
+    rows: int | None = None,
+    keep_for: float = 7 * 86_400,
+) -> DataFrame:
+    """Load ``df`` as the newest version of ``table`` and return it, read back.
+
+    Others may read the table meanwhile: they see the version before, whole, until this one is
+    written and counted (``sources.snapshots``). With ``rows`` the load raises unless it holds as
+    many lines, and the table stays as it was. Versions replaced more than ``keep_for`` seconds ago go.
+    """
+
+    def check(written: int) -> None:
+        if rows is not None and written != rows:
+            raise ValueError(f"{rows} source lines became {written} line items: keys without, or with several, dimension rows")
+
+    snapshots.commit(spark, table, lambda path: write_line_items(df, path, "errorifexists", partition_by, rows), check)
+    snapshots.expire(spark, table, keep_for)
+    return read_line_items(spark, table)
+
+
 def read_line_items(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a line-item table; a known schema skips footer-based schema inference."""
+    """Read a line-item table; a known schema skips footer-based schema inference.
+
+    Of a table with versions the newest is read, now and by every later action on the frame.
+    """
+    made = snapshots.newest(spark, path)
+    if made is not None:
+        path = made.path(path)
     r = spark.read.schema(schema) if schema is not None else spark.read
     return r.parquet(path)
 

@@ -164,8 +164,8 @@ def test_csv_load_sizes_its_files_by_rows(spark, monkeypatch):
 
     monkeypatch.setattr(table, "ROWS_PER_FILE", 3)
     out = os.path.join(tempfile.mkdtemp(prefix="run-load-", dir="/tmp"), "t")
-    load_csv_table(spark, _write([_line(i) for i in range(1, 61)]), out)
-    assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 20
+    loaded = load_csv_table(spark, _write([_line(i) for i in range(1, 61)]), out)
+    assert len(loaded.inputFiles()) == 20 and all(f.startswith(f"file://{out}/") for f in loaded.inputFiles())
 
 
 def test_csv_report_scans_few_columns(spark):
