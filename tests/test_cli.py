@@ -47,7 +47,8 @@ def test_partitioned_table_from_cli(spark):
     out = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
     summary = run(parse_args(["--star", "/root/testdata/sf0.001", "--out", out, "--reports", "headline,filtered_view",
                               "--partition-by", "order_year", "--allow", "ship_before_order,duplicate_row_id"]))
-    years = sorted(n for n in os.listdir(os.path.join(out, "line_items")) if n.startswith("order_year="))
+    (version,) = os.listdir(os.path.join(out, "line_items", "_versions"))
+    years = sorted(n for n in os.listdir(os.path.join(out, "line_items", "_versions", version)) if n.startswith("order_year="))
     assert len(years) >= 5
     assert summary["reports"]["headline"]["rows"] == 1
 
