@@ -22,12 +22,12 @@ components are compared one by one; no possible link is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -63,36 +63,84 @@ def _times(a: int, b: np.uint64) -> np.uint64:
     return _U(a * int(b) % 2**64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class Shingler:
-    """Sets of word shingles as sorted 64-bit hashes."""
+    """Sets of word shingles as sorted 64-bit hashes, for whole batches of texts at once."""
 
-    KNOWN = 300_000
+    #: Bytes that are hashed at once, and the longest word that is hashed with its neighbours.
+    SLICE, LONG = 1 << 18, 64
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, _WordHash()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Distinct shingles of the words (runs of bytes other than ASCII white space; A-Z in lower case).
+        self.words = words
+        self.letter = mix(np.arange(1, 257, dtype=np.uint64) * _STEP[20])
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.up, self.down = (self._powers(x) for x in (int(_STEP[21]), pow(int(_STEP[21]), -1, 1 << 64)))
+
+    def _powers(self, base: int) -> np.ndarray:
+        out = np.full(self.SLICE, base, dtype=np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    def _words(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, hash) of the words of ``raw``, slice by slice; slices end at white space."""
+        every = np.frombuffer(raw, dtype=np.uint8)
+        at = 0
+        while at < len(every):
+            stop = min(at + self.SLICE, len(every))
+            if stop < len(every):
+                gaps = np.flatnonzero(self.space[every[at:stop]])
+                if len(gaps):
+                    stop = at + int(gaps[-1]) + 1
+                else:  # one word fills the slice: it ends at the next white space
+                    word = raw[at:].split(None, 1)[0]
+                    yield np.array([at]), np.array([xxhash.xxh64_intdigest(word)], dtype=np.uint64)
+                    at += len(word)
+                    continue
+            part = every[at:stop]
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], self.space[part], [True]]).astype(np.int8)))
+            first, last = edge[::2], edge[1::2]
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.letter[part] * self.up[: len(part)], dtype=np.uint64)])
+            h = mix((total[last] - total[first]) * self.down[first] + (last - first).astype(np.uint64))
+            for k in np.flatnonzero(last - first > self.LONG):
+                h[k] = xxhash.xxh64_intdigest(raw[at + first[k] : at + last[k]])
+            yield at + first, h
+            at = stop
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """For each text its distinct shingles of words (runs of bytes other than ASCII white space; A-Z in lower case).
 
         Fewer words than a shingle holds are one shingle; no words, none.
         """
-        split = (text or "").encode("utf-8", "replace").lower().split()
-        if not split:
-            return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > self.KNOWN:
-            self.known = _WordHash()
-        h = np.fromiter(map(self.known.__getitem__, split), dtype=np.uint64, count=len(split))
-        k = min(self.words, len(h))
-        total = np.full(len(h) - k + 1, _U(k))
-        for i in range(k):
-            total += h[i : i + len(total)] * _STEP[i]
-        return np.unique(mix(total))
+        held, size = [], 0
+        for text in texts:
+            held.append((text or "").encode("utf-8", "replace").lower())
+            size += len(held[-1]) + 1
+            if size > self.SLICE:
+                yield from self._sets(held)
+                held, size = [], 0
+        yield from self._sets(held)
+
+    def _sets(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        if not raws:
+            return
+        found = list(self._words(b"\n".join(raws)))
+        place, h = (np.concatenate(x) if found else np.zeros(0, dtype=np.uint64) for x in (zip(*found) if found else ((), ())))
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        edge = [0, *np.searchsorted(place, ends).tolist()]
+        whole = np.full(max(0, len(h) - self.words + 1), _U(self.words))
+        for i in range(self.words):
+            whole += h[i : i + len(whole)] * _STEP[i]
+        whole = mix(whole)
+        for a, z in zip(edge, edge[1:]):
+            n = z - a
+            if n >= self.words:
+                out = np.sort(whole[a : z - self.words + 1])
+                yield out[np.concatenate([[True], out[1:] != out[:-1]])]
+            else:
+                yield mix(np.array([(n + sum(int(x) * int(_STEP[i]) for i, x in enumerate(h[a:z]))) % 2**64] if n else [], dtype=np.uint64))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return next(self.many([text]))
 
 
 class Scheme:
@@ -186,10 +234,10 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def shingle_sets(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two kinds of rows from one pass over the texts.
+def shingle_sets(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Two kinds of rows from one pass over the texts (_id, _known, _mark, text).
 
-    (id, n_shingles, set_key) for each document: the size of its set and a 128-bit
+    (_id, _known, _mark, n_shingles, set_key) for each document: the size of its set and a 128-bit
     digest of it (null when empty). (block, counts) for each task and block of
     2 ** SHARE_BITS counters: how many index keys of its documents fall into each.
     """
@@ -198,11 +246,13 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
         cut = Shingler()
         total = np.zeros(COUNTERS, dtype=np.int64)
         for frame in batches:
-            sets = [cut(t) for t in frame["text"]]
+            sets = list(cut.many(frame["text"]))
             for x in sets:
                 np.add.at(total, (scheme.index_keys(x) % _U(COUNTERS)).astype(np.int64), 1)
             yield pd.DataFrame({
-                "id": frame["id"],
+                "_id": frame["_id"],
+                "_known": frame["_known"],
+                "_mark": frame["_mark"],
                 "n_shingles": [len(x) for x in sets],
                 "set_key": pd.Series([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], dtype=object),
                 "block": None,
@@ -211,13 +261,14 @@ def shingle_sets(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
         blocks = np.unique(np.flatnonzero(total) >> SHARE_BITS).tolist()
         if blocks:
             yield pd.DataFrame({
-                "id": None, "n_shingles": None, "set_key": None, "block": blocks,
+                "_id": None, "_known": None, "_mark": None, "n_shingles": None, "set_key": None, "block": blocks,
                 "counts": [total[k << SHARE_BITS : (k + 1) << SHARE_BITS] for k in blocks],
             })
 
-    common.bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(describe, "id long, n_shingles long, set_key binary, block int, counts array<long>")
+    common.bound_batches(rows.sparkSession)
+    return rows.select("_id", "_known", "_mark", "text").mapInPandas(
+        describe, "_id long, _known boolean, _mark long, n_shingles long, set_key binary, block int, counts array<long>"
+    )
 
 
 def _key_counts(sets: DataFrame) -> np.ndarray:
@@ -244,8 +295,8 @@ def _keys(texts: DataFrame, scheme: Scheme, counts: np.ndarray) -> DataFrame:
         cut = Shingler()
         for frame in batches:
             keys, nodes, looks, held = [], [], [], 0
-            for node, text in zip(frame["node"].tolist(), frame["text"]):
-                key, role = scheme.roles(cut(text), weight)
+            for node, tokens in zip(frame["node"].tolist(), cut.many(frame["text"])):
+                key, role = scheme.roles(tokens, weight)
                 keys.append(key)
                 looks.append(role)
                 nodes.append(np.full(len(key), node))
@@ -265,18 +316,16 @@ def _key_frame(keys: list, nodes: list, looks: list, heavy: np.ndarray) -> pd.Da
     return pd.DataFrame({"key": key.astype(np.int64), "salt": salt, "node": node, "role": np.concatenate(looks)})
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, with_text: Callable[..., DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         cut = Shingler()
         for left, right in batches:
-            yield pd.Series([_links(cut(x), cut(y), percent) for x, y in zip(left, right)], dtype=bool)
+            yield pd.Series([_links(x, y, percent) for x, y in zip(cut.many(left), cut.many(right))], dtype=bool)
 
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("_x"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("_y"))
-    return pairs.join(a, "a").join(b, "b").where(similar("_x", "_y")).select("a", "b")
+    return with_text(with_text(pairs, "a", "_x"), "b", "_y").where(similar("_x", "_y")).select("a", "b")
 
 
 def spanning_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -327,7 +376,7 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
         for _, part in frame.groupby("family", sort=False):
             node = part["node"].to_numpy()
             if len(node) > 1:
-                first = spanning_links([cut(t) for t in part["text"]], percent)
+                first = spanning_links(list(cut.many(part["text"])), percent)
                 far = first != np.arange(len(node))
                 out.append(pd.DataFrame({"a": node[first[far]], "b": node[far]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -335,12 +384,13 @@ def family_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def link_nodes(texts: DataFrame, every: DataFrame, sizes: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the rows (node, text) that have a link; rows have different sets.
+def link_nodes(
+    texts: DataFrame, with_text: Callable[..., DataFrame], sizes: DataFrame, counts: np.ndarray, percent: int = PERCENT
+) -> DataFrame:
+    """(node, component) of the rows (node, text) that have a link; rows have different sets, nodes are not negative.
 
-    ``every`` holds the same rows and may hold more; the few texts that are compared are
-    taken from it, so that not all are shuffled again. ``sizes`` has the least and
-    largest set size of each node.
+    ``with_text`` adds the text of a frame's column of nodes under a name: the few texts that are compared are
+    looked up, so that not all are shuffled again. ``sizes`` has the set size of each node.
     """
     keys = _keys(texts, Scheme(percent), counts)
     # keys of more than one node, one of which looks; a counter that isn't crowded bounds the
@@ -372,7 +422,7 @@ def link_nodes(texts: DataFrame, every: DataFrame, sizes: DataFrame, counts: np.
     more = best.where("s.n >= s.times and s.times > 0").select(F.col("node").alias("a"), F.col("s.family").alias("b"))
     edges = kernel.select(F.col("node").alias("a"), F.col("family").alias("b")).union(more)
     family = common.materialize(connected_components(edges).select("node", F.col("component").alias("family")), "families")
-    first = common.materialize(family_links(every.join(family, "node").select("family", "node", "text"), percent), "links")
+    first = common.materialize(family_links(with_text(family, "node", "text").select("family", "node", "text"), percent), "links")
     part = connected_components(first)
     # what may still be linked: nodes that meet under a key, in different components and families
     place = family.join(part, "node", "full").select("node", F.coalesce("component", "node").alias("c"), "family")
@@ -394,33 +444,71 @@ def link_nodes(texts: DataFrame, every: DataFrame, sizes: DataFrame, counts: np.
     apart = looks.join(found, (looks["key"] == found["key"]) & (looks["fz"] == found["fy"]) & (looks["cx"] != found["cy"]) & fits)
     met_often = apart.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("times").alias("times")).where("n >= times")
     pairs = common.materialize(met_often.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    return connected_components(first.union(_verified(pairs, every, percent)))
+    return connected_components(first.union(_verified(pairs, with_text, percent)))
+
+
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What a row is known by: its id (0 and not known if null) and a mark of its text."""
+    own = F.col(id_col).cast("long")
+    return [F.coalesce(own, F.lit(0)).alias("_id"), own.isNotNull().alias("_known"), F.xxhash64(own.isNull(), text_col).alias("_mark")]
+
+
+def _linked(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their sets, and the classes of equal sets with their component, from (_id, _known, _mark, text).
+
+    A class has its least id, the first of its rows, and the least number ``c`` of its component's classes.
+    """
+    both = common.materialize(shingle_sets(base, Scheme(percent)), "sets")
+    sets = both.where("block is null")
+    # one node for each class of equal sets, numbered once and for all; the first row stands for it
+    first = F.min(F.struct((~F.col("_known")).alias("_null"), "_id", "_mark")).alias("first")
+    classes = sets.where("set_key is not null").groupBy("set_key").agg(first, F.first("n_shingles").alias("n"))
+    nodes = common.materialize(classes.select(F.monotonically_increasing_id().alias("node"), "set_key", "n", "first"), "nodes")
+    rows = nodes.select("node", "first._id", "first._mark")
+
+    def with_text(frame: DataFrame, node: str, name: str) -> DataFrame:
+        found = base.select("_id", "_mark", F.col("text").alias(name))
+        return frame.join(rows.withColumnRenamed("node", node), node).join(found, ["_id", "_mark"]).drop("_id", "_mark")
+
+    met = base.join(rows.hint("shuffle_hash"), ["_id", "_mark"]).select("node", "text")
+    # a row that is there several times over would give its keys several times
+    copies = sets.where("set_key is not null").groupBy("_id", "_mark").count().where("count > 1")
+    texts = met if copies.isEmpty() else met.dropDuplicates(["node"])
+    sizes = nodes.select("node", F.col("n").alias("least"), F.col("n").alias("most"))
+    part = link_nodes(texts, with_text, sizes, _key_counts(both), percent)
+    of = nodes.join(part, "node", "left").select("set_key", "first", F.coalesce("component", "node").alias("c"))
+    return sets.select("_id", "_known", "n_shingles", "set_key"), of
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, links_to): the least id reachable by links of at least ``percent`` similarity.
+    """(id, n_shingles, component_id): the least id reachable by links of at least ``percent`` similarity.
 
     One row for each row of ``docs``, repeated rows included. A text that is null or
     has no words has an empty set and is linked with nothing; equal non-empty
-    sets are linked. A null id takes part and gets the component's least id
-    (null if it has none). Other columns are not looked at. An empty table gives
-    an empty one.
+    sets are linked. Ids are whole numbers of any sign. A null id takes part and gets the component's least id
+    (null if it has none). Rows of one id with different texts are judged each by its own text. Other columns
+    are not looked at. An empty table gives an empty one.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    both = common.materialize(shingle_sets(base, Scheme(percent), "_id", "text"), "sets")
-    sets = both.where("block is null").select(F.col("id").alias("_id"), "n_shingles", "set_key")
-    nodes = sets.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"))
-    # the text of one member of each class of equal sets
-    ids = nodes.where("node is not null").select("node").distinct()
-    texts = base.join(ids.hint("shuffle_hash"), base["_id"] == ids["node"], "left_semi").select(F.col("_id").alias("node"), "text")
-    sizes = nodes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    part = link_nodes(texts, base.select(F.col("_id").alias("node"), "text"), sizes, _key_counts(both), percent)
-    return (
-        sets.join(nodes.drop("n"), "set_key", "left")
-        .join(part, "node", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            "n_shingles",
-            F.coalesce("component", "node", "_id").alias("component_id"),
-        )
+    sets, of = _linked(docs.select(*_row_key(docs, id_col, text_col), F.col(text_col).alias("text")), percent)
+    least = of.groupBy("c").agg(F.min(F.when(~F.col("first._null"), F.col("first._id"))).alias("component_id"))
+    named = of.join(least, "c").select("set_key", "component_id")
+    own = F.when(F.col("_known"), F.col("_id"))
+    return sets.join(named, "set_key", "left").select(
+        own.alias(id_col), "n_shingles", F.when(F.col("set_key").isNull(), own).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component stays: the one with the least id.
+
+    Null ids come last; rows of one id are ordered by a hash of their text, equal ones by a hash of their other
+    columns, and of rows equal in all columns one stays. Rows without words are linked with nothing and stay, all of them.
+    """
+    _, of = _linked(docs.select(*_row_key(docs, id_col, text_col), F.col(text_col).alias("text")), percent)
+    kept = of.groupBy("c").agg(F.min("first").alias("first")).select("first._id", "first._mark")
+    whole = F.struct(*docs.columns).alias("_all")
+    keyed = docs.select(whole, *_row_key(docs, id_col, text_col), F.xxhash64(*docs.columns).alias("_row"))
+    worded = F.coalesce(F.col("_all")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = Window.partitionBy("_id", "_mark").orderBy("_row")
+    found = keyed.where(worded).join(kept, ["_id", "_mark"], "left_semi").withColumn("_at", F.row_number().over(order)).where("_at = 1")
+    return found.select("_all.*").union(keyed.where(~worded).select("_all.*"))

@@ -116,3 +116,63 @@ def test_odd_rows(spark):
     assert result(J.components(with_null)) == {None: (3, 4), 4: (3, 4), 2: (1, 2)}
     assert J.components(docs_frame(spark, [])).count() == 0
     assert result(J.components(docs_frame(spark, [(1, None), (2, "")]))) == {1: (0, 1), 2: (0, 2)}
+
+
+def by_rows(rows):
+    """[(id, size, component)] by comparing all pairs of rows, whatever their ids."""
+    found = brute(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (_, c) in found.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted(((i, n, least.get(c) if slow_set(t) else i) for k, (i, t) in enumerate(rows) for n, c in [found[k]]), key=str)
+
+
+def odd_ids():
+    """Near copies, bridges, negative, null and repeated ids."""
+    words = [f"w{k}" for k in range(56)]
+    near = [" ".join(words[:-k] + [f"x{k}{j}" for j in range(k)]) if k else " ".join(words) for k in (0, 5, 10)]
+    other = " ".join(f"o{k}" for k in range(60))
+    rows = [(1, near[0]), (None, near[1]), (3, near[2]), (-5, other), (4, other + " more"), (7, "alpha beta"), (7, "one two"), (7, near[0] + " end")]
+    rows += [(None, "lonely words without any id at all"), (None, "lonely words without any id at all"), (-1, " "), (None, None), (-9, "one two"), (8, "alpha beta")]
+    for k in range(12):  # families with negative and null ids
+        base = [f"f{k}x{j}" for j in range(80)]
+        rows += [([-k - 2, None, k, -k - 2][j % 4], " ".join(base[:-1] + [f"end{j}"])) for j in range(6)]
+    return rows
+
+
+def test_ids_of_any_kind_lose_no_link(spark):
+    rows = odd_ids()
+    got = J.components(docs_frame(spark, rows, 5)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == by_rows(rows)
+
+
+def test_first_of_each_keeps_one_row_of_each_component(spark):
+    rows = odd_ids()
+    kept = J.first_of_each(with_clashes(docs_frame(spark, rows, 5), "node", "first", "_known", "c")).collect()
+    found = brute(list(enumerate(t for _, t in rows)))
+    want = sum(1 for k, (_, t) in enumerate(rows) if not slow_set(t)) + len({c for k, (_, c) in found.items() if slow_set(rows[k][1])})
+    assert len(kept) == want
+    # each stays with the least id of its component, and no two of those kept are linked
+    of = {}
+    for k, (_, c) in found.items():
+        if slow_set(rows[k][1]):
+            of.setdefault(c, []).append(rows[k])
+    for members in of.values():
+        mine = [r for r in kept if (r["doc_id"], r["text"]) in members]
+        ids = [i for i, _ in members if i is not None]
+        assert len(mine) == 1 and mine[0]["doc_id"] == (min(ids) if ids else None)
+
+
+def test_shingles_do_not_depend_on_the_batch():
+    rnd = random.Random(4)
+    texts = ["", None, " \t", "one", "a b c d", "A B C D E", "x" * 700_000, "w " * 300_000, "é漢 \u00a0 z\x0bq\x1cr " * 50]
+    texts += [" ".join(rnd.choice(["foo", "bar", "Baz", "y" * 90]) for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    cut = J.Shingler()
+    alone = [cut(t) for t in texts]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(alone, cut.many(texts)))
+    assert [len(a) for a in alone] == [len(slow_set(t)) for t in texts]
+    by_hash = {}
+    for t, a in zip(texts, alone):
+        s = slow_set(t)
+        assert by_hash.setdefault(tuple(a.tolist()), s) == s
