@@ -9,6 +9,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from marginscope.plans import QUERIES  # noqa: E402
+from marginscope.plans.catalog import CUBOID_DIMS  # noqa: E402
 from marginscope.session import get_spark  # noqa: E402
 from tools.plans import formatted  # noqa: E402
 
@@ -70,6 +71,11 @@ def summary(txt: str) -> dict:
     }
 
 
+def note(name: str) -> str:
+    cells = "cells of the smallest cuboid, no line scan" if name in CUBOID_DIMS else ""
+    return "; ".join(x for x in (cells, NOTES.get(name, "")) if x)
+
+
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", 8)
@@ -81,7 +87,7 @@ def main():
         s = summary(formatted(q(spark, sf_dir)))
         pushed = s["pushed"].replace("|", "/")[:90]
         lines.append(f"| {n} | {s['hash']} | {s['range']} | {s['single']} | {s['bcast']} | {s['window']} | "
-                     f"{s['wgl']} | {s['topk']} | {pushed} | {NOTES.get(n, 'group-by with partial aggregation; sorted report')} |")
+                     f"{s['wgl']} | {s['topk']} | {pushed} | {note(n)} |")
     print("\n".join(lines))
 
 
