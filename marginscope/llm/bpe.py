@@ -30,9 +30,9 @@ from . import common
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces of text whose ids a task keeps between blocks.
-CACHE = 300_000
-#: Characters of a text whose pieces aren't kept while its block is encoded.
-LONG = 1 << 20
+CACHE = 200_000
+#: Characters of texts whose pieces are held at once.
+SLICE = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -183,21 +183,33 @@ class Encoder:
 
     def block(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; b'' for null or empty."""
+        out: list[bytes] = []
+        held: list[str | None] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= SLICE:
+                out += self._slice(held)
+                held, size = [], 0
+        return out + self._slice(held)
+
+    def _slice(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) + len(self.matches) > CACHE:
             self.known, self.uneven, self.matches = {}, set(), {}
-        # the pieces of a very long text would take far more memory than the text: it is cut once more below
-        cut = [t.split(" ") if t and self.cut_at_spaces and len(t) < LONG else None for t in texts]
+        # the pieces of a text take far more memory than the text: they are cut twice rather than held
         new: set[str] = set()
-        for t, ps in zip(texts, cut):
+        for t in texts:
             if t and self.cut_at_spaces:
-                new.update(ps[1:] if ps else t.split(" ")[1:])
+                new.update(t.split(" ")[1:])
         names = list(new - self.known.keys())
+        del new
         self.uneven.update(p for p in names if not p or p[0].isspace() or p[-1].isspace())
         found = [self.find(" " + p) for p in names]
-        whole: list[list[str] | None] = []  # the matches of a text's first piece, or of all of it
+        whole: list[list[str]] = []  # the matches of a text's first piece, or of all of it
         even: list[bool] = []
-        for t, ps in zip(texts, cut):
-            ps = ps or (t.split(" ") if t and self.cut_at_spaces else None)
+        for t in texts:
+            ps = t.split(" ") if t and self.cut_at_spaces else None
             ok = bool(ps) and ps[0] != "" and not ps[0][-1].isspace() and self.uneven.isdisjoint(ps[1:])
             even.append(ok)
             whole.append(self.find(ps[0] if ok else t) if t else [])
@@ -205,10 +217,10 @@ class Encoder:
         self.matches.update(zip(words, self.merges.replay([w.encode() for w in words])))
         self.known.update((p, b"".join([self.matches[m] for m in ms])) for p, ms in zip(names, found))
         out = []
-        for t, ps, ms, ok in zip(texts, cut, whole, even):
+        for t, ms, ok in zip(texts, whole, even):
             head = b"".join([self.matches[m] for m in ms])
             if ok:
-                head += b"".join(map(self.known.__getitem__, (ps or t.split(" "))[1:]))
+                head += b"".join(map(self.known.__getitem__, t.split(" ")[1:]))
             out.append(head)
         return out
 
