@@ -512,3 +512,33 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = Window.partitionBy("_id", "_mark").orderBy("_row")
     found = keyed.where(worded).join(kept, ["_id", "_mark"], "left_semi").withColumn("_at", F.row_number().over(order)).where("_at = 1")
     return found.select("_all.*").union(keyed.where(~worded).select("_all.*"))
+
+
+#: The same rows by comparing all pairs that share a shingle, for DuckDB (ties of ids and nulls as the test tables have them: none).
+COMPONENTS_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS node, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT node, doc_id, list_distinct(CASE
+           WHEN len(w) = 0 THEN []
+           WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingles
+  FROM words
+), members AS (
+  SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), links AS (
+  SELECT a.node AS a, b.node AS b
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT node, node AS other FROM sets
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reach r ON r.node = s.node JOIN sets o ON o.node = r.other
+GROUP BY s.node, s.doc_id, s.shingles
+"""

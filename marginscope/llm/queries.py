@@ -107,4 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {"op1_chat_perspectives": chat.PERSPECTIVES_SQL}
+ORACLE: dict[str, str] = {
+    "op1_chat_perspectives": chat.PERSPECTIVES_SQL,
+    "op9_ngram_join": ngram_join.COMPONENTS_SQL,
+    "op13_suffix_dedup": repeated_text.REMOVED_SQL,
+}

@@ -513,3 +513,32 @@ def digests(removed: DataFrame) -> DataFrame:
         *[c for c in removed.columns if c not in ("spans", "kept")], lost.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: The same rows by grouping every 100-byte string of the corpus, for DuckDB.
+REMOVED_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS node, doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), starts AS (
+  SELECT node, doc_id, unnest(range(0, octet_length(raw) - 99)) AS pos, raw FROM texts
+), strings AS (
+  SELECT node, doc_id, pos, md5(hex(raw[pos + 1:pos + 100])) AS key FROM starts
+), later AS (
+  SELECT node, pos FROM strings QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, node, pos) > 1
+), marked AS (
+  SELECT node, pos, CASE WHEN pos <= lag(pos) OVER w + 100 THEN 0 ELSE 1 END AS opens FROM later WINDOW w AS (PARTITION BY node ORDER BY pos)
+), numbered AS (
+  SELECT node, pos, sum(opens) OVER (PARTITION BY node ORDER BY pos) AS span FROM marked
+), spans AS (
+  SELECT node, span, min(pos) AS first, max(pos) + 100 AS last FROM numbered GROUP BY node, span
+), gaps AS (
+  SELECT node, coalesce(lag(last) OVER (PARTITION BY node ORDER BY first), 0) AS first, first AS last, last - first AS removed FROM spans
+), kept AS (
+  SELECT g.node, string_agg(hex(raw[g.first + 1:g.last]), '' ORDER BY g.first) AS digits, max(g.last + removed) AS upto,
+         sum(removed) AS n_removed, count(*) AS n_spans
+  FROM gaps g JOIN texts t ON t.node = g.node GROUP BY g.node
+)
+SELECT t.doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.node IS NULL THEN hex(raw) ELSE digits || hex(raw[upto + 1:]) END)) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.node = t.node
+"""
