@@ -514,7 +514,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("_all.*").union(keyed.where(~worded).select("_all.*"))
 
 
-#: The same rows by comparing all pairs that share a shingle, for DuckDB (ties of ids and nulls as the test tables have them: none).
+#: The same rows by comparing all pairs that share a shingle, for DuckDB and ids that are not null.
 COMPONENTS_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT row_number() OVER () AS node, doc_id,
