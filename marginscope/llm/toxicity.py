@@ -37,6 +37,8 @@ SAMPLE_PER_LABEL = 3000
 SAMPLE_CHARS = 6_000_000
 #: At most so many terms, lengths of a term, and the shortest term that may be misspelled.
 MAX_TERMS = 200
+#: Texts whose words the fit holds at once when it scores its sample.
+BATCH = 100
 SHORTEST, LONGEST, FUZZY_FROM = 4, 10, 4
 #: The shortest word beginning that may be misspelled (it meets more words by chance, which its weight tells).
 FUZZY_OPEN_FROM = 4
@@ -369,7 +371,9 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     for k in (0, 1):
         other = [(words[i], int(y[i]), noisy[i]) for i in np.flatnonzero(half != k)]
         at = np.flatnonzero(half == k)
-        x[at] = Matcher(*_lexicon(other)).features([texts[i] for i in at])
+        matcher = Matcher(*_lexicon(other))
+        for part in np.array_split(at, max(1, len(at) // BATCH)):  # the words of a batch at a time
+            x[part] = matcher.features([texts[i] for i in part])
     terms, fuzzy, harmless = _lexicon([(w, int(v), z) for w, v, z in zip(words, y, noisy)])
     return Model(terms, fit_logistic(x, y, l2=0.3), fuzzy, harmless)
 
