@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,41 @@ def labelled_sample(
     are left out. ``labels`` may
     be ``docs`` itself when the label is a column of the documents.
     """
+    rows = sample_rows(docs, labels, label_col, per_label, max_chars, folds, held_out, id_col, text_col)
+    return _ordered([(r["_text"], r["_label"]) for r in rows.collect()]) if rows is not None else []
+
+
+def _ordered(sample: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    return sorted(sample, key=lambda x: (str(x[1]), x[0]))
+
+
+def fit_in_task(rows: DataFrame | None, fit: Callable[[list[tuple[str, object]]], object]) -> object:
+    """What ``fit`` makes of a sample of ``sample_rows``, worked out in one task: the driver holds no text.
+
+    The sample is bounded by its parameters, whatever the table. ``fit`` returns plain data (numbers,
+    strings, arrays and containers of them); None for the rows is an empty sample.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [x for b in batches for x in zip(b["_text"].tolist(), b["_label"].tolist())]
+        yield pd.DataFrame({"made": [pickle.dumps(fit(_ordered(sample)))]})
+
+    made = rows.coalesce(1).mapInPandas(work, "made binary").collect() if rows is not None else []
+    return pickle.loads(made[0]["made"]) if made else fit([])
+
+
+def sample_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str,
+    per_label: int,
+    max_chars: int,
+    folds: int,
+    held_out: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame | None:
+    """The rows (_text, _label) of ``labelled_sample``; None if no id has a label."""
     ids = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out))
         .groupBy(F.col(id_col).alias("_id"))
@@ -75,7 +113,7 @@ def labelled_sample(
     # one row for each label, as the model has one part for each
     sizes = ids.groupBy("_label").count().collect()
     if not sizes:
-        return []
+        return None
     size = F.create_map(*[F.lit(x) for r in sizes for x in (r["_label"], r["count"])])[F.col("_label")]
     ids = ids.withColumn("_h", F.xxhash64("_id"))
     place = F.col("_h").cast("double") / 2.0**64 + 0.5
@@ -89,4 +127,4 @@ def labelled_sample(
     rows = rows.withColumn("_r", F.row_number().over(again)).where(F.col("_r") <= per_label)
     running = Window.partitionBy("_label").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_chars", F.sum(F.length("_text")).over(running)).where(F.col("_chars") <= max_chars)
-    return sorted(((r["_text"], r["_label"]) for r in rows.select("_text", "_label").collect()), key=lambda x: (str(x[1]), x[0]))
+    return rows.select("_text", "_label")
