@@ -201,3 +201,15 @@ def test_every_learned_term_is_found_misspelled(spark):
     wrong = (model.score(model.matcher(), clean) >= X.TOXIC).mean()
     print(f"{len(terms)} terms, {planted - len(missed)} of {planted} misspellings found; {wrong:.4f} of {len(clean)} clean and {caught:.4f} of {len(toxic)} toxic held-out documents called toxic; missed {missed[:20]}")
     assert len(missed) <= 0.05 * planted and wrong < 0.03
+
+
+def test_model_fitted_in_a_task(spark):
+    """The same model as from the same sample on the driver."""
+    from marginscope.llm import common
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    here = X.fit(common.labelled_sample(docs, labels, "toxic", X.SAMPLE_PER_LABEL, X.SAMPLE_CHARS, folds=5, held_out=0))
+    there = X.fit_documents(docs.repartition(5), labels)
+    assert (there.terms, there.fuzzy, there.harmless) == (here.terms, here.fuzzy, here.harmless)
+    assert abs(there.weights - here.weights).max() < 1e-9
